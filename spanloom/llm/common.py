@@ -58,7 +58,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     while first < n:
         done = ends[first - 1] if first else 0
         end = max(first + 1, int(np.searchsorted(ends, done + limit, "right")))
-        part = pc.binary_join_element_wise(texts.slice(first, end - first), "", " ")
+        part = pc.binary_join_element_wise(texts.slice(first, end - first), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + end - first + 1]
         data = np.frombuffer(part.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         yield first, end, data, offsets - offsets[0]
