@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.llm.common import held_out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +28,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.language import fit, predict
+
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out(F.col("doc_id"), 0))
+    model = fit(docs.where("not held_out"))
+    return predict(docs, model, ["doc_id", "held_out"])
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.near_duplicates import near_duplicates
 
@@ -34,6 +45,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op8_language_id": op8_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
