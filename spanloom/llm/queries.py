@@ -36,6 +36,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model, ["doc_id", "held_out"])
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.pii import pseudonymise
+
+    found = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), report=True)
+    return found.select("doc_id", F.size("entities").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["kind"]), "|").alias("kinds"), "text")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.near_duplicates import near_duplicates
 
@@ -46,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_language_id": op8_language_id,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
