@@ -49,12 +49,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_language_id": op8_language_id,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
