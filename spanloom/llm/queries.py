@@ -34,6 +34,13 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), F.col("vec_id") % 20 == 0)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.language_model import score, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", held_out(F.col("doc_id"), 1).alias("held_out"))
+    return score(docs, train(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
 #: Rules of the query: (verdict, host and path).
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_top_k": op3_exact_top_k,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
     "op9_pii_surrogates": op9_pii_surrogates,
