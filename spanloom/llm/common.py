@@ -97,15 +97,19 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the runs of true values; the last value is false."""
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edge = np.concatenate([[0], edge])
+    return edge[0::2], edge[1::2]
+
+
 class Words:
-    """The words of a chunk: byte places, the text each belongs to, and a 64-bit hash of each."""
+    """The words of a chunk, whose last byte is in none: byte places, the text each belongs to, and a 64-bit hash of each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SOLID):
-        inside = kind[data]
-        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if len(inside) and inside[0]:
-            edge = np.concatenate([[0], edge])
-        self.start, self.end = edge[0::2], edge[1::2]
+        self.start, self.end = spans(kind[data])
         self.low = LOWER[data]
         up, self._down = _power(len(data) + 1)
         self._sum = np.zeros(len(data) + 1, np.uint64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +85,7 @@ def logistic(x: np.ndarray, p: np.ndarray, rounds: int = 300, strength: float =
     for _ in range(rounds):
         z = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
         w = ahead - rate * (x.T @ (weight * (z - p)) + strength * ahead)
-        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        t, before = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
         ahead = w + (before - 1) / t * (w - last)
         last = w
     return w

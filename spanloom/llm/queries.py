@@ -34,6 +34,23 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), F.col("vec_id") % 20 == 0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.toxicity import labelled_sample, score, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", held_out(F.col("doc_id"), 0).alias("held_out"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    learn = docs.where("not held_out")
+    sample, prior = labelled_sample(learn, labels.where(~held_out(F.col("doc_id"), 0)))
+    return score(docs, train(sample, learn, prior=prior), ["doc_id", "held_out"])
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.quality import classify, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return classify(docs, train(docs), ["doc_id"])
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.language_model import score, train
 
@@ -83,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
