@@ -1,11 +1,283 @@
-"""Queries of the evidence-graph operators over the test tables, and the SQL that gives the same rows."""
+"""Queries of the evidence-graph operators over the test tables, and the SQL that gives the same rows.
+
+Nested columns are returned as text, lists joined by | and maps as sorted k=v.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.operators import bom, context, diff, evidence, extract, merge, policy, validate
+from spanloom.operators.evidence import Graph
+from spanloom.plans.scan import first_seen, scan
+from spanloom.plans.store import materialize
+from spanloom.testtables import OBSERVATIONS_SQL, observations
+
+SUMMARY = ["level", "n", "first_ns", "last_ns"]
+
+
+def joined(name: str):
+    return F.array_join(name, "|").alias(name)
+
+
+def pairs(name: str):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|").alias(name)
+
+
+def contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(context.suppress_summaries(context.inherit_agents(observations(spark, sf_dir))), "observations")
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return evidence.build(contextual(spark, sf_dir))
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
+    """Two overlapping snapshots: without every fourth, and without the next fourth of the observations."""
+    obs = contextual(spark, sf_dir)
+    return evidence.build(obs.where("obs_seq % 4 <> 0")), evidence.build(obs.where("obs_seq % 4 <> 2"))
+
+
+POLICY = policy.Policy(
+    minimum_evidence={"tool": "observed", "model": "verified"}, allowed_providers=["OpenAI", "postgresql"], require_providers_for=["data_source", "agent"], require_versions_for=["model", "agent"],
+    denied_name_patterns=["^tool-1$", "ds-[34]"], forbid_field_conflicts=True,
+    denied_paths=[policy.PathRule("agent-server-tool", policy.Selector(type="agent"), [policy.Selector(type="mcp_server")], ["connects_to", "provides"], policy.Selector(type="tool", name_pattern="tool-[12]"))],
+)
+
+
+def c02_agent_inheritance(spark, sf_dir):
+    obs = context.inherit_agents(observations(spark, sf_dir))
+    return obs.select("obs_seq", *[F.element_at("attrs", f"gen_ai.agent.{x}").alias(x) for x in ("id", "name", "version")])
+
+
+def c03_summary_suppression(spark, sf_dir):
+    return contextual(spark, sf_dir).select("obs_seq", F.element_at("attrs", "gen_ai.request.model").alias("request_model"))
+
+
+def d03_nodes(spark, sf_dir):
+    return graph(spark, sf_dir).nodes.select("id", "type", "name", "provider", *SUMMARY, joined("sources"), joined("trace_ids"))
+
+
+def d04_edges(spark, sf_dir):
+    return graph(spark, sf_dir).edges.select("id", "from_id", "to_id", "relation", *SUMMARY, joined("sources"), joined("trace_ids"))
+
+
+def d05_claims(spark, sf_dir):
+    return graph(spark, sf_dir).claims.select("node_id", "field", "key", "value", *SUMMARY, joined("sources"), joined("trace_ids"))
+
+
+def d06_claim_resolution(spark, sf_dir):
+    return evidence.resolve(graph(spark, sf_dir).claims).select("node_id", "field", "key", "value", "rank", "conflict")
+
+
+def d08_materialised_fields(spark, sf_dir):
+    return graph(spark, sf_dir).nodes.select("id", "version", joined("observed_versions"), pairs("digests"), pairs("properties"))
+
+
+def d09_merge(spark, sf_dir):
+    return merge.merge(*sides(spark, sf_dir)).nodes.select("id", "type", *SUMMARY, joined("sources"), joined("trace_ids"), "version", joined("observed_versions"))
+
+
+def d11_graph_summary(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return g.nodes.groupBy(F.lit("node").alias("entity"), F.col("type").alias("kind")).agg(F.count("*").alias("n")).union(g.edges.groupBy(F.lit("edge"), "relation").agg(F.count("*")))
+
+
+def c04_node_diff(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return diff.diff_nodes(a, b).select("id", "change", joined("fields"))
+
+
+def c05_edge_diff(spark, sf_dir):
+    a, b = sides(spark, sf_dir)
+    return diff.diff_edges(a, b).select("id", "change", joined("fields"))
+
+
+def e04_first_seen(spark, sf_dir):
+    return first_seen(observations(spark, sf_dir)).select("obs_seq", "span_id", "ts_ns", "level")
+
+
+def p10_policy_violations(spark, sf_dir):
+    return policy.node_violations(graph(spark, sf_dir), POLICY).select("rule", "node_id", "message")
+
+
+def c09_denied_paths(spark, sf_dir):
+    return policy.denied_path(graph(spark, sf_dir), POLICY.denied_paths[0]).select(joined("path"))
+
+
+def p10_policy_report(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return policy.report(g, policy.violations(g, POLICY))
+
+
+def m01_components(spark, sf_dir):
+    return bom.components(graph(spark, sf_dir)).select("bom_ref", "type", "name", "version", "publisher", F.to_json("hashes").alias("hashes"), F.to_json("properties").alias("properties"))
+
+
+def m03_dependencies(spark, sf_dir):
+    return bom.dependencies(graph(spark, sf_dir)).select("ref", joined("depends_on"))
+
+
+def k01_issues(spark, sf_dir):
+    return validate.issues(graph(spark, sf_dir))
+
+
+def k05_snapshot_digest(spark, sf_dir):
+    return validate.snapshot_digests(graph(spark, sf_dir))
+
+
+def x07_claim_rows(spark, sf_dir):
+    return extract.claim_rows(extract.occurrences(observations(spark, sf_dir))).groupBy("field", "key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))
+
+
+def w1_scan_with_dedup(spark, sf_dir):
+    g = scan(observations(spark, sf_dir), dedup=True)
+    return g.edges.groupBy("relation").agg(F.count("*").alias("edges"), F.sum("n").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (c02_agent_inheritance, c03_summary_suppression, c04_node_diff, c05_edge_diff, c09_denied_paths, d03_nodes, d04_edges, d05_claims, d06_claim_resolution, d08_materialised_fields, d09_merge, d11_graph_summary, e04_first_seen, k01_issues, k05_snapshot_digest, m01_components, m03_dependencies, p10_policy_report, p10_policy_violations, w1_scan_with_dedup, x07_claim_rows)
+}
+
+_CONTEXT = f"""
+with recursive {OBSERVATIONS_SQL}, sp as (
+    select distinct trace, span_id, parent_span_id, own_agent, own_version, operation from obs
+), walk as (
+    select trace, span_id, parent_span_id as p, own_agent as agent, own_version as version, 0 as d from sp
+    union all
+    select w.trace, w.span_id, s.parent_span_id, s.own_agent, s.own_version, d + 1
+    from walk w join sp s on s.trace = w.trace and s.span_id = w.p where w.agent is null and d < 20
+), ctx as (
+    select trace, span_id, agent, version from walk where agent is not null
+), up as (
+    select trace, parent_span_id as at, 0 as d from sp where operation = 'chat'
+    union
+    select u.trace, s.parent_span_id, d + 1 from up u join sp s on s.trace = u.trace and s.span_id = u.at where s.operation is distinct from 'invoke_agent' and d < 20
+), hit as (
+    select distinct u.trace, u.at from up u join sp s on s.trace = u.trace and s.span_id = u.at where s.operation = 'invoke_agent'
+), last_row as (
+    select trace, span_id, max(obs_seq) as seq from obs group by all
+), f as (
+    select o.* exclude (request_model), c.agent, c.version,
+        case when h.at is not null and l.seq = o.obs_seq then null else o.request_model end as request_model,
+        case o.level when 'inferred' then 1 when 'declared' then 2 when 'observed' then 3 else 4 end as level_rank
+    from obs o left join ctx c on c.trace = o.trace and c.span_id = o.span_id
+    left join hit h on h.trace = o.trace and h.at = o.span_id left join last_row l on l.trace = o.trace and l.span_id = o.span_id
+)"""
+
+_ROWS = _CONTEXT + """, named as (
+    select f.*, coalesce(agent, sub_agent, case when server is null then service end) as a_name, coalesce(case when odd_provider then 'openai' else provider end, '') as m_provider from f
+), ent as (
+    select *, 'agent:' || substr(sha256('agent' || chr(0) || '' || chr(0) || lower(a_name)), 1, 24) as a_id,
+        'model:' || substr(sha256('model' || chr(0) || lower(m_provider) || chr(0) || lower(request_model)), 1, 24) as m_id,
+        'mcp_server:' || substr(sha256('mcp_server' || chr(0) || '' || chr(0) || lower(server)), 1, 24) as s_id,
+        'tool:' || substr(sha256('tool' || chr(0) || lower(coalesce(server, '')) || chr(0) || lower(tool)), 1, 24) as t_id,
+        'data_source:' || substr(sha256('data_source' || chr(0) || 'postgresql' || chr(0) || lower(data_source)), 1, 24) as d_id
+    from named
+), nr as (
+    select obs_seq, ts_ns, level_rank, source, trace_id, a_id as id, 'agent' as type, a_name as name, '' as provider from ent where a_name is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, m_id, 'model', request_model, m_provider from ent where request_model is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, s_id, 'mcp_server', server, '' from ent where server is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, t_id, 'tool', tool, coalesce(server, '') from ent where tool is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, d_id, 'data_source', data_source, 'postgresql' from ent where data_source is not null
+), ends as (
+    select obs_seq, ts_ns, level_rank, source, trace_id, a_id as from_id, 'uses' as relation, m_id as to_id from ent where a_name is not null and request_model is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, a_id, 'connects_to', s_id from ent where a_name is not null and server is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, a_id, 'invokes', t_id from ent where a_name is not null and tool is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, s_id, 'provides', t_id from ent where server is not null and tool is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, a_id, 'reads_from', d_id from ent where a_name is not null and data_source is not null
+), er as (
+    select *, 'edge:' || substr(sha256(from_id || chr(0) || relation || chr(0) || to_id), 1, 24) as id from ends
+), cr as (
+    select obs_seq, ts_ns, level_rank, source, trace_id, a_id as node_id, 'version' as field, '' as key, version as value from ent where a_name is not null and version is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, a_id, 'property', 'gen_ai.agent.id', agent from ent where a_name is not null and agent is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, m_id, 'version', '', response_model from ent where request_model is not null and response_model is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, m_id, 'property', 'gen_ai.operation.name', operation from ent where request_model is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, m_id, 'property', 'server.address', address from ent where request_model is not null and address is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, s_id, 'property', 'aiebom.mcp.discovery.source', 'config' from ent where server is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, t_id, 'property', 'aiebom.mcp.discovery.source', 'config' from ent where tool is not null and server is not null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, t_id, 'property', 'gen_ai.tool.type', 'function' from ent where tool is not null and server is null
+    union all select obs_seq, ts_ns, level_rank, source, trace_id, d_id, 'property', 'db.system.name', 'postgresql' from ent where data_source is not null
+)"""
+
+
+def _summary(rows: str, keys: str, extra: str = "") -> str:
+    level = "case max(level_rank) when 1 then 'inferred' when 2 then 'declared' when 3 then 'observed' else 'verified' end as level"
+    return f"""select {keys}{extra}, {level}, count(*) as n, min(ts_ns) as first_ns, max(ts_ns) as last_ns, array_to_string(list_sort(list_distinct(list(source))), '|') as sources,
+        array_to_string(list_slice(list_sort(list_distinct(list(trace_id))), 1, 20), '|') as trace_ids from {rows} group by {keys}"""
+
+
+_CLAIMS = _ROWS + """, cs as (
+    select node_id, field, key, value, max(level_rank) as level_rank, count(*) as n, min(ts_ns) as first_ns, max(ts_ns) as last_ns from cr group by all
+), res as (
+    select *, cast(row_number() over (partition by node_id, field, key order by level_rank desc, last_ns desc, value) as integer) as rank, count(*) over (partition by node_id, field, key) > 1 as conflict from cs
+)"""
+_FIELDS = _CLAIMS + """, fields as (
+    select n.id, coalesce(max(case when field = 'version' and rank = 1 then value end), '') as version,
+        coalesce(array_to_string(list_sort(list(value) filter (where field = 'version')), '|'), '') as observed_versions, '' as digests,
+        coalesce(array_to_string(list_sort(list(key || '=' || value) filter (where field = 'property' and rank = 1)), '|'), '') as properties
+    from (select distinct id from nr) n left join res on res.node_id = n.id group by n.id
+)"""
+
+
+def _side(rows: str, keys: str, more: str) -> str:
+    return f"select {keys}, max(level_rank) as l{more} from {rows} group by {keys}"
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_DIFF = _ROWS + """, ca as (select node_id, field, key, value, max(level_rank) l, count(*) n, min(ts_ns) a, max(ts_ns) b, list_sort(list_distinct(list(source))) s, list_slice(list_sort(list_distinct(list(trace_id))), 1, 20) t from cr where obs_seq % 4 <> 0 group by all),
+cb as (select node_id, field, key, value, max(level_rank) l, count(*) n, min(ts_ns) a, max(ts_ns) b, list_sort(list_distinct(list(source))) s, list_slice(list_sort(list_distinct(list(trace_id))), 1, 20) t from cr where obs_seq % 4 <> 2 group by all),
+wa as (select *, row_number() over (partition by node_id, field, key order by l desc, b desc, value) r from ca), wb as (select *, row_number() over (partition by node_id, field, key order by l desc, b desc, value) r from cb),
+fa as (select node_id, max(case when field = 'version' and r = 1 then value end) v, list_sort(list(value) filter (where field = 'version')) o, list_sort(list(key || '=' || value) filter (where field = 'property' and r = 1)) p, list_sort(list(to_json(struct_pack(field, key, value, l, n, a, b, s, t)))) e from wa group by node_id),
+fb as (select node_id, max(case when field = 'version' and r = 1 then value end) v, list_sort(list(value) filter (where field = 'version')) o, list_sort(list(key || '=' || value) filter (where field = 'property' and r = 1)) p, list_sort(list(to_json(struct_pack(field, key, value, l, n, a, b, s, t)))) e from wb group by node_id),
+na as (select id, max(level_rank) l, arg_min(name, obs_seq) nm, arg_min(provider, obs_seq) pr from nr where obs_seq % 4 <> 0 group by id), nb as (select id, max(level_rank) l, arg_min(name, obs_seq) nm, arg_min(provider, obs_seq) pr from nr where obs_seq % 4 <> 2 group by id),
+j as (select coalesce(na.id, nb.id) as id, na.id as x, nb.id as y, na.l as la, nb.l as lb, na.nm as nma, nb.nm as nmb, na.pr as pra, nb.pr as prb, fa.v as va, fb.v as vb, fa.o as oa, fb.o as ob, fa.p as pa, fb.p as pb, fa.e as ea, fb.e as eb
+    from na full outer join nb on na.id = nb.id left join fa on fa.node_id = na.id left join fb on fb.node_id = nb.id),
+d as (select id, case when x is null then 'added' when y is null then 'removed' else 'changed' end as change, case when x is null or y is null then '' else concat_ws('|',
+    case when nma is distinct from nmb then 'name' end, case when va is distinct from vb or oa is distinct from ob then 'version' end, case when pra is distinct from prb then 'provider' end,
+    case when pa is distinct from pb then 'properties' end, case when ea is distinct from eb then 'fieldEvidence' end, case when la is distinct from lb then 'evidence.level' end) end as fields from j)
+select * from d where change <> 'changed' or fields <> ''"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "c02_agent_inheritance": _CONTEXT + " select obs_seq, agent as id, agent as name, version from f",
+    "c03_summary_suppression": _CONTEXT + " select obs_seq, request_model from f",
+    "d03_nodes": _ROWS + " " + _summary("nr", "id, type", ", arg_min(name, obs_seq) as name, arg_min(provider, obs_seq) as provider"),
+    "d04_edges": _ROWS + " " + _summary("er", "id, from_id, to_id, relation"),
+    "d05_claims": _ROWS + " " + _summary("cr", "node_id, field, key, value"),
+    "d06_claim_resolution": _CLAIMS + " select node_id, field, key, value, rank, conflict from res",
+    "d08_materialised_fields": _FIELDS + " select id, version, observed_versions, digests, properties from fields",
+    "d11_graph_summary": _ROWS + " select 'node' as entity, type as kind, count(distinct id) as n from nr group by type union all select 'edge', relation, count(distinct id) from er group by relation",
+    "c04_node_diff": _DIFF,
+    "c05_edge_diff": _ROWS + """, a as (select id, max(level_rank) l from er where obs_seq % 4 <> 0 group by id), b as (select id, max(level_rank) l from er where obs_seq % 4 <> 2 group by id)
+        select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'removed' else 'changed' end as change, case when a.l <> b.l then 'evidence.level' else '' end as fields
+        from a full outer join b on a.id = b.id where a.l is distinct from b.l""",
+    "e04_first_seen": f"with {OBSERVATIONS_SQL} select min(obs_seq) as obs_seq, span_id, ts_ns, level from obs group by trace, span_id, ts_ns, level",
+    "m03_dependencies": _ROWS + " select n.id as ref, coalesce(array_to_string(list_sort(list(distinct er.to_id)), '|'), '') as depends_on from (select distinct id from nr) n left join er on er.from_id = n.id group by n.id",
+    "c09_denied_paths": _ROWS + """, e as (select distinct from_id, to_id, relation from er), p as (
+        select a.from_id || '|' || a.to_id || '|' || b.to_id as path, a.from_id from e a join e b on a.to_id = b.from_id and b.relation = 'provides' join nr on nr.id = b.to_id
+        where a.relation = 'connects_to' and regexp_matches(nr.name, 'tool-[12]'))
+        select min(path) as path from p group by from_id""",
+    "p10_policy_violations": _CLAIMS + """, nodes as (select id, type, arg_min(name, obs_seq) as name, arg_min(provider, obs_seq) as provider, max(level_rank) as l from nr group by id, type),
+        lv as (select *, case l when 1 then 'inferred' when 2 then 'declared' when 3 then 'observed' else 'verified' end as level from nodes), ver as (select distinct node_id from cr where field = 'version')
+        select 'minimum-evidence' as rule, id as node_id, 'evidence ' || level || ' is below observed' as message from lv where type = 'tool' and l < 3
+        union all select 'minimum-evidence', id, 'evidence ' || level || ' is below verified' from lv where type = 'model' and l < 4
+        union all select 'allowed-providers', id, 'provider ' || provider || ' is not allowed' from lv where provider <> '' and lower(provider) not in ('openai', 'postgresql')
+        union all select 'require-provider', id, 'provider is required' from lv where type in ('data_source', 'agent') and provider = ''
+        union all select 'require-version', id, 'version is required' from lv where type in ('model', 'agent') and id not in (select node_id from ver)
+        union all select 'denied-name-pattern[0]', id, 'name ' || name || ' is denied' from lv where name = 'tool-1'
+        union all select 'denied-name-pattern[1]', id, 'name ' || name || ' is denied' from lv where regexp_matches(name, 'ds-[34]')
+        union all select 'forbid-field-conflict', node_id, field || case when key <> '' then ':' || key else '' end || ' has ' || count(*) || ' values' from cs group by node_id, field, key having count(*) > 1""",
+    "x07_claim_rows": f"with {OBSERVATIONS_SQL}" + """, c as (
+        select 'version' as field, '' as key, own_version as value from obs where own_version is not null
+        union all select 'property', 'gen_ai.operation.name', operation from obs where request_model is not null
+        union all select 'version', '', response_model from obs where response_model is not null
+        union all select 'property', 'server.address', address from obs where address is not null
+        union all select 'property', 'aiebom.mcp.discovery.source', 'config' from obs where server is not null
+        union all select 'property', 'aiebom.mcp.discovery.source', 'config' from obs where server is not null and tool is not null
+        union all select 'property', 'gen_ai.tool.type', 'function' from obs where tool is not null and server is null
+        union all select 'property', 'db.system.name', 'postgresql' from obs where data_source is not null)
+        select field, key, count(*) as n, count(distinct value) as "values" from c group by field, key""",
+}
