@@ -190,4 +190,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no passage of the benchmark; see contaminated. Rows with a null doc_id stay."""
     bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_id"), "left_anti")
+    return docs.join(bad.hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")

@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tre
     member = materialize(exploded.join(groups, "key"), "members")
     of_tree = texts.select("rep", F.posexplode("keys").alias("tree", "key")).join(member.select("rep").distinct(), "rep", "left_semi")
     grouped = of_tree.join(groups.select("key", "bucket"), "key", "left").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("tree", F.coalesce("bucket", F.lit(0)).alias("b")))), lambda x: x["b"]).alias("groups"))
-    grams = materialize(_gram_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), ngram).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep").join(grouped, "rep"), "grams")
+    grams = materialize(_gram_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), ngram).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep").join(grouped, "rep"), "grams")
 
     # Cells: every pair of blocks of a group.
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -213,8 +213,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     classes = near_duplicates(docs, **options)
     kept = classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
     kept = materialize(kept, "kept")
-    one = docs.join(kept.where("_rows = 1"), F.col("doc_id") == F.col("_id"), "left_semi")
-    again = docs.join(kept.where("_rows > 1"), F.col("doc_id") == F.col("_id"), "left_semi")
+    # the same join at every size: ids of kept documents grow with the table
+    one = docs.join(kept.where("_rows = 1").hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
+    again = docs.join(kept.where("_rows > 1").hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     if kept.where("_rows > 1").isEmpty():
         return one.unionByName(docs.where("doc_id is null"))
     columns = [c for c in docs.columns if c != "doc_id"]
