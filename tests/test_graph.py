@@ -115,22 +115,37 @@ def test_float_text(x, text):
     assert telemetry.float_text(x) == text
 
 
-def test_stream_equals_batch(spark, tmp_path):
+class FakeState:
+    """What the processor needs of a group's state."""
+
+    def __init__(self):
+        self.exists, self.get, self.hasTimedOut = False, None, False
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_stream_processor_holds_children_drops_repeats_and_releases_late_ones():
+    import pandas as pd
+
     from spanloom.streaming import collector
 
-    rows = obs(
-        spark,
-        {"span": "c", "parent": "b", "attrs": {"gen_ai.operation.name": "execute_tool", "gen_ai.tool.name": "search"}},
-        {"span": "b", "parent": "a", "attrs": {"gen_ai.operation.name": "chat", "gen_ai.request.model": "m"}},
-        {"span": "a", "attrs": {"gen_ai.agent.name": "planner"}},
-        {"span": "a", "attrs": {"gen_ai.agent.name": "planner"}},
-    )
-    for k in range(4):
-        rows.where(f"obs_seq = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    query = collector.collect(stream, f"file://{tmp_path}/graph", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(180)
-    g = collector.newest(spark, f"file://{tmp_path}/graph")[1]
-    want = scan(rows, dedup=True)
-    pick = lambda g: (sorted((r["id"], r["n"]) for r in g.nodes.collect()), sorted((r["id"], r["n"]) for r in g.edges.collect()))
-    assert pick(g) == pick(want)
+    def rows(*spans):
+        return pd.DataFrame([["g", k, k, "observed", "s", "t", span, parent, json.dumps(attrs)] for k, (span, parent, attrs) in enumerate(spans)], columns=collector.NAMES)
+
+    def feed(state, run, *spans):
+        out = pd.concat(list(run(("g", "t"), iter([rows(*spans)] if spans else []), state)))
+        return [(r.span_id, json.loads(r.attrs).get("gen_ai.agent.name")) for r in out.itertuples()]
+
+    state, run = FakeState(), collector.correlate(1000, 10)
+    assert feed(state, run, ("c", "b", {}), ("b", "a", {})) == []
+    assert feed(state, run, ("a", "", {"agent.name": "planner"}), ("A", "", {})) == [("a", "planner"), ("b", "planner"), ("c", "planner")]
+    assert feed(state, run, ("c", "b", {}), ("d", "C", {})) == [("d", "planner")]
+    assert feed(state, run, ("x", "missing", {}), ("y", "x", {})) == []
+    state.hasTimedOut = True
+    assert feed(state, run) == [("x", None), ("y", None)]
+    state, run = FakeState(), collector.correlate(1000, 1)
+    assert feed(state, run, ("p", "m1", {}), ("q", "m2", {})) == [("p", None)]
