@@ -2,7 +2,7 @@
 
 Observations: graph_id, obs_seq, ts_ns, level, source, trace_id, span_id, parent_span_id, attrs. Ancestors are found
 by pointer doubling: a round joins every open pointer with its target, and a pointer then spans twice the levels, so
-rounds follow the logarithm of the deepest trace and a huge trace spreads over all tasks by (trace, span).
+rounds follow the logarithm of the longest open path (at most that of the largest trace, for cycles) and a huge trace spreads over all tasks by (trace, span).
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ def nearest_ancestor(spans: DataFrame, value: str, starts: str) -> DataFrame:
             state.join(target, ["graph_id", "ptr"], "left").select("graph_id", "key", F.when(F.col("there") & F.col("tv").isNull(), F.col("next")).alias("ptr"), F.coalesce("v", "tv").alias("v")),
             "context",
         )
+        if state.where("ptr is not null").isEmpty():
+            break
     target = state.select("graph_id", F.col("key").alias("ptr"), "v")
     return found.join(target, ["graph_id", "ptr"]).select("graph_id", "key", F.col("v").alias(value))
 

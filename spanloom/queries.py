@@ -130,7 +130,9 @@ def k05_snapshot_digest(spark, sf_dir):
 
 
 def x07_claim_rows(spark, sf_dir):
-    return extract.claim_rows(extract.occurrences(observations(spark, sf_dir))).groupBy("field", "key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))
+    # written first, as build() does: the optimiser would repeat every entity's expressions in both generators
+    found = materialize(extract.occurrences(observations(spark, sf_dir)), "occurrences")
+    return extract.claim_rows(found).groupBy("field", "key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))
 
 
 def w1_scan_with_dedup(spark, sf_dir):
