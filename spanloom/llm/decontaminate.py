@@ -1,12 +1,12 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-The CGK random walk reads a string with a pointer that moves on, or stays, by a random bit for each step and symbol;
-strings at a small edit distance become sequences at a small Hamming distance. Here the symbols are words. Windows of
-items, from each of their words on, and windows of documents, from every few words on, are embedded by the same
-walks; bit sampling picks a few steps of a walk, and windows whose samples agree in some table are candidates.
-Windows are sized by the items: items are put in classes by length, and a class has its own window, stride, walks and
-tables. Every item holds some whole window of any stride, so each passage is seen at one window at least. Candidates
-are verified exactly: the least edit distance, in characters, between the item and any part of the text around.
+Case and white space are normalised first. Candidates come from a filter that loses nothing. An item is cut into
+disjoint pieces of a few characters; each edit spoils one piece at most, so a passage within k edits holds all but k
+pieces unchanged, at places that shift against the item by k at most. Pieces found in a text are counted by item and
+shift. Where enough lie within k shifts, the cheapest chain of them bounds the edits from below: between two pieces of
+a chain there are as many edits as pieces are missing, and as many as the shift changes. Passages whose bound is k at
+most are verified exactly: the least edit distance, in characters, between the item and any part of the text around.
+The recall is 1 at every similarity, whatever the edits and wherever they are.
 
 The items' index goes to every task, in blocks of a bounded size; documents are only mapped, never shuffled.
 """
@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ALNUM, Words, chunks, mix
+from spanloom.llm.common import chunks, mix
 
 #: Characters of benchmark items that are sent to the tasks at once; more items take more passes.
 BLOCK_CHARS = 8_000_000
+#: Characters of text and counters of an index handled at once, and pieces found at once, to bound the memory.
+PART, COUNTERS, HITS = 1 << 17, 1 << 22, 1 << 21
+#: Regions of more pieces than this are verified without a bound.
+CHAIN = 1024
 
 
 def normal(data: bytes) -> str:
@@ -62,103 +66,216 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def grams(c: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """A hash of `bits` bits of every run of `size` characters."""
+    h = np.zeros(max(0, len(c) - size + 1), np.uint64)
+    for i in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + len(h)]
+    return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def piece_size(length: int, edits: int) -> int:
+    """The longest pieces of which enough stay whole for few texts to hold them by chance, but one at least."""
+    for least in (max(1, 0.04 * length), 1):
+        for size in range(12, 0, -1):
+            if length // size - edits >= least:
+                return size
+    raise ValueError("a similarity above 0 is needed")
+
+
 class Index:
-    """Embedded windows of benchmark items: for each class of lengths, sorted sample hashes with item and word."""
-
-    def __init__(self, ids: list[int], texts: list[str], walks: int, tables: int, samples: int, seed: int = 1_013):
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-        rng = np.random.default_rng(seed)
-        self.ids, self.words, self.normal, self.classes = ids, [], [normal(x.encode()) for x in texts], []
-        sizes, hashes = [], []
-        for _, _, data, offsets in chunks(batch):
-            w = Words(data, offsets, ALNUM)
-            sizes += np.diff(w.bounds).tolist()
-            hashes += np.split(w.hash, w.bounds[1:-1])
-        self.words = sizes
+    """Pieces of benchmark items, in groups of one piece size and a bounded number of counters."""
+
+    def __init__(self, ids: list[int], texts: list[str], similarity: float):
+        self.ids = ids
+        self.normal = [normal(x.encode()) for x in texts]
+        self.edits = [int((1 - similarity) * len(x) + 1e-9) for x in self.normal]
         kinds: dict[int, list[int]] = {}
-        for i, n in enumerate(sizes):
-            if n:
-                kinds.setdefault(int(2 * math.log2(n)), []).append(i)
-        for members in kinds.values():
-            least = min(sizes[i] for i in members)
-            window = min(least, max(8, round(0.45 * least)))
-            stride = max(1, min(least - window + 1, round(0.3 * least)))
-            steps = 2 * window
-            coins = rng.integers(0, 1 << 62, (walks, steps), np.int64).astype(np.uint64)
-            picks = np.stack([np.sort(rng.choice(steps, min(samples, steps), replace=False)) for _ in range(walks * tables)]).reshape(walks, tables, -1)
-            flat = np.concatenate([hashes[i] for i in members])
-            first = np.cumsum([0, *(sizes[i] for i in members)])[:-1]
-            starts = np.concatenate([f + np.arange(sizes[i] - window + 1) for f, i in zip(first, members, strict=True)])
-            item = np.concatenate([np.full(sizes[i] - window + 1, i) for i in members])
-            word = np.concatenate([np.arange(sizes[i] - window + 1) for i in members])
-            keys = self.embed(flat, starts, coins, picks)
-            tabled = []
-            for k in keys:
-                order = np.argsort(k, kind="stable")
-                there = np.zeros(1 << 20, bool)
-                there[(k & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-                tabled.append((k[order], item[order], word[order], there))
-            self.classes.append((window, stride, coins, picks, tabled))
-
-    @staticmethod
-    def embed(words: np.ndarray, starts: np.ndarray, coins: np.ndarray, picks: np.ndarray) -> list[np.ndarray]:
-        """A hash of the sampled steps of each window for every walk and table. A walk that has read on past its
-        window goes on reading what follows; past the end it reads zeros."""
-        walks, tables, _ = picks.shape
-        steps = coins.shape[1]
-        words = np.concatenate([words, np.zeros(steps + 1, np.uint64)])
-        out = []
-        for v in range(walks):
-            at = starts.copy()
-            sums = [np.full(len(starts), t + 1, np.uint64) for t in range(tables)]
-            wanted = [set(p.tolist()) for p in picks[v]]
-            for j in range(max(map(max, wanted)) + 1):
-                symbol = words[at]
-                for t in range(tables):
-                    if j in wanted[t]:
-                        sums[t] = sums[t] * np.uint64(0x9E3779B97F4A7C15) + symbol
-                at += (((symbol ^ coins[v, j]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
-            out += [mix(x) for x in sums]
-        return out
-
-    def candidates(self, w: Words) -> set[tuple[int, int, int]]:
-        """(text, item, word of the text at which the item would begin)"""
-        found: set[tuple[int, int, int]] = set()
-        n = len(w.hash)
-        place = np.arange(n) - w.bounds[:-1][w.text]
-        for window, stride, coins, picks, tabled in self.classes:
-            starts = np.flatnonzero(place % stride == 0)
-            for k, (keys, item, word, there) in zip(self.embed(w.hash, starts, coins, picks), tabled, strict=True):
-                maybe = np.flatnonzero(there[(k & np.uint64((1 << 20) - 1)).astype(np.int64)])
-                low, high = np.searchsorted(keys, k[maybe]), np.searchsorted(keys, k[maybe], "right")
-                for i in np.flatnonzero(high > low):
-                    at = starts[maybe[i]]
-                    for j in range(low[i], high[i]):
-                        found.add((int(w.text[at]), int(item[j]), int(at - word[j])))
-        return found
-
-
-def _passages(docs: DataFrame, index: Index, similarity: float) -> DataFrame:
+        for i, x in enumerate(self.normal):
+            if any(c.isalnum() for c in x):
+                kinds.setdefault(piece_size(len(x), self.edits[i]), []).append(i)
+        self.groups = []
+        for size, members in sorted(kinds.items()):
+            # long items by themselves: the part of a text that is handled at once grows with them
+            members.sort(key=lambda i: len(self.normal[i]))
+            group: list[int] = []
+            for i in members:
+                if group and self._counters([*group, i]) > COUNTERS:
+                    self.groups.append(Group(self, size, group))
+                    group = []
+                group.append(i)
+            self.groups.append(Group(self, size, group))
+
+    def _counters(self, group: list[int]) -> int:
+        part = max(PART, 4 * (len(self.normal[group[-1]]) + self.edits[group[-1]]))
+        return sum((part + len(self.normal[i])) // (self.edits[i] // 2 + 1) for i in group)
+
+    def candidates(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end): parts of the text's codes, one of which holds any passage within the item's edits."""
+        for group in self.groups:
+            step = group.part - group.span
+            for a in range(0, max(1, len(text) - group.span), step):
+                for item, low, high in group.candidates(text[a : a + group.part]):
+                    yield item, low + a, high + a
+
+
+class Group:
+    def __init__(self, index: Index, size: int, members: list[int]):
+        self.size, self.items = size, np.array(members)
+        self.length = np.array([len(index.normal[i]) for i in members])
+        self.edits = np.array([index.edits[i] for i in members])
+        self.pieces = self.length // size
+        self.span = int((self.length + self.edits).max())
+        self.part = max(PART, 4 * self.span)
+        self.bits = min(21, max(12, math.ceil(math.log2(8 * self.pieces.sum()))))
+        # a counter holds `width` neighbouring shifts, and three of them any edits + 1
+        self.width = self.edits // 2 + 1
+        counters = (self.part + self.length) // self.width + 4
+        self.base = np.concatenate([[0], np.cumsum(counters)])
+        self.least = np.repeat(self.pieces - self.edits, counters).astype(np.int32)
+        hashes = [grams(codes(index.normal[i]), size, self.bits) for i in members]
+        common = np.bincount(np.concatenate(hashes), minlength=1 << self.bits)
+        owner, place, piece, key = [], [], [], []
+        for k, h in enumerate(hashes):
+            # of the cuts with as many pieces the one whose pieces are rarest
+            first = min(range(self.length[k] % size + 1), key=lambda p: common[h[p::size][: self.pieces[k]]].sum())
+            at = first + size * np.arange(self.pieces[k])
+            owner.append(np.full(len(at), k))
+            place.append(at)
+            piece.append(np.arange(len(at)))
+            key.append(h[at])
+        order = np.argsort(np.concatenate(key), kind="stable")
+        self.owner, self.place, self.piece = (np.concatenate(x)[order].astype(np.int32) for x in (owner, place, piece))
+        self.start = np.searchsorted(np.concatenate(key)[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        # counter of a piece found at j: j / width + from, rounded down
+        self._by = 1 / self.width[self.owner]
+        self._from = self.base[self.owner] + (self.length[self.owner] - self.place + 0.5) * self._by
+
+    def _found(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the text, entry of the index, counter) of the pieces that a text holds."""
+        j = np.flatnonzero(self.start[h + 1] > self.start[h])
+        n = (self.start[h[j] + 1] - self.start[h[j]]).astype(np.int64)
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(j):
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + HITS, "right")))
+            k = n[a:b]
+            entry = np.arange(ends[b - 1] - done) + np.repeat(self.start[h[j[a:b]]] - (ends[a:b] - k - done), k)
+            at = np.repeat(j[a:b].astype(np.int32), k)
+            yield at, entry, (at * self._by[entry] + self._from[entry]).astype(np.int64)
+            a = b
+
+    def candidates(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        h = grams(text, self.size, self.bits)
+        count: np.ndarray | int = 0
+        found = self._found(h)
+        once = int((self.start[h + 1] - self.start[h]).sum()) <= HITS
+        if once:
+            found = list(found)
+        for _, _, counter in found:
+            count = np.bincount(counter, minlength=self.base[-1]) + count
+        if isinstance(count, int):
+            return
+        total = np.zeros(len(count) + 3, np.int32)
+        np.cumsum(count, out=total[1:-2])
+        total[-2:] = total[-3]
+        enough = total[3:] - total[:-3] >= self.least
+        if not enough.any():
+            return
+        # regions: counters of one item that some three of enough pieces cover; the last counters of an item are empty
+        covered = enough.copy()
+        covered[1:] |= enough[:-1]
+        covered[2:] |= enough[:-2]
+        new = covered.copy()
+        new[1:] &= ~covered[:-1]
+        new[self.base[:-1]] = covered[self.base[:-1]]
+        region_of = np.cumsum(new, dtype=np.int64) - 1
+        parts = []
+        for at, entry, counter in found if once else self._found(h):
+            there = covered[counter]
+            parts.append((region_of[counter[there]], at[there].astype(np.int64), entry[there]))
+        region, at, entry = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(region * (len(text) + 1) + at, kind="stable")
+        region, at, entry = region[order], at[order], entry[order]
+        first = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
+        size = np.diff(np.r_[first, len(region)])
+        item, piece, shift = self.owner[entry[first]], self.piece[entry].astype(np.int64), at - self.place[entry]
+        good = np.repeat(size > CHAIN, size)
+        below = 0
+        for top in (12, 16, 20, 24, 32, 48, 64, 128, 256, CHAIN):
+            own = np.flatnonzero((size > below) & (size <= top))
+            below = top
+            some = max(1, (1 << 15) // top)
+            for a in range(0, len(own), some):
+                part = own[a : a + some]
+                good[self._bounded(item[part], first[part], size[part], at, piece, shift)] = True
+        hit = np.flatnonzero(good)
+        region = np.repeat(np.arange(len(first)), size)[hit]
+        for r, a in zip(*np.unique(region, return_index=True), strict=True):
+            last = int(np.searchsorted(region, r, "right"))
+            shifts, k = shift[hit[a:last]], int(self.edits[item[r]])
+            yield int(self.items[item[r]]), max(0, int(shifts.min()) - k), min(len(text), int(shifts.max() + self.length[item[r]]) + k)
+
+    def _bounded(self, item: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray, piece: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """The pieces of regions at which a chain ends, in the order of the text, that is within the item's edits."""
+        n = int(size.max())
+        there = np.arange(n)[:, None] < size
+        cell = np.where(there, first + np.arange(n)[:, None], 0)
+        at, piece, shift = (np.where(there, x[cell] - x[first], 0) + plus for x, plus in ((at, 0), (piece, piece[first]), (shift, 0)))
+        # no chain is longer than the longest passage: so many pieces back at most
+        back = 1
+        while back < n and (there[back:] & (at[back:] - at[:-back] <= self.span)).any():
+            back += 1
+        least = max(np.abs(shift).max(), self.pieces.max(), self.edits.max())
+        kind, far, bits = (np.int16, 1 << 14, 15) if least < 4000 else (np.int32, 1 << 29, 31)
+        far = kind(far)
+        piece, shift = piece.astype(kind), shift.astype(kind)
+        cost = np.where(there, piece, far)
+        for t in range(1, n):
+            a = max(0, t - back)
+            missing = (piece[t] - kind(1)) - piece[a:t]
+            link = np.abs(shift[t] - shift[a:t])
+            np.maximum(link, missing, out=link)
+            link += cost[a:t]
+            # pieces in another order than the item's aren't linked
+            missing >>= kind(bits)
+            missing &= far
+            link |= missing
+            np.minimum(cost[t], link.min(axis=0), out=cost[t])
+        return cell[there & (cost + (self.pieces[item] - 1 - piece) <= self.edits[item])]
+
+
+def _passages(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _end, data, offsets in chunks(batch):
-                w = Words(data, offsets, ALNUM)
+            for first, end, data, offsets in chunks(batch):
+                texts = [normal(data[offsets[i] : offsets[i + 1] - 1].tobytes()) for i in range(end - first)]
+                # a character that no item holds ends each text
+                start = np.cumsum([0, *(len(x) + 1 for x in texts)])
+                whole = np.full(start[-1], 0x110000, np.uint32)
+                for a, x in zip(start, texts, strict=False):
+                    whole[a : a + len(x)] = codes(x)
                 best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                tried: set[tuple[int, int, int]] = set()
-                for text, item, begin in sorted(index.candidates(w)):
-                    n, pattern = index.words[item], index.normal[item]
-                    slack = max(2, n // 4)
-                    coarse = (text, item, begin // max(1, slack // 2))
-                    if coarse in tried:
-                        continue
-                    tried.add(coarse)
-                    low, high = w.bounds[text], w.bounds[text + 1]
-                    a, b = max(low, begin - 2 * slack), min(high, begin + n + 2 * slack)
-                    at = int(w.start[a]) if a > low else int(offsets[text])
-                    part = normal(data[at : int(w.end[b - 1]) if b < high else int(offsets[text + 1]) - 1].tobytes())
-                    distance = 0 if pattern in part else edit_distance_within(pattern, part)[0]
-                    if distance <= (1 - similarity) * len(pattern) + 1e-9:
-                        best[text, item] = min(best.get((text, item), (1 << 30, 0, 0)), (distance, max(0, int(begin - low)), len(pattern)))
+                for item, low, high in index.candidates(whole):
+                    pattern, edits = index.normal[item], index.edits[item]
+                    for t in range(int(np.searchsorted(start, low, "right")) - 1, int(np.searchsorted(start, high))):
+                        if t >= len(texts):
+                            break
+                        a, b = max(0, low - int(start[t])), min(len(texts[t]), high - int(start[t]))
+                        known = best.get((t, item), (edits + 1, 0, 0))
+                        if b - a < len(pattern) - edits or not known[0]:
+                            continue
+                        part = texts[t][a:b]
+                        exact = part.find(pattern)
+                        distance, begin = (0, exact) if exact >= 0 else edit_distance_within(pattern, part)
+                        if distance < known[0]:
+                            begin = a + begin if exact >= 0 else max(0, a + begin - len(pattern))
+                            best[t, item] = (distance, texts[t].count(" ", 0, begin), len(pattern))
                 if best:
                     rows = [(t + first, index.ids[i], *x) for (t, i), x in sorted(best.items())]
                     cols = list(zip(*rows, strict=True))
@@ -167,7 +284,7 @@ def _passages(docs: DataFrame, index: Index, similarity: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, word long, distance long, similarity double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 3, tables: int = 6, samples: int = 6, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, word (about the number of the word at which the passage begins), distance and similarity for
     every document and benchmark item of which the document holds a passage whose edit distance from the whole item
     is (1 - similarity) of the item's characters at most; the best passage of each pair.
@@ -182,7 +299,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     for k in range(blocks):
         # a block's size is bounded by block_chars, give or take the spread of a hash
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        found = _passages(docs, Index([r[0] for r in rows], [r[1] for r in rows], walks, tables, samples), similarity)
+        found = _passages(docs, Index([r[0] for r in rows], [r[1] for r in rows], similarity))
         out = found if out is None else out.unionByName(found)
     return out
 
