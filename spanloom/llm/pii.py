@@ -20,28 +20,31 @@ MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "M", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа")
 NEUTRAL = ("Dr", "Prof")
 TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
+#: Keywords of secrets, in any case.
+PASSWORD, SECRET = "(?i:password)", "(?i:token|secret|api_?key)"
+#: A word of a name, with hyphens and apostrophes (O'Neil, Müller-Schmidt), or initials; not the beginning of a key or an address.
+PART = r"(?:(?:\p{Lu}\.)++|\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+)(?![\p{L}\p{N}_@]|[._%+-][\p{L}\p{N}._%+-]*+@)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
-    "secret": r"\bpassword ?[=:] ?\"?[^\s\",;]{4,200}|\b(?:token|secret|api_?key) ?[=:] ?\"?[A-Za-z0-9_/+.-]{16,200}",
+    "secret": rf"{PASSWORD} ?[=:] ?\"?[^\s\",;]{{4,}}+|{SECRET} ?[=:] ?\"?[A-Za-z0-9_/+.-]{{16,}}+",
     "access_key": r"\bA[KS]IA[0-9A-Z]{16}\b",
     "phone": r"\+\d{1,3}(?:[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:[ .-]?\d{2,4}){2,4})(?!\d)|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])(?:(?:\d{4}[ -]){3}\d{4}(?![\d-])|\d{13,19}(?!\d))",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "name": rf"\b(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"\b(?:{TITLES})\.? {PART}(?: {PART})*+",
 }
-#: All of them begin where no letter or digit stands before.
-ANY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
+#: All of them begin where no letter or digit stands before; secrets also within names, as in DB_PASSWORD or dbPassword.
+ANY = r"(?:(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + r")|(?:(?<=_)|(?<=\p{Ll})(?=\p{Lu}))(?:" + PATTERNS["secret"] + "))"
 #: What stands before the value in a match, and stays.
-LEAD = rf"^(?:(?:password|token|secret|api_?key) ?[=:] ?\"?|(?:{TITLES})\.? (?=\p{{Lu}}))?"
+LEAD = rf"^(?:(?:{PASSWORD}|{SECRET}) ?[=:] ?\"?|(?:{TITLES})\.? (?=\p{{Lu}}))?"
 TITLED = rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}"
 
 
 def hint(text: Column) -> Column:
     """False only for texts that hold no entity: cheap tests come first."""
     out = text.rlike(r"[@\d]")
-    for word in ("password", "token", "secret", "api_key", "apikey"):
-        out |= text.contains(word)
+    out |= text.rlike(r"(?i)(?:password|token|secret|api_?key) ?[=:]")
     return out | (text.rlike(r"[MHSFDPг][\p{L}-]{0,7}\.? \p{Lu}") & text.rlike(TITLED))
 
 
@@ -113,13 +116,18 @@ def _name(value: Column, kind: Column, key: str, attempt: Column) -> Column:
     """Each word by itself, so that a surname is the same with and without a given name. A given name ends as the
     gender has it."""
 
-    def word(w: Column, i: Column) -> Column:
+    def spelled(w: Column) -> Column:
         digest = F.sha2(F.concat(F.lit(key + "\0name\0"), F.lower(w), F.lit("\0"), attempt.cast("string")), 256)
         nibble = [F.conv(F.substr(digest, F.lit(k + 1), F.lit(1)), 16, 10).cast("int") + 1 for k in range(5)]
-        spelled = [F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES[s])), n) for n in nibble]) for s in ("latin", "cyrillic")]
-        given = (F.size(F.split(value, " ")) > 1) & (i == 0)
-        ends = [F.when(given & (kind == "name_m"), a).when(given & (kind == "name_f"), b).otherwise("") for a, b in (("n", "lia"), ("н", "ия"))]
-        return F.initcap(F.when(w.rlike(r"\p{IsCyrillic}"), F.concat(spelled[1], ends[1])).otherwise(F.concat(spelled[0], ends[0])))
+        latin, cyrillic = (F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES[s])), n) for n in nibble]) for s in ("latin", "cyrillic"))
+        full = F.initcap(F.when(w.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin))
+        # initials stay initials beside a whole word
+        return F.when(w.endswith(".") & value.rlike(r"\p{L}\p{L}"), F.regexp_replace(w, F.lit(r"\p{Lu}"), F.substr(full, F.lit(1), F.lit(1)))).otherwise(full)
+
+    def word(w: Column, i: Column) -> Column:
+        given = (F.size(F.split(value, " ")) > 1) & (i == 0) & ~w.endswith(".")
+        latin, cyrillic = (F.when(given & (kind == "name_m"), a).when(given & (kind == "name_f"), b).otherwise("") for a, b in (("n", "lia"), ("н", "ия")))
+        return F.concat(F.array_join(F.transform(F.split(w, "-"), spelled), "-"), F.when(w.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin))
 
     return F.array_join(F.transform(F.split(value, " "), word), " ")
 

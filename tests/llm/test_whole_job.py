@@ -29,3 +29,23 @@ def test_decontamination_finds_every_passage_of_scattered_character_edits(spark,
             if distance <= int(0.2 * len(normal(item.encode())) + 1e-9):
                 want[d, k] = distance
     assert {(r.doc_id, r.item_id): r.distance for r in found} == want and len(found) == len(want) and len(want) >= 144
+
+
+def test_secrets_in_any_case_and_length_and_whole_names(spark):
+    from spanloom.llm.pii import pseudonymise
+
+    key, jwt = "9233A8EC5571BB02", "eyJhbGciOi" + "Qx7Zk9" * 60
+    secrets = [f'TOKEN = "{key}"', f"Token: {key}", f"API_KEY={key}", "Password: Hunter22", "DB_PASSWORD=Hunter22", f"accessToken={key}", f"token={jwt}", "password=" + "h7" * 150]
+    names = ["Frau Müller-Schmidt", "Mr John Ronald Tolkien", "Dr J. R. Tolkien", "Mr O'Neil", "Mrs Anna Maria Louise Smith"]
+    keep = ["token of thanks", "Passwords are long", "tokenizer: abc"]
+    rows = [(k, f"See {x}, then. The end") for k, x in enumerate([*secrets, *names, *keep])]
+    out = {r.doc_id: r for r in pseudonymise(docs(spark, rows), report=True).collect()}
+    for k, x in enumerate([*secrets, *names]):
+        new = out[k].text
+        assert new.startswith("See ") and new.endswith(", then. The end") and len(out[k].entities) == 1
+        for part in (key, "Qx7Zk9Q", "Hunter", "h7h7", "Schmidt", "ller", "Ronald", "Tolkien", "John", "Neil", "Anna", "Maria", "Louise", "Smith"):
+            assert part not in new
+    assert len(out[6].text) == len(rows[6][1]) and out[8].text.count("-") == 1 and out[10].text.count(".") == 3
+    assert all(out[k].text == t and not out[k].entities for k, t in rows[-3:])
+    end = pseudonymise(docs(spark, [(1, "By Mrs Anna Smith. The mail of Mr Bob.S@mail.example.com is")])).first().text
+    assert end.endswith("is") and ". The mail of Mr " in end and "Smith" not in end and "Bob" not in end
