@@ -6,8 +6,12 @@ needs doesn't follow the size of Spark's Arrow batches; only a single longer tex
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import os
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -25,14 +29,25 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests) is one made here."""
+    """The folder that driver and executors share, from the session's spark.checkpoint.dir. Where the session names
+    none, a local one is made on a local master; on a cluster that is an error, as executors wouldn't see it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"spanloom-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free_name(name: str, *taken) -> str:
+    """The name, with underscores before it until none of the columns or data frames has it, in any letter case."""
+    used = {c.lower() for t in taken for c in (t.columns if isinstance(t, DataFrame) else [t])}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: it is computed once and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +55,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run):
+    """The function for tasks, which at its end gives the memory that it has freed back to the system: a worker stays
+    for tasks of other stages, and on an executor the JVM needs it then."""
+
+    def back() -> None:
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+        pa.default_memory_pool().release_unused()
+
+    def of_batches(batches):
+        yield from run(batches)
+        back()
+
+    def of_group(pdf):
+        out = run(pdf)
+        back()
+        return out
+
+    return of_batches if inspect.isgeneratorfunction(run) else of_group
+
+
 def held_out(column, remainder: int):
     """True where crc32(doc_id as text) mod 5 is the remainder; a null doc_id is never held out."""
     return F.coalesce(F.crc32(column.cast("string")) % 5 == remainder, F.lit(False))
@@ -65,6 +101,21 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         first = end
 
 
+def lowered(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES >> 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same as `chunks`, in lower-cased code points instead of bytes."""
+    texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
+    first, n = 0, len(texts)
+    while first < n:
+        held, size, end = [], 0, first
+        while end < n and (not held or size < limit):
+            held.append(texts[end].as_py().lower())
+            size += len(held[-1]) + 1
+            end += 1
+        offsets = np.cumsum([0, *(len(t) + 1 for t in held)])
+        yield first, end, np.frombuffer((" ".join(held) + " ").encode("utf-32-le", "surrogatepass"), np.uint32), offsets
+        first = end
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2^64."""
     if n > len(_powers.get("up", ())):
@@ -124,6 +175,43 @@ class Words:
         return mix((self._sum[end] - self._sum[start]) * self._down[start])
 
 
+def _kinds() -> np.ndarray:
+    """Of every character: 1 within words (letters, digits, marks), 2 a word by itself, 0 between words."""
+    kind = np.zeros(0x110000, np.uint8)
+    kind[:0x33480] = [c.isalnum() or unicodedata.category(c)[0] == "M" for c in map(chr, range(0x33480))]
+    for a, b in SINGLE:
+        kind[a:b] *= 2
+    return kind
+
+
+#: Ranges of scripts without spaces between words (fixed values): Thai and Lao, Myanmar, Khmer, Kana, Han.
+SINGLE = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xF900, 0xFB00), (0x20000, 0x33480))
+_kind: list[np.ndarray] = []
+
+
+class AnyWords(Words):
+    """The words of a lowered chunk: runs of letters, digits and marks of any script; in scripts without spaces every
+    character is a word."""
+
+    def __init__(self, codes: np.ndarray, offsets: np.ndarray):
+        if not _kind:
+            _kind.append(_kinds())
+        kind = _kind[0][codes]
+        run = kind == 1
+        inner = np.zeros(len(run), bool)
+        inner[1:] = run[1:] & run[:-1]
+        self.start = np.flatnonzero((kind > 0) & ~inner)
+        last = kind > 0
+        last[:-1] &= ~inner[1:]
+        self.end = np.flatnonzero(last) + 1
+        up, self._down = _power(len(codes) + 1)
+        self._sum = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self._sum[1:])
+        self.bounds = np.searchsorted(self.start, offsets)
+        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
+        self.hash = self.of(self.start, self.end)
+
+
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of every run of `size` words within a text; a text of fewer words has one, of all its words."""
     h, counts = words.hash, np.diff(words.bounds)

@@ -1,12 +1,15 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Case and white space are normalised first. Candidates come from a filter that loses nothing. An item is cut into
-disjoint pieces of a few characters; each edit spoils one piece at most, so a passage within k edits holds all but k
-pieces unchanged, at places that shift against the item by k at most. Pieces found in a text are counted by item and
-shift. Where enough lie within k shifts, the cheapest chain of them bounds the edits from below: between two pieces of
-a chain there are as many edits as pieces are missing, and as many as the shift changes. Passages whose bound is k at
-most are verified exactly: the least edit distance, in characters, between the item and any part of the text around.
-The recall is 1 at every similarity, whatever the edits and wherever they are.
+Candidates come from CGK embeddings of word sequences. A random walk reads a sequence: at every step it writes down the
+word under it, and a random bit of step and word tells whether it moves on. Two sequences at a small edit distance fall
+into step again after every edit, so their embeddings agree in most steps: edit distance becomes Hamming distance.
+Locality-sensitive hashing samples a few neighbouring steps of the embedding; each such sample of a window is a key.
+
+Items are put in classes of similar size. A window is as long as the shortest item of its class. Windows of a text
+begin every few words; those of an item begin at each of its words, so some pair of them always begins in the same
+place. How many walks a class takes is found by trying them on its own items with words edited at the limit, until
+the target recall is reached. Every candidate is verified exactly: the least edit distance, in characters, between the
+item and any part of the text around.
 
 The items' index goes to every task, in blocks of a bounded size; documents are only mapped, never shuffled.
 """
@@ -21,19 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import chunks, mix
+from spanloom.llm.common import AnyWords, free_name, lowered
 
-#: Characters of benchmark items that are sent to the tasks at once; more items take more passes.
-BLOCK_CHARS = 8_000_000
-#: Characters of text and counters of an index handled at once, and pieces found at once, to bound the memory.
-PART, COUNTERS, HITS = 1 << 17, 1 << 22, 1 << 21
-#: Regions of more pieces than this are verified without a bound.
-CHAIN = 1024
+#: Characters of benchmark items whose index is in a task at once; more items take more passes.
+BLOCK_CHARS = 1_000_000
+#: Steps sampled for a key, steps between them, keys of a window, and walks at most.
+SAMPLES, APART, KEYS, WALKS = 3, 2, 8, 8
+#: Items on which walks are tried out, and copies of each.
+TRIED, COPIES = 24, 4
+#: Windows of a text that walk at once.
+PART = 1 << 15
 
 
-def normal(data: bytes) -> str:
+def normal(text: str) -> str:
     """Lower case, and single spaces for all white space."""
-    return " ".join(data.decode("utf-8", "replace").lower().split())
+    return " ".join(text.lower().split())
 
 
 def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
@@ -66,245 +71,255 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
-def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
-
-
-def grams(c: np.ndarray, size: int, bits: int) -> np.ndarray:
-    """A hash of `bits` bits of every run of `size` characters."""
-    h = np.zeros(max(0, len(c) - size + 1), np.uint64)
-    for i in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + len(h)]
-    return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
+def size_class(words: int) -> int:
+    """The shortest item of the class of an item: any size below eight, then powers of two."""
+    return words if words < 8 else 1 << (words.bit_length() - 1)
+
+
+class Walk:
+    """One random walk over windows of `size` words, and the steps that its keys sample."""
+
+    def __init__(self, size: int, seed: int):
+        rng = np.random.default_rng([size, seed])
+        samples = min(SAMPLES, size)
+        self.steps = 2 * size
+        self.stride = max(1, size // 8)
+        self.odd = rng.integers(0, 1 << 31, self.steps, np.uint32) * np.uint32(2) + np.uint32(1)
+        last = max(0, self.steps - 1 - APART * (samples - 1))
+        begins = np.unique(np.linspace(0, last, min(KEYS, size)).astype(int))
+        self.samples = [[min(b + APART * k, self.steps - 1) for k in range(samples)] for b in begins.tolist()]
+        self.factors = rng.integers(0, 1 << 62, (len(begins), samples), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keys(self, symbols: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each key of a window (key, place of its last word, whether it holds): symbols are words, each text
+        followed by a 0. A key that samples a word twice or reaches the text's end doesn't hold."""
+        at = starts.astype(np.intp)
+        wanted: dict[int, list[tuple[int, int]]] = {}
+        for key, steps in enumerate(self.samples):
+            for k, step in enumerate(steps):
+                wanted.setdefault(step, []).append((key, k))
+        value: list = [np.uint64(0)] * len(self.samples)
+        before: list = [-1] * len(self.samples)
+        good: list = [True] * len(self.samples)
+        for step in range(max(wanted) + 1):
+            word = symbols.take(at, mode="clip")
+            for key, k in wanted.get(step, ()):
+                value[key] = value[key] + word * self.factors[key, k]
+                good[key] = good[key] & (at > before[key])
+                before[key] = at
+            # a 0 never moves on
+            at = at + ((word * self.odd[step]) >> np.uint32(31)).view(np.int32)
+        return [(v, b, g & (symbols.take(b) != 0)) for v, b, g in zip(value, before, good, strict=True)]
+
+
+class Table:
+    """The keys of a class's items under one walk: sorted keys with items and places, and a bitmap before them."""
+
+    def __init__(self, walk: Walk, items: list[np.ndarray], numbers: list[int]):
+        self.walk = walk
+        symbols = np.concatenate([np.r_[x, np.uint32(0)] for x in items])
+        length = np.array([len(x) for x in items])
+        first = np.cumsum(length + 1) - length - 1
+        owner = np.repeat(np.arange(len(items)), length)
+        starts = np.concatenate([f + np.arange(n) for f, n in zip(first, length, strict=True)])
+        found = walk.keys(symbols, starts)
+        key = np.concatenate([np.where(g, v + np.uint64(k), 0)[g] for k, (v, _, g) in enumerate(found)])
+        item = np.concatenate([owner[g] for _, _, g in found])
+        place = np.concatenate([(b - first[owner])[g] for _, b, g in found])
+        order = np.argsort(key, kind="stable")
+        self.key, self.place, self.item = key[order], place[order].astype(np.int32), np.array(numbers, np.int32)[item[order]]
+        self.shift = np.uint64(64 - min(24, max(12, math.ceil(math.log2(24 * len(key) + 1)))))
+        self.there = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.there[(self.key >> self.shift).astype(np.int64)] = True
+
+    def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, place of its first word in symbols if no edit came before) of windows with an item's key."""
+        for k, (value, at, good) in enumerate(self.walk.keys(symbols, starts)):
+            value = value + np.uint64(k)
+            hit = np.flatnonzero(self.there.take((value >> self.shift).view(np.int64)) & good)
+            value, at = value[hit], at[hit]
+            low = np.searchsorted(self.key, value)
+            n = np.searchsorted(self.key, value, "right") - low
+            entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield self.item[entry], np.repeat(at, n) - self.place[entry]
+
+
+def scattered(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The words with so many of them, at random, left out, replaced, or with another before them."""
+    out = words.tolist()
+    for place in sorted(rng.choice(len(out), edits, replace=False).tolist(), reverse=True):
+        other = int(rng.integers(1, 1 << 31)) * 2 + 1
+        out[place : place + 1] = ([], [other], [other, out[place]])[int(rng.integers(3))]
+    return np.array(out, np.uint32)
+
+
+def symbols_of(texts: list[str]) -> list[np.ndarray]:
+    """The words of texts as 32-bit symbols, none of them 0."""
+    out: list[np.ndarray] = []
+    for _, _, codes, offsets in lowered(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+        w = AnyWords(codes, offsets)
+        out += np.split(symbols(w), w.bounds[1:-1])
+    return out
 
 
-def piece_size(length: int, edits: int) -> int:
-    """The longest pieces of which enough stay whole for few texts to hold them by chance, but one at least."""
-    for least in (max(1, 0.04 * length), 1):
-        for size in range(12, 0, -1):
-            if length // size - edits >= least:
-                return size
-    raise ValueError("a similarity above 0 is needed")
+def symbols(words: AnyWords) -> np.ndarray:
+    return (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def walks(size: int, texts: list[str], similarity: float, recall: float) -> tuple[list[Walk], float]:
+    """The walks that a class takes, and the share of edited copies of its items that they find: so many that copies
+    with edits scattered over (1 - similarity) of their words, between other words, are found with the target recall;
+    WALKS at most."""
+    rng = np.random.default_rng([size, 11])
+    own = symbols_of(texts[:TRIED])
+    tests = []
+    for words in own:
+        for edited in (scattered(words, int((1 - similarity) * len(words) + 1e-9), rng) for _ in range(COPIES)):
+            around = rng.integers(1, 1 << 32, int(rng.integers(size)) + 1, np.uint32) | np.uint32(1)
+            tests.append((words, np.r_[around, edited, around, np.uint32(0)]))
+    found = np.zeros(len(tests), bool)
+    out: list[Walk] = []
+    while len(out) < WALKS and found.mean() < recall:
+        out.append(Walk(size, len(out)))
+        for k, (words, text) in enumerate(tests):
+            if not found[k]:
+                table = Table(out[-1], [words], [0])
+                found[k] = any(len(i) for i, _ in table.candidates(text, np.arange(0, len(text) - 1, out[-1].stride)))
+    return out, float(found.mean())
 
 
 class Index:
-    """Pieces of benchmark items, in groups of one piece size and a bounded number of counters."""
+    """Tables of benchmark items, for each class and walk."""
 
-    def __init__(self, ids: list[int], texts: list[str], similarity: float):
-        self.ids = ids
-        self.normal = [normal(x.encode()) for x in texts]
+    def __init__(self, ids: list[int], texts: list[str], similarity: float, plan: dict[int, int]):
+        self.ids, self.normal = ids, [normal(x) for x in texts]
         self.edits = [int((1 - similarity) * len(x) + 1e-9) for x in self.normal]
-        kinds: dict[int, list[int]] = {}
-        for i, x in enumerate(self.normal):
-            if any(c.isalnum() for c in x):
-                kinds.setdefault(piece_size(len(x), self.edits[i]), []).append(i)
-        self.groups = []
-        for size, members in sorted(kinds.items()):
-            # long items by themselves: the part of a text that is handled at once grows with them
-            members.sort(key=lambda i: len(self.normal[i]))
-            group: list[int] = []
-            for i in members:
-                if group and self._counters([*group, i]) > COUNTERS:
-                    self.groups.append(Group(self, size, group))
-                    group = []
-                group.append(i)
-            self.groups.append(Group(self, size, group))
-
-    def _counters(self, group: list[int]) -> int:
-        part = max(PART, 4 * (len(self.normal[group[-1]]) + self.edits[group[-1]]))
-        return sum((part + len(self.normal[i])) // (self.edits[i] // 2 + 1) for i in group)
-
-    def candidates(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end): parts of the text's codes, one of which holds any passage within the item's edits."""
-        for group in self.groups:
-            step = group.part - group.span
-            for a in range(0, max(1, len(text) - group.span), step):
-                for item, low, high in group.candidates(text[a : a + group.part]):
-                    yield item, low + a, high + a
-
-
-class Group:
-    def __init__(self, index: Index, size: int, members: list[int]):
-        self.size, self.items = size, np.array(members)
-        self.length = np.array([len(index.normal[i]) for i in members])
-        self.edits = np.array([index.edits[i] for i in members])
-        self.pieces = self.length // size
-        self.span = int((self.length + self.edits).max())
-        self.part = max(PART, 4 * self.span)
-        self.bits = min(21, max(12, math.ceil(math.log2(8 * self.pieces.sum()))))
-        # a counter holds `width` neighbouring shifts, and three of them any edits + 1
-        self.width = self.edits // 2 + 1
-        counters = (self.part + self.length) // self.width + 4
-        self.base = np.concatenate([[0], np.cumsum(counters)])
-        self.least = np.repeat(self.pieces - self.edits, counters).astype(np.int32)
-        hashes = [grams(codes(index.normal[i]), size, self.bits) for i in members]
-        common = np.bincount(np.concatenate(hashes), minlength=1 << self.bits)
-        owner, place, piece, key = [], [], [], []
-        for k, h in enumerate(hashes):
-            # of the cuts with as many pieces the one whose pieces are rarest
-            first = min(range(self.length[k] % size + 1), key=lambda p: common[h[p::size][: self.pieces[k]]].sum())
-            at = first + size * np.arange(self.pieces[k])
-            owner.append(np.full(len(at), k))
-            place.append(at)
-            piece.append(np.arange(len(at)))
-            key.append(h[at])
-        order = np.argsort(np.concatenate(key), kind="stable")
-        self.owner, self.place, self.piece = (np.concatenate(x)[order].astype(np.int32) for x in (owner, place, piece))
-        self.start = np.searchsorted(np.concatenate(key)[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
-        # counter of a piece found at j: j / width + from, rounded down
-        self._by = 1 / self.width[self.owner]
-        self._from = self.base[self.owner] + (self.length[self.owner] - self.place + 0.5) * self._by
-
-    def _found(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in the text, entry of the index, counter) of the pieces that a text holds."""
-        j = np.flatnonzero(self.start[h + 1] > self.start[h])
-        n = (self.start[h[j] + 1] - self.start[h[j]]).astype(np.int64)
-        ends = np.cumsum(n)
-        a = 0
-        while a < len(j):
-            done = ends[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(ends, done + HITS, "right")))
-            k = n[a:b]
-            entry = np.arange(ends[b - 1] - done) + np.repeat(self.start[h[j[a:b]]] - (ends[a:b] - k - done), k)
-            at = np.repeat(j[a:b].astype(np.int32), k)
-            yield at, entry, (at * self._by[entry] + self._from[entry]).astype(np.int64)
-            a = b
-
-    def candidates(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        h = grams(text, self.size, self.bits)
-        count: np.ndarray | int = 0
-        found = self._found(h)
-        once = int((self.start[h + 1] - self.start[h]).sum()) <= HITS
-        if once:
-            found = list(found)
-        for _, _, counter in found:
-            count = np.bincount(counter, minlength=self.base[-1]) + count
-        if isinstance(count, int):
-            return
-        total = np.zeros(len(count) + 3, np.int32)
-        np.cumsum(count, out=total[1:-2])
-        total[-2:] = total[-3]
-        enough = total[3:] - total[:-3] >= self.least
-        if not enough.any():
+        words = symbols_of(texts)
+        self.words = np.array([len(x) for x in words])
+        # words that the edits can add before and after a passage
+        self.slack = np.array([min(e, int((1 - similarity) * 4 * len(w)) + 4) for e, w in zip(self.edits, words, strict=True)])
+        classes: dict[int, list[int]] = {}
+        for i, x in enumerate(words):
+            if len(x):
+                classes.setdefault(size_class(len(x)), []).append(i)
+        self.tables = [Table(Walk(size, k), [words[i] for i in own], own) for size, own in sorted(classes.items()) for k in range(plan[size])]
+
+    def candidates(self, words: AnyWords) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first word, end word): parts of texts, each to be verified against the item."""
+        n, texts = len(words.hash), len(words.bounds) - 1
+        # a 0 after every text
+        line = np.zeros(n + texts + 1, np.uint32)
+        place = np.arange(n) + words.text
+        line[place] = symbols(words)
+        seen = []
+        for table in self.tables:
+            for a in range(0, n, PART):
+                starts = place[a : a + PART : table.walk.stride]
+                for item, at in table.candidates(line, starts):
+                    if len(item):
+                        seen.append((item.astype(np.int64), at.astype(np.int64)))
+        if not seen:
             return
-        # regions: counters of one item that some three of enough pieces cover; the last counters of an item are empty
-        covered = enough.copy()
-        covered[1:] |= enough[:-1]
-        covered[2:] |= enough[:-2]
-        new = covered.copy()
-        new[1:] &= ~covered[:-1]
-        new[self.base[:-1]] = covered[self.base[:-1]]
-        region_of = np.cumsum(new, dtype=np.int64) - 1
-        parts = []
-        for at, entry, counter in found if once else self._found(h):
-            there = covered[counter]
-            parts.append((region_of[counter[there]], at[there].astype(np.int64), entry[there]))
-        region, at, entry = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(region * (len(text) + 1) + at, kind="stable")
-        region, at, entry = region[order], at[order], entry[order]
-        first = np.flatnonzero(np.r_[True, region[1:] != region[:-1]])
-        size = np.diff(np.r_[first, len(region)])
-        item, piece, shift = self.owner[entry[first]], self.piece[entry].astype(np.int64), at - self.place[entry]
-        good = np.repeat(size > CHAIN, size)
-        below = 0
-        for top in (12, 16, 20, 24, 32, 48, 64, 128, 256, CHAIN):
-            own = np.flatnonzero((size > below) & (size <= top))
-            below = top
-            some = max(1, (1 << 15) // top)
-            for a in range(0, len(own), some):
-                part = own[a : a + some]
-                good[self._bounded(item[part], first[part], size[part], at, piece, shift)] = True
-        hit = np.flatnonzero(good)
-        region = np.repeat(np.arange(len(first)), size)[hit]
-        for r, a in zip(*np.unique(region, return_index=True), strict=True):
-            last = int(np.searchsorted(region, r, "right"))
-            shifts, k = shift[hit[a:last]], int(self.edits[item[r]])
-            yield int(self.items[item[r]]), max(0, int(shifts.min()) - k), min(len(text), int(shifts.max() + self.length[item[r]]) + k)
-
-    def _bounded(self, item: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray, piece: np.ndarray, shift: np.ndarray) -> np.ndarray:
-        """The pieces of regions at which a chain ends, in the order of the text, that is within the item's edits."""
-        n = int(size.max())
-        there = np.arange(n)[:, None] < size
-        cell = np.where(there, first + np.arange(n)[:, None], 0)
-        at, piece, shift = (np.where(there, x[cell] - x[first], 0) + plus for x, plus in ((at, 0), (piece, piece[first]), (shift, 0)))
-        # no chain is longer than the longest passage: so many pieces back at most
-        back = 1
-        while back < n and (there[back:] & (at[back:] - at[:-back] <= self.span)).any():
-            back += 1
-        least = max(np.abs(shift).max(), self.pieces.max(), self.edits.max())
-        kind, far, bits = (np.int16, 1 << 14, 15) if least < 4000 else (np.int32, 1 << 29, 31)
-        far = kind(far)
-        piece, shift = piece.astype(kind), shift.astype(kind)
-        cost = np.where(there, piece, far)
-        for t in range(1, n):
-            a = max(0, t - back)
-            missing = (piece[t] - kind(1)) - piece[a:t]
-            link = np.abs(shift[t] - shift[a:t])
-            np.maximum(link, missing, out=link)
-            link += cost[a:t]
-            # pieces in another order than the item's aren't linked
-            missing >>= kind(bits)
-            missing &= far
-            link |= missing
-            np.minimum(cost[t], link.min(axis=0), out=cost[t])
-        return cell[there & (cost + (self.pieces[item] - 1 - piece) <= self.edits[item])]
-
-
-def _passages(docs: DataFrame, index: Index) -> DataFrame:
+        item, at = (np.concatenate(x) for x in zip(*seen, strict=True))
+        begin = words.bounds + np.arange(texts + 1)
+        # the place lies in the text's part of the line, or before it where the item's start is cut off
+        middle = np.clip(at + self.words[item] // 2, 0, len(line) - 2)
+        text = np.minimum(np.searchsorted(begin, middle, "right") - 1, texts - 1)
+        code = np.unique(np.stack([text, item, at], axis=1), axis=0)
+        text, item, at = code.T
+        far = self.words[item] + 2 * self.slack[item]
+        new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > far[1:])]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(at)] - 1
+        low = np.maximum(at[first] - self.slack[item[first]], begin[text[first]])
+        high = np.minimum(at[last] + self.words[item[first]] + self.slack[item[first]], begin[text[first] + 1] - 1)
+        yield from zip(text[first].tolist(), item[first].tolist(), (low - text[first]).tolist(), (high - text[first]).tolist(), strict=True)
+
+
+def _shared(grams: set[int], text: str) -> int:
+    """How many places of a text begin a run of three characters of the set."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if len(c) < 3:
+        return 0
+    return sum(map(grams.__contains__, ((c[:-2] << 42) ^ (c[1:-1] << 21) ^ c[2:]).tolist()))
+
+
+def _grams(text: str) -> set[int]:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return set(((c[:-2] << 42) ^ (c[1:-1] << 21) ^ c[2:]).tolist())
+
+
+def _passages(docs: DataFrame, ids: list[int], texts: list[str], similarity: float, plan: dict[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(ids, texts, similarity, plan)
+        grams: dict[int, set[int]] = {}
         for batch in batches:
-            for first, end, data, offsets in chunks(batch):
-                texts = [normal(data[offsets[i] : offsets[i + 1] - 1].tobytes()) for i in range(end - first)]
-                # a character that no item holds ends each text
-                start = np.cumsum([0, *(len(x) + 1 for x in texts)])
-                whole = np.full(start[-1], 0x110000, np.uint32)
-                for a, x in zip(start, texts, strict=False):
-                    whole[a : a + len(x)] = codes(x)
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for item, low, high in index.candidates(whole):
+            for first, end, codes, offsets in lowered(batch):
+                words = AnyWords(codes, offsets)
+                best: dict[tuple[int, int], tuple[int, int]] = {}
+                for t, item, low, high in index.candidates(words):
                     pattern, edits = index.normal[item], index.edits[item]
-                    for t in range(int(np.searchsorted(start, low, "right")) - 1, int(np.searchsorted(start, high))):
-                        if t >= len(texts):
-                            break
-                        a, b = max(0, low - int(start[t])), min(len(texts[t]), high - int(start[t]))
-                        known = best.get((t, item), (edits + 1, 0, 0))
-                        if b - a < len(pattern) - edits or not known[0]:
-                            continue
-                        part = texts[t][a:b]
-                        exact = part.find(pattern)
-                        distance, begin = (0, exact) if exact >= 0 else edit_distance_within(pattern, part)
-                        if distance < known[0]:
-                            begin = a + begin if exact >= 0 else max(0, a + begin - len(pattern))
-                            best[t, item] = (distance, texts[t].count(" ", 0, begin), len(pattern))
+                    known = best.get((t, item), (edits + 1, 0))[0]
+                    if high <= low or not known:
+                        continue
+                    # from the word before to the word after, for marks and white space at the ends
+                    a = words.end[low - 1] if low > words.bounds[t] else offsets[t]
+                    b = words.start[high] if high < words.bounds[t + 1] else offsets[t + 1] - 1
+                    part = normal(codes[a:b].tobytes().decode("utf-32-le", "surrogatepass"))
+                    if item not in grams:
+                        grams[item] = _grams(pattern)
+                    # each edit spoils three runs of three characters at most
+                    if _shared(grams[item], part) < len(pattern) - 2 - 3 * edits:
+                        continue
+                    at = part.find(pattern)
+                    distance, at = (0, at + len(pattern)) if at >= 0 else edit_distance_within(pattern, part)
+                    if distance < known:
+                        best[t, item] = (distance, low - int(words.bounds[t]) + part[: max(0, at - len(pattern))].count(" "))
                 if best:
-                    rows = [(t + first, index.ids[i], *x) for (t, i), x in sorted(best.items())]
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([1 - d / m for d, m in zip(cols[2], cols[4], strict=True)])], ["doc_id", "item_id", "word", "distance", "similarity"])
+                    rows = [(t + first, ids[i], d, w, 1 - d / len(index.normal[i])) for (t, i), (d, w) in sorted(best.items())]
+                    doc, item_id, distance, word, alike = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(item_id, pa.int64()), pa.array(word, pa.int64()), pa.array(distance, pa.int64()), pa.array(alike)], ["doc_id", "item_id", "word", "distance", "similarity"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, word long, distance long, similarity double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, word (about the number of the word at which the passage begins), distance and similarity for
-    every document and benchmark item of which the document holds a passage whose edit distance from the whole item
-    is (1 - similarity) of the item's characters at most; the best passage of each pair.
-
-    Case and runs of white space don't count. Items that are null or without a word match nothing, and so do null
-    and empty texts. Repeated items and documents are taken row by row; rows with a null id keep it. Other columns are
-    dropped; an empty table on either side gives an empty one."""
+    documents and benchmark items of which the document holds a passage whose edit distance from the whole item is
+    (1 - similarity) of the item's characters at most; the best passage found of each pair.
+
+    `recall` is the share of such passages to be found whose edits are scattered at random over (1 - similarity) of
+    their words; with fewer words edited it is higher, with single characters edited in more words lower. Case and runs of white space don't count. Items
+    that are null or without a word match nothing, and so do null and empty texts. Items of equal text are looked for
+    once and reported each by its own id; rows with a null id keep it; repeated documents are taken row by row. Other
+    columns are dropped, whatever their names; an empty table on either side gives an empty one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    texts = items.select("text").distinct()
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
+    plan: dict[int, int] = {}
     out = None
     for k in range(blocks):
         # a block's size is bounded by block_chars, give or take the spread of a hash
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        found = _passages(docs, Index([r[0] for r in rows], [r[1] for r in rows], similarity))
+        of_block = F.pmod(F.xxhash64("text"), F.lit(blocks)) == k
+        rows = [r[0] for r in texts.where(of_block).orderBy("text").collect()]
+        classes: dict[int, list[str]] = {}
+        for text, words in zip(rows, symbols_of(rows), strict=True):
+            if len(words):
+                classes.setdefault(size_class(len(words)), []).append(text)
+        for size, own in classes.items():
+            if size not in plan:
+                plan[size] = len(walks(size, own, similarity, recall)[0])
+        found = _passages(docs, list(range(len(rows))), rows, similarity, plan)
+        named = docs.sparkSession.createDataFrame(list(enumerate(rows)), "number long, text string").join(items.where(of_block), "text").select("number", F.col("item_id").alias("own_id"))
+        found = found.join(F.broadcast(named), found["item_id"] == F.col("number")).select("doc_id", F.col("own_id").alias("item_id"), "word", "distance", "similarity")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no passage of the benchmark; see contaminated. Rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id")).where("_id is not null").distinct()
-    return docs.join(bad.hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")
+    """The documents that hold no passage of the benchmark; see contaminated. Rows with a null doc_id stay; other
+    columns may have any names."""
+    name = free_name("_id", docs)
+    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).where(F.col(name).isNotNull()).distinct()
+    return docs.join(bad.hint("merge"), F.col("doc_id") == F.col(name), "left_anti")
