@@ -2,18 +2,23 @@
 
 One regular expression finds the entities of a text; each gets a replacement derived from a keyed hash of its type and
 canonical form, so the same entity has the same surrogate everywhere (coreference) without a join. A surrogate keeps
-type, format, letter case and script, and for names after a title the gender. A table of the distinct entities, far
-smaller than the texts, is checked for collisions: two entities with one surrogate, or a surrogate that is itself an
-entity of the corpus. The later of them, in canonical order, moves on to its next surrogate until none collides; only
-texts that hold such an entity take part in a join.
+type, format, letter case and script, and for names after a title the gender. Names are replaced word by word, so a
+surname is the same with and without a given name. A table of the distinct entities and words of names, far smaller
+than the texts, is checked for collisions: two of them with one surrogate, or a surrogate that is itself one of them.
+The later, in canonical order, moves on to its next surrogate until none collides; from the fifth try on surrogates
+grow, so that rounds end however many entities share a short format. Only texts that hold such an entity take part in
+a join.
 """
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import free_name, materialize
 
 # What counts as an entity, in order of precedence.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "M", "г-н")
@@ -48,6 +53,12 @@ def hint(text: Column) -> Column:
     return out | (text.rlike(r"[MHSFDPг][\p{L}-]{0,7}\.? \p{Lu}") & text.rlike(TITLED))
 
 
+#: Alphabets of initials.
+ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
+#: Tries with surrogates of the entity's own length; every so many more they grow by a character.
+TRIES = 4
+#: Rounds after which entities of a format that can't grow (addresses of 32 bits) are taken to be too many.
+MOST_ROUNDS = 200
 #: Sixteen letters and syllables, for the sixteen digits of a hash.
 LETTERS = "bcdfghklmnprstvw"
 SYLLABLES = {
@@ -82,14 +93,27 @@ def canonical(value: Column, kind: Column) -> Column:
     return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", "")).otherwise(value)
 
 
+def _pad(chars: Column, attempt: Column) -> Column:
+    """What a surrogate has more than its entity, after some tries."""
+    return F.substr(F.concat(F.lit(""), chars), F.lit(1), F.floor(attempt / TRIES).cast("int"))
+
+
+def _digits(digest: Column) -> Column:
+    return F.translate(digest, "0abcdef", "7123456")
+
+
+def _letters(digest: Column, letters: str = LETTERS) -> Column:
+    return F.translate(digest, "0123456789abcdef", letters)
+
+
 def _spell(value: Column, digest: Column, letters: str = LETTERS) -> Column:
-    """Every digit and letter replaced by one that the hash picks; other characters stay."""
-    digits = F.translate(digest, "0abcdef", "7123456")
-    low = F.translate(digest, "0123456789abcdef", letters)
+    """Every digit and letter replaced by one that the hash picks; other characters stay, but where there is neither."""
+    digits, low = _digits(digest), _letters(digest, letters)
+    none = ~value.rlike(r"[0-9\p{L}]")
 
     def one(c: Column, i: Column) -> Column:
         at = F.pmod(i, F.lit(64)) + 1
-        return F.when(c.rlike("[0-9]"), F.substr(digits, at, F.lit(1))).when(c.rlike(r"\p{Lu}"), F.upper(F.substr(low, at, F.lit(1)))).when(c.rlike(r"\p{L}"), F.substr(low, at, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[0-9]"), F.substr(digits, at, F.lit(1))).when(c.rlike(r"\p{Lu}"), F.upper(F.substr(low, at, F.lit(1)))).when(c.rlike(r"\p{L}") | none, F.substr(low, at, F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
 
@@ -112,63 +136,83 @@ def _byte(digest: Column, k: int) -> Column:
     return F.conv(F.substr(digest, F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("int")
 
 
-def _name(value: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """Each word by itself, so that a surname is the same with and without a given name. A given name ends as the
-    gender has it."""
+def _word(word: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a word of a name: syllables of the word's script, five to begin with."""
+    digest = F.sha2(F.concat(F.lit(key + "\0name\0"), F.lower(word), F.lit("\0"), attempt.cast("string")), 256)
 
-    def spelled(w: Column) -> Column:
-        digest = F.sha2(F.concat(F.lit(key + "\0name\0"), F.lower(w), F.lit("\0"), attempt.cast("string")), 256)
-        nibble = [F.conv(F.substr(digest, F.lit(k + 1), F.lit(1)), 16, 10).cast("int") + 1 for k in range(5)]
-        latin, cyrillic = (F.concat(*[F.element_at(F.array(*map(F.lit, SYLLABLES[s])), n) for n in nibble]) for s in ("latin", "cyrillic"))
-        full = F.initcap(F.when(w.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin))
-        # initials stay initials beside a whole word
-        return F.when(w.endswith(".") & value.rlike(r"\p{L}\p{L}"), F.regexp_replace(w, F.lit(r"\p{Lu}"), F.substr(full, F.lit(1), F.lit(1)))).otherwise(full)
+    def syllable(i: Column, script: str) -> Column:
+        return F.element_at(F.array(*map(F.lit, SYLLABLES[script])), F.conv(F.substr(digest, F.pmod(i, F.lit(64)) + 1, F.lit(1)), 16, 10).cast("int") + 1)
+
+    count = F.sequence(F.lit(0), 4 + F.floor(attempt / TRIES).cast("int"))
+    spelled = lambda script: F.array_join(F.transform(count, lambda i: syllable(i, script)), "")
+    return F.initcap(F.when(word.rlike(r"\p{IsCyrillic}"), spelled("cyrillic")).otherwise(spelled("latin")))
+
+
+def _initials(word: Column, key: str) -> Column:
+    """Every letter replaced by another of its alphabet, different ones by different ones."""
+    new = []
+    for alphabet in ALPHABETS:
+        order = list(alphabet)
+        random.Random(key + alphabet).shuffle(order)
+        # one place on, so that no letter stands for itself
+        new.append("".join(order[(order.index(c) + 1) % len(order)] for c in alphabet))
+    return F.translate(word, "".join(ALPHABETS), "".join(new))
+
+
+def _name(value: Column, kind: Column, key: str, attempt: Callable[[Column], Column]) -> Column:
+    """Each word by itself, at the try that attempt(word) gives. A given name ends as the gender has it."""
 
     def word(w: Column, i: Column) -> Column:
-        given = (F.size(F.split(value, " ")) > 1) & (i == 0) & ~w.endswith(".")
+        given = (F.size(F.split(value, " ")) > 1) & (i == 0)
         latin, cyrillic = (F.when(given & (kind == "name_m"), a).when(given & (kind == "name_f"), b).otherwise("") for a, b in (("n", "lia"), ("н", "ия")))
-        return F.concat(F.array_join(F.transform(F.split(w, "-"), spelled), "-"), F.when(w.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin))
+        whole = F.array_join(F.transform(F.split(w, "-"), lambda x: _word(x, attempt(x), key)), "-")
+        return F.when(w.endswith("."), _initials(w, key)).otherwise(F.concat(whole, F.when(w.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)))
 
     return F.array_join(F.transform(F.split(value, " "), word), " ")
 
 
 def surrogate(value: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The replacement of an entity at its attempt-th try."""
+    """The replacement of an entity that is no name at its attempt-th try."""
     digest = F.sha2(F.concat(F.lit(key + "\0"), kind, F.lit("\0"), canon, F.lit("\0"), attempt.cast("string")), 256)
+    hexed = value.rlike("^[0-9a-f]+$")
     bound = F.transform(F.array(digest), lambda d: (
-        F.when(kind == "email", F.concat(_spell(F.regexp_replace(value, r"\.[^.]*$", ""), d), F.lit("."), F.substring_index(value, ".", -1)))
+        F.when(kind == "email", F.concat(_pad(_letters(d), attempt), _spell(F.regexp_replace(value, r"\.[^.]*$", ""), d), F.lit("."), F.substring_index(value, ".", -1)))
         .when(kind == "access_key", F.concat(F.substr(value, F.lit(1), F.lit(4)), _spell(F.substr(value, F.lit(5)), d)))
-        .when(kind == "secret", F.when(value.rlike("^[0-9a-f]+$"), _spell(value, d, "abcdefabcdefabcd")).otherwise(_spell(value, d)))
-        .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+\d{1,3})?", 0), _spell(F.regexp_replace(value, r"^\+\d{1,3}", ""), d)))
-        .when(kind == "ssn", _spell(value, d))
-        .when(kind == "card", _card(value, canon, d))
-        .when(kind == "ip", F.concat_ws(".", 1 + _byte(d, 0) % 223, _byte(d, 1), _byte(d, 2), 1 + _byte(d, 3) % 254))
-        .otherwise(_name(value, kind, key, attempt))
+        .when(kind == "secret", F.when(hexed, F.concat(_spell(value, d, "abcdefabcdefabcd"), _pad(d, attempt))).otherwise(F.concat(_spell(value, d), _pad(_letters(d), attempt))))
+        .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+\d{1,3})?", 0), _spell(F.regexp_replace(value, r"^\+\d{1,3}", ""), d), _pad(_digits(d), attempt)))
+        .when(kind == "ssn", F.concat(_spell(value, d), _pad(_digits(d), attempt)))
+        .when(kind == "card", _card(F.concat(value, _pad(_digits(d), attempt)), canon, d))
+        .otherwise(F.concat_ws(".", 1 + _byte(d, 0) % 223, _byte(d, 1), _byte(d, 2), 1 + _byte(d, 3) % 254))
     ))
     return F.element_at(bound, 1)
 
 
-def _kinds(kind: Column) -> Column:
-    return F.when(kind.startswith("name"), "name").otherwise(kind)
+def tried(e: Column) -> Column:
+    """array of (kind, canonical, value) of what an entity's surrogate is made from: the words of a name that aren't
+    initials, or the entity."""
+    words = F.flatten(F.transform(F.filter(F.split(e["value"], " "), lambda w: ~w.endswith(".")), lambda w: F.split(w, "-")))
+    of_name = F.transform(words, lambda w: F.struct(F.lit("word").alias("kind"), F.lower(w).alias("canonical"), w.alias("value")))
+    return F.when(e["kind"].startswith("name"), of_name).otherwise(F.array(F.struct(e["kind"].alias("kind"), e["canonical"].alias("canonical"), e["value"].alias("value"))))
 
 
 def retries(found: DataFrame, key: str) -> DataFrame:
-    """(kind, canonical, attempt) of the entities whose first surrogate collides, from found(kind, canonical, value).
+    """(kind, canonical, attempt) of the entities and words whose first surrogate collides, from
+    found(kind, canonical, value).
 
-    Rounds go on until no surrogate is shared, nor an entity of the corpus; each round is written to the shared folder."""
+    Rounds go on until no surrogate is shared, nor itself in the table; each round is written to the shared folder."""
     table = materialize(found.groupBy("kind", "canonical").agg(F.min("value").alias("value")).withColumn("attempt", F.lit(0)), "entities")
-    real = table.select(_kinds(F.col("kind")).alias("k"), F.col("canonical").alias("c")).distinct()
-    while True:
-        tried = table.withColumn("new", canonical(surrogate(F.col("value"), F.col("kind"), F.col("canonical"), F.col("attempt"), key), F.col("kind"))).withColumn("k", _kinds(F.col("kind")))
+    real = table.select("kind", F.col("canonical").alias("new"))
+    for _ in range(MOST_ROUNDS):
+        new = F.when(F.col("kind") == "word", F.lower(_word(F.col("value"), F.col("attempt"), key))).otherwise(canonical(surrogate(F.col("value"), F.col("kind"), F.col("canonical"), F.col("attempt"), key), F.col("kind")))
+        tries = materialize(table.withColumn("new", new), "tries")
         # of those that share a surrogate the least canonical form keeps it
-        first = tried.groupBy("k", "new").agg(F.min("canonical").alias("first"), F.count("*").alias("n"))
-        taken = first.where("n > 1").select("k", "new", "first")
-        bad = tried.join(taken, ["k", "new"]).where("canonical <> first").select("kind", "canonical")
-        bad = bad.union(tried.join(real.withColumnRenamed("c", "new"), ["k", "new"], "left_semi").select("kind", "canonical")).distinct()
-        bad = materialize(bad, "collisions")
+        taken = tries.groupBy("kind", "new").agg(F.min("canonical").alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "new", "first")
+        bad = tries.join(taken, ["kind", "new"]).where("canonical <> first").select("kind", "canonical")
+        bad = materialize(bad.union(tries.join(real, ["kind", "new"], "left_semi").select("kind", "canonical")).distinct(), "collisions")
         if bad.isEmpty():
             return table.where("attempt > 0").select("kind", "canonical", "attempt")
         table = materialize(table.join(bad.withColumn("again", F.lit(1)), ["kind", "canonical"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("again", F.lit(0))).drop("again"), "entities")
+    raise RuntimeError("there are too many entities of one format for distinct surrogates")
 
 
 def pseudonymise(docs: DataFrame, key: str = "spanloom", report: bool = False) -> DataFrame:
@@ -176,28 +220,37 @@ def pseudonymise(docs: DataFrame, key: str = "spanloom", report: bool = False) -
     array of (kind, lead, surrogate).
 
     A null text stays null and an empty one empty; texts without an entity stay as they are, byte for byte. Repeated
-    rows and other columns stay; columns named _entities, _tries, _h1 or _h2 aren't allowed. An empty table gives an
-    empty one. The same key gives the same surrogates in every run over the same corpus."""
-    found = materialize(docs.where(hint(F.col("text"))).select(F.explode(entities(F.col("text"))).alias("e")).select("e.kind", "e.canonical", "e.value").groupBy("kind", "canonical").agg(F.min("value").alias("value")), "found")
+    rows and other columns stay, whatever their names, but for `entities` with `report`, which is an error. An empty
+    table gives an empty one. The same key gives the same surrogates in every run over the same corpus."""
+    if report and "entities" in (c.lower() for c in docs.columns):
+        raise ValueError("docs has a column named entities")
+    found_name, tries_name, h1, h2, new_name = (free_name(x, docs) for x in ("_entities", "_tries", "_h1", "_h2", "_new"))
+    parts = F.explode(F.flatten(F.transform(entities(F.col("text")), tried))).alias("e")
+    found = materialize(docs.where(hint(F.col("text"))).select(parts).select("e.kind", "e.canonical", "e.value").groupBy("kind", "canonical").agg(F.min("value").alias("value")), "found")
     again = materialize(retries(found, key), "retries")
-    marked = docs.withColumn("_entities", entities(F.col("text")))
+    marked = docs.withColumn(found_name, entities(F.col("text")))
     if again.isEmpty():
-        marked = marked.withColumn("_tries", F.lit(None).cast("map<string,int>"))
+        marked = marked.withColumn(tries_name, F.lit(None).cast("map<string,int>"))
     else:
-        keys = [F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), "text").alias("_h2")]
-        hit = docs.where(hint(F.col("text"))).select(*keys, F.explode(entities(F.col("text"))).alias("e")).select("_h1", "_h2", "e.kind", "e.canonical").distinct()
-        hit = hit.join(again, ["kind", "canonical"]).groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\0"), "canonical"), "attempt"))).alias("_tries"))
-        marked = marked.withColumns({"_h1": F.xxhash64("text"), "_h2": F.xxhash64(F.lit(1), "text")}).join(hit, ["_h1", "_h2"], "left").drop("_h1", "_h2")
+        keys = [F.xxhash64("text").alias(h1), F.xxhash64(F.lit(1), "text").alias(h2)]
+        hit = docs.where(hint(F.col("text"))).select(*keys, parts).select(h1, h2, "e.kind", "e.canonical").distinct()
+        hit = hit.join(again, ["kind", "canonical"]).groupBy(h1, h2).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("kind", F.lit("\0"), "canonical"), "attempt"))).alias(tries_name))
+        marked = marked.withColumns({h1: F.xxhash64("text"), h2: F.xxhash64(F.lit(1), "text")}).join(hit, [h1, h2], "left").drop(h1, h2)
+    tries = F.coalesce(F.col(tries_name), F.create_map().cast("map<string,int>"))
+
+    def attempt(kind: Column, canon: Column) -> Column:
+        return F.coalesce(F.element_at(tries, F.concat(kind, F.lit("\0"), canon)), F.lit(0))
 
     def new(e: Column) -> Column:
-        attempt = F.coalesce(F.element_at(F.coalesce(F.col("_tries"), F.create_map().cast("map<string,int>")), F.concat(e["kind"], F.lit("\0"), e["canonical"])), F.lit(0))
-        return surrogate(e["value"], e["kind"], e["canonical"], attempt, key)
-
-    replaced = F.transform("_entities", lambda e: F.struct(e["kind"].alias("kind"), e["lead"].alias("lead"), new(e).alias("surrogate")))
-    marked = marked.withColumn("_new", F.when(F.size("_entities") > 0, replaced))
-    pieces = F.when(F.col("_new").isNotNull(), F.split("text", ANY, -1))
-    text = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.concat(F.get(F.col("_new"), i)["lead"], F.get(F.col("_new"), i)["surrogate"]), F.lit("")))), "")
-    out = marked.withColumn("text", F.when(F.col("_new").isNotNull(), text).otherwise(F.col("text")))
+        of_name = _name(e["value"], e["kind"], key, lambda w: attempt(F.lit("word"), F.lower(w)))
+        return F.when(e["kind"].startswith("name"), of_name).otherwise(surrogate(e["value"], e["kind"], e["canonical"], attempt(e["kind"], e["canonical"]), key))
+
+    replaced = F.transform(found_name, lambda e: F.struct(e["kind"].alias("kind"), e["lead"].alias("lead"), new(e).alias("surrogate")))
+    marked = marked.withColumn(new_name, F.when(F.size(found_name) > 0, replaced))
+    at = lambda i: F.get(F.col(new_name), i)
+    pieces = F.when(F.col(new_name).isNotNull(), F.split("text", ANY, -1))
+    text = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.concat(at(i)["lead"], at(i)["surrogate"]), F.lit("")))), "")
+    out = marked.withColumn("text", F.when(F.col(new_name).isNotNull(), text).otherwise(F.col("text")))
     if report:
-        return out.select(*docs.columns, F.coalesce("_new", F.array().cast("array<struct<kind:string,lead:string,surrogate:string>>")).alias("entities"))
+        return out.select(*docs.columns, F.coalesce(new_name, F.array().cast("array<struct<kind:string,lead:string,surrogate:string>>")).alias("entities"))
     return out.select(docs.columns)

@@ -1,34 +1,69 @@
 """Cases that a cheaper method would miss."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_llm import corpus, docs  # noqa: F401
 
 
-def test_decontamination_finds_every_passage_of_scattered_character_edits(spark, corpus):  # noqa: F811
-    from spanloom.llm.decontaminate import contaminated, edit_distance_within, normal
+def fitting(pattern: str, text: str) -> int:
+    """The least edit distance between the pattern and any part of the text, cell by cell."""
+    row = np.zeros(len(text) + 1, np.int64)
+    own = np.array(list(text)) if text else np.zeros(0, "<U1")
+    for i, c in enumerate(pattern, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (own != c))
+        # insertions run along the row
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row.min())
+
+
+def test_decontamination_against_brute_force(spark, corpus):  # noqa: F811
+    """Nothing but true passages, at their exact distances; of those with words edited at the limit nine in ten at
+    least, at every size of items, and nearly all with few edits of characters."""
+    from spanloom.llm.decontaminate import contaminated, normal
 
     rng = np.random.default_rng(7)
-    items = [(k, " ".join(t.split()[: 3 + 5 * k])) for k, t in corpus[:12]] + [(50, "ab"), (51, "x"), (52, "École 数学 über"), (53, "?!")]
-    rows = []
-    for k, item in items[:12]:
-        for share in (0, 0.04, 0.08, 0.12, 0.16, 0.2):
-            for even in (False, True):
-                edits = int(share * len(item))
-                places = np.linspace(0, len(item) - 1, edits).astype(int) if even else rng.choice(len(item), edits, replace=False)
-                c = list(item)
-                for p in places:
-                    c[p] = [rng.choice(list("xyz")), "", c[p] + "é"][0 if even else rng.integers(3)]
-                around = corpus[20 + k][1]
-                rows.append((1000 + len(rows), around[:40] + " " + "".join(c) + " " + around[40:]))
-    rows += [(5000, "a B c"), (5001, "xÉCOLE 数学 ÜBERx"), (5002, "ab" * 9000), (5003, "x" * 300_000), (5004, " ".join([corpus[5][1]] * 60))]
-    found = contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = {}
-    for d, text in rows:
-        for k, item in items[:15]:
-            distance = edit_distance_within(normal(item.encode()), normal(text.encode()))[0]
-            if distance <= int(0.2 * len(normal(item.encode())) + 1e-9):
-                want[d, k] = distance
-    assert {(r.doc_id, r.item_id): r.distance for r in found} == want and len(found) == len(want) and len(want) >= 144
+    long = " ".join(t for _, t in corpus).split()
+    items = [(10 * n + k, " ".join(long[a : a + n])) for n in (5, 8, 12, 30, 80, 200) for k, a in enumerate(rng.integers(0, len(long) - 200, 6).tolist())]
+    rows, kinds = [], {}
+    for i, item in items:
+        for edit in ("none", "words", "words", "few", "many"):
+            words, chars = item.split(), list(item)
+            if edit == "words":
+                for p in sorted(rng.choice(len(words), int(0.2 * len(words)), replace=False).tolist(), reverse=True):
+                    words[p : p + 1] = ([], ["zq"], [words[p], "zq"])[int(rng.integers(3))]
+            elif edit != "none":
+                for p in rng.choice(len(chars), int((0.03 if edit == "few" else 0.2) * len(chars)), replace=False):
+                    chars[p] = ("z", "", chars[p] + "q")[int(rng.integers(3))]
+                words = "".join(chars).split()
+            around = corpus[int(rng.integers(40))][1].split()
+            rows.append((1000 + len(rows), " ".join([*around[:9], *words, *around[9:]]).upper()))
+            kinds[rows[-1][0]] = (edit, i)
+    found = {(r.doc_id, r.item_id): r.distance for r in contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    texts = dict(rows)
+    limit = {i: int(0.2 * len(t) + 1e-9) for i, t in items}
+    exact = {(d, i): fitting(normal(dict(items)[i]), normal(texts[d])) for d, i in {*found, *((d, i) for d, (_, i) in kinds.items())}}
+    assert all(found[p] == exact[p] <= limit[p[1]] for p in found)
+    for edit, least in (("none", 1.0), ("words", 0.9), ("few", 0.9)):
+        want = [(d, i) for d, (e, i) in kinds.items() if e == edit and exact[d, i] <= limit[i]]
+        assert len(want) >= 24 and sum(p in found for p in want) >= least * len(want), edit
+
+
+def test_decontamination_edge_cases(spark):
+    from spanloom.llm.decontaminate import contaminated, decontaminate
+
+    words = "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf"
+    items = [(1, words), (2, words), (3, None), (4, ""), (5, "?!"), (None, "École 数学问题的解答"), (6, "ab")]
+    rows = [(1, f"Vorher — {words.upper().replace(' ', chr(160))}, nachher"), (2, None), (3, ""), (None, words), (4, "那么école数学问题的解答吗"), (5, "ab " * 9000), (5, "x" * 300_000), (6, "nichts davon"), (7, f"{words} " * 40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.distance for r in contaminated(docs(spark, rows), bench).collect()}
+    assert {(1, 1): 0, (1, 2): 0, (None, 1): 0, (None, 2): 0, (7, 1): 0, (7, 2): 0, (5, 6): 0}.items() <= found.items()
+    assert {d for d, _ in found} == {1, None, 4, 5, 7}
+    clash = docs(spark, rows).withColumns({c: F.lit(9) for c in ("_id", "__id", "item_id", "number")})
+    left = decontaminate(clash, bench, block_chars=40)
+    assert left.columns == clash.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 2, 3, 6]
+    assert contaminated(docs(spark, []), bench).count() == 0 and contaminated(docs(spark, rows), bench.where("false")).count() == 0
 
 
 def test_secrets_in_any_case_and_length_and_whole_names(spark):
@@ -49,3 +84,86 @@ def test_secrets_in_any_case_and_length_and_whole_names(spark):
     assert all(out[k].text == t and not out[k].entities for k, t in rows[-3:])
     end = pseudonymise(docs(spark, [(1, "By Mrs Anna Smith. The mail of Mr Bob.S@mail.example.com is")])).first().text
     assert end.endswith("is") and ". The mail of Mr " in end and "Smith" not in end and "Bob" not in end
+
+
+def test_surrogates_end_and_stay_distinct(spark, monkeypatch):
+    """Entities without a letter or digit, a full space of short passwords, and colliding words of names."""
+    from spanloom.llm import pii
+
+    rows = [(1, "password=**** end"), (2, "password: ---- end")]
+    rows += [(100 + k, f"password={k:04d} end") for k in range(0, 10_000, 9)] + [(20_000 + k, f"password={k:02d}xy end") for k in range(100)]
+    out = {r.doc_id: r.text for r in pii.pseudonymise(docs(spark, rows)).collect()}
+    assert all(out[i] != t and out[i].endswith(" end") for i, t in rows)
+    assert len(set(out.values())) == len(rows)
+    assert not set(out.values()) & {t for _, t in rows}
+    # two syllables for names: words collide, and a surname keeps one surrogate in every name
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ["ba", "be"] * 8, "cyrillic": ["ба", "ве"] * 8})
+    surnames = ["Smith", "Jones", "Baker", "Cooper", "Miller", "Taylor", "Wright", "Walker", "Turner", "Parker"] * 2
+    names = [f"Mrs {g} {s}" for g, s in zip(["Anna", "Berta"] * 10, surnames, strict=True)] + [f"Dr {s}" for s in surnames] + ["Mr J. R. Smith", "Mr K. R. Smith"]
+    out = [r.text for r in pii.pseudonymise(docs(spark, list(enumerate(f"with {n}." for n in names)))).orderBy("doc_id").collect()]
+    of = {}
+    for n, t in zip(names, out, strict=True):
+        of.setdefault(n.split()[-1], set()).add(t[:-1].split()[-1])
+    assert all(len(v) == 1 for v in of.values()) and len({min(v) for v in of.values()}) == 10
+    assert len(set(out)) == len(set(names)) and out[-1].split()[2] != out[-2].split()[2] and out[-1].split()[3] == out[-2].split()[3]
+
+
+def test_surrogates_beside_columns_of_any_name(spark):
+    from spanloom.llm.pii import pseudonymise
+
+    df = docs(spark, [(1, "mail a@b.com now"), (None, None), (2, "")]).withColumns({c: F.lit(c) for c in ("_entities", "_tries", "_h1", "_new", "e", "kind")})
+    out = {r.doc_id: r for r in pseudonymise(df).collect()}
+    assert out[1].text != "mail a@b.com now" and out[1]["_entities"] == "_entities" and out[None].text is None and out[2].text == ""
+    assert pseudonymise(df).columns == df.columns and pseudonymise(df.where("false")).count() == 0
+
+
+def test_forest_of_large_nodes_and_levels(spark, monkeypatch):
+    """Groups of far more texts than a block, links at several levels, and columns of any name."""
+    from spanloom.llm import near_duplicates as nd
+
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for group in range(6):
+        base = rng.choice(words, 60).tolist()
+        for _ in range((70, 12, 8, 5, 3, 2)[group]):
+            w = list(base)
+            for p in rng.choice(60, int(rng.integers(0, 3)), replace=False):
+                w[p] = str(rng.choice(words))
+            texts.append(" ".join(w))
+    texts += [" ".join(rng.choice(words, 60)) for _ in range(40)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(56)} for t in texts]
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(t, k)
+    own = sorted(first.values())
+    link = {(a, b) for k, a in enumerate(own) for b in own[k + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    root = {k: k for k in own}
+    for _ in own:
+        for a, b in link:
+            root[a] = root[b] = min(root[a], root[b])
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "GRAMS", 900)
+    df = docs(spark, list(enumerate(texts))).withColumns({c: F.lit(1) for c in ("rep", "_id", "_rows", "_row", "links")})
+    found = {r.doc_id: r for r in nd.near_duplicates(df).collect()}
+    for k, t in enumerate(texts):
+        assert found[k].text_id == first[t] and found[k].class_id == root[first[t]] and found[k].links == sum(first[t] in p for p in link), k
+    assert sorted(r.doc_id for r in nd.keep_one(df).collect()) == sorted(set(root.values()))
+
+
+def test_estimated_recall():
+    from spanloom.llm.near_duplicates import BINS, estimated_recall
+
+    assert estimated_recall({}, 0.8, 8, 16) < estimated_recall({}, 0.8, 6, 16) < estimated_recall({}, 0.8, 4, 16) < 1
+    assert estimated_recall({BINS - 1: 10_000}, 0.8, 8, 16) > estimated_recall({0: 10_000}, 0.8, 8, 16)
+
+
+def test_components_of_chains(spark):
+    from spanloom.llm.near_duplicates import components
+
+    rng = np.random.default_rng(0)
+    order = rng.permutation(60).tolist()
+    edges = [(max(a, b), min(a, b)) for a, b in zip(order[:40], order[1:40], strict=False)] + [(max(a, b), min(a, b)) for a, b in zip(order[41:], order[42:], strict=False)]
+    got = {r.rep: r.class_id for r in components(spark.createDataFrame(edges, "rep long, root long")).collect()}
+    want = {i: min(part) for part in (order[:40], order[41:]) for i in part}
+    assert got == {i: c for i, c in want.items() if i != c}
