@@ -2,18 +2,17 @@
 
 Observations: graph_id, obs_seq, ts_ns, level, source, trace_id, span_id, parent_span_id, attrs. Ancestors are found
 by pointer doubling: a round joins every open pointer with its target, and a pointer then spans twice the levels, so
-rounds follow the logarithm of the longest open path (at most that of the largest trace, for cycles) and a huge trace spreads over all tasks by (trace, span).
+rounds follow the logarithm of the longest open path. Agents and summaries are looked for in the same rounds. A huge
+trace spreads over all tasks by (trace, span); children of one hot span are split by adaptive execution.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.attributes import MODEL_OPERATIONS, SUMMARY_KEYS, first_of, nonblank, span_key, with_values
-from spanloom.plans.store import materialize
+from spanloom.plans.store import materialize, materialize_counted
 
 
 def explicit_agent(attrs):
@@ -28,59 +27,70 @@ def keyed(obs: DataFrame) -> DataFrame:
     return obs.withColumns({"key": span_key(F.col("trace_id"), F.col("span_id")), "parent": span_key(F.col("trace_id"), F.col("parent_span_id"))})
 
 
-def nearest_ancestor(spans: DataFrame, value: str, starts: str) -> DataFrame:
-    """(graph_id, key, value) with the value of the nearest ancestor that has one, from spans(graph_id, key, parent,
-    value, starts): ancestors of spans where `starts` holds, not the span's own value. One row for each key.
-
-    Missing parents and cycles give null."""
-    deepest = spans.groupBy("graph_id", F.split("key", "\0")[0].alias("t")).count().agg(F.max("count")).first()[0] or 1
-    state = materialize(spans.select("graph_id", "key", F.when(F.col(value).isNull(), F.col("parent")).alias("ptr"), F.col(value).alias("v")), "context")
-    found = spans.where(starts).select("graph_id", "key", F.col("parent").alias("ptr"))
-    for _ in range(math.ceil(math.log2(deepest + 1)) + 1):
-        target = state.select("graph_id", F.col("key").alias("ptr"), F.col("v").alias("tv"), F.col("ptr").alias("next"), F.lit(True).alias("there"))
-        # a span with a value has no pointer, so a cycle never ends in one
-        state = materialize(
-            state.join(target, ["graph_id", "ptr"], "left").select("graph_id", "key", F.when(F.col("there") & F.col("tv").isNull(), F.col("next")).alias("ptr"), F.coalesce("v", "tv").alias("v")),
-            "context",
-        )
-        if state.where("ptr is not null").isEmpty():
-            break
-    target = state.select("graph_id", F.col("key").alias("ptr"), "v")
-    return found.join(target, ["graph_id", "ptr"]).select("graph_id", "key", F.col("v").alias(value))
-
-
-def last_spans(obs: DataFrame) -> DataFrame:
-    """Of spans that share a key, the last by obs_seq: the one that children take as their parent."""
-    return obs.where("key is not null").groupBy("graph_id", "key").agg(F.max_by(F.struct("parent", "attrs", "obs_seq"), "obs_seq").alias("row")).select("graph_id", "key", "row.*")
+def nearest(spans: DataFrame, values: list[str]) -> DataFrame:
+    """(graph_id, key, values): each value of the span itself or of the nearest ancestor that has one, from
+    spans(graph_id, key, parent, values) with one row for each key. Missing parents and cycles give null.
 
+    Every round resolves one open pointer at least, unless all that are left lead into cycles; so the rounds end when
+    their number stays the same."""
+    state = spans.select("graph_id", "key", *values, *(F.when(F.col(v).isNull(), F.col("parent")).alias(f"{v}_at") for v in values))
+    left = None
+    while True:
+        state, now = materialize_counted(state, "context", open=F.count_if(F.array_size(F.array_compact(F.array(*(F.col(f"{v}_at") for v in values)))) > 0), pointers=F.sum(sum(F.col(f"{v}_at").isNotNull().cast("long") for v in values)))
+        if not now["open"] or now["pointers"] == left:
+            return state.select("graph_id", "key", *values)
+        left = now["pointers"]
+        rows = state
+        for v in values:
+            target = state.select("graph_id", F.col("key").alias(f"{v}_at"), F.col(v).alias("found"), F.col(f"{v}_at").alias("next"))
+            rows = rows.join(target, ["graph_id", f"{v}_at"], "left").withColumns({f"{v}_at": F.when(F.col("found").isNull(), F.col("next")), v: F.coalesce(v, "found")}).drop("found", "next")
+        state = rows.select(state.columns)
 
-def inherit_agents(obs: DataFrame) -> DataFrame:
-    """Fill empty agent id, name and version of every span from its own or the nearest ancestor's agent."""
-    rows = materialize(keyed(obs), "spans")
-    parents = materialize(last_spans(rows).withColumn("agent", explicit_agent(F.col("attrs"))).select("graph_id", "key", "parent", "agent"), "parents")
-    up = nearest_ancestor(parents.select("graph_id", "key", "parent", "agent"), "agent", "true")
-    # of an ancestor's context: its own agent, or what it has inherited itself
-    context = parents.select("graph_id", "key", "agent").join(up.withColumnRenamed("agent", "above"), ["graph_id", "key"], "left").select("graph_id", F.col("key").alias("parent"), F.coalesce("agent", "above").alias("inherited"))
-    rows = rows.join(context, ["graph_id", "parent"], "left").withColumn("agent", F.coalesce(explicit_agent(F.col("attrs")), "inherited"))
 
+def last_spans(rows: DataFrame) -> DataFrame:
+    """Of spans that share a key, the last by obs_seq: the one that children take as their parent."""
+    return rows.where("key is not null").groupBy("graph_id", "key").agg(F.max_by(F.struct("parent", "agent", "summary", "obs_seq"), "obs_seq").alias("row")).select("graph_id", "key", "row.*")
+
+
+def _filled(attrs, agent):
     def fill(key: str, value: str):
-        old = F.element_at("attrs", key)
-        return F.when(F.coalesce(old, F.lit("")) == "", F.col(f"agent.{value}")).otherwise(old)
+        old = F.element_at(attrs, key)
+        return F.when(F.coalesce(old, F.lit("")) == "", agent[value]).otherwise(old)
 
-    filled = with_values(F.col("attrs"), gen_ai__agent__id=fill("gen_ai.agent.id", "id"), gen_ai__agent__name=fill("gen_ai.agent.name", "name"), gen_ai__agent__version=fill("gen_ai.agent.version", "version"))
-    return rows.withColumn("attrs", F.when(F.col("agent").isNotNull(), filled).otherwise(F.col("attrs"))).select(obs.columns)
+    filled = with_values(attrs, gen_ai__agent__id=fill("gen_ai.agent.id", "id"), gen_ai__agent__name=fill("gen_ai.agent.name", "name"), gen_ai__agent__version=fill("gen_ai.agent.version", "version"))
+    return F.when(agent.isNotNull(), filled).otherwise(attrs)
 
 
-def suppress_summaries(obs: DataFrame) -> DataFrame:
-    """Take the model keys from every span that is the nearest invoke_agent ancestor of a concrete model span."""
-    rows = materialize(keyed(obs), "spans")
+def in_context(obs: DataFrame, agents: bool = True, summaries: bool = True) -> DataFrame:
+    """Observations with empty agent ids, names and versions filled from their own or the nearest ancestor's agent
+    (agents), and without the model keys of spans that are the nearest invoke_agent ancestor of a concrete model span
+    (summaries)."""
     operation = F.lower(first_of(F.col("attrs"), "operation"))
     concrete = (F.lower(nonblank(F.element_at("attrs", "gen_ai.span.kind"))) == "llm") | operation.isin(MODEL_OPERATIONS)
-    spans = last_spans(rows).withColumn("summary", F.when(operation == "invoke_agent", F.col("key")))
-    concrete_rows = rows.where(concrete & F.col("parent").isNotNull()).select("graph_id", F.col("parent").alias("key")).distinct()
-    up = nearest_ancestor(spans.select("graph_id", "key", "parent", "summary"), "summary", "true").withColumnRenamed("summary", "above")
-    hit = concrete_rows.join(spans.select("graph_id", "key", "summary"), ["graph_id", "key"]).join(up, ["graph_id", "key"], "left").select("graph_id", F.coalesce("summary", "above").alias("key")).where("key is not null").distinct()
-    last = spans.select("graph_id", "key", F.col("obs_seq").alias("last_seq"))
-    flagged = rows.join(hit.join(last, ["graph_id", "key"]), ["graph_id", "key"], "left")
-    cleared = F.map_filter("attrs", lambda k, v: ~k.isin(SUMMARY_KEYS))
-    return flagged.withColumn("attrs", F.when(F.col("obs_seq") == F.col("last_seq"), cleared).otherwise(F.col("attrs"))).select(obs.columns)
+    rows = keyed(obs).withColumns({"agent": explicit_agent(F.col("attrs")), "summary": F.when(operation == "invoke_agent", F.col("key")), "concrete": F.coalesce(concrete, F.lit(False))})
+    rows = materialize(rows, "spans")
+    last = materialize(last_spans(rows), "last")
+    found = nearest(last.select("graph_id", "key", "parent", "agent", "summary"), [v for v, wanted in (("agent", agents), ("summary", summaries)) if wanted])
+    attrs = F.col("attrs")
+    if agents:
+        above = found.where("agent is not null").select("graph_id", F.col("key").alias("parent"), F.col("agent").alias("inherited"))
+        rows = rows.join(above, ["graph_id", "parent"], "left")
+        attrs = _filled(attrs, F.coalesce("agent", "inherited"))
+    if summaries:
+        over = rows.where("concrete and parent is not null").select("graph_id", F.col("parent").alias("key")).distinct()
+        hit = over.join(found, ["graph_id", "key"]).where("summary is not null").select("graph_id", F.col("summary").alias("key")).distinct()
+        hit = hit.join(last.select("graph_id", "key", F.col("obs_seq").alias("hit_seq")), ["graph_id", "key"])
+        rows = rows.join(hit, ["graph_id", "key"], "left")
+        cleared = F.map_filter(attrs, lambda k, v: ~k.isin(SUMMARY_KEYS))
+        attrs = F.when(F.col("obs_seq") == F.col("hit_seq"), cleared).otherwise(attrs)
+    return rows.withColumn("attrs", attrs).select(obs.columns)
+
+
+def inherit_agents(obs: DataFrame) -> DataFrame:
+    """Fill empty agent id, name and version of every span from its own or the nearest ancestor's agent."""
+    return in_context(obs, summaries=False)
+
+
+def suppress_summaries(obs: DataFrame) -> DataFrame:
+    """Take the model keys from every span that is the nearest invoke_agent ancestor of a concrete model span."""
+    return in_context(obs, agents=False)

@@ -32,15 +32,15 @@ def _from_rows(df: DataFrame) -> DataFrame:
 def summarise(df: DataFrame, keys: list[str], extra: list[Column]) -> DataFrame:
     """Strongest level, count, first and last time, distinct sources and the smallest distinct trace ids for each key.
 
-    Trace ids are made distinct by (key, id) first and then ranked, so a hot key never gathers them in one buffer."""
-    main = df.groupBy(*keys).agg(F.max("level_rank").alias("level_rank"), F.sum("n").alias("n"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), *extra)
-    sources = df.select(*keys, F.explode("sources").alias("s")).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("sources"))
+    Trace ids are made distinct by (key, id) first and then ranked, the rank being pruned before the exchange, so a
+    hot key never gathers them in one buffer."""
+    sources = F.array_sort(F.array_distinct(F.flatten(F.collect_set("sources"))))
+    main = df.groupBy(*keys).agg(F.max("level_rank").alias("level_rank"), F.sum("n").alias("n"), F.min("first_ns").alias("first_ns"), F.max("last_ns").alias("last_ns"), sources.alias("sources"), *extra)
     traces = df.select(*keys, F.explode("trace_ids").alias("t")).distinct()
     traces = traces.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("t"))).where(F.col("r") <= TRACES)
     traces = traces.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("trace_ids"))
-    empty = F.array().cast("array<string>")
-    out = main.join(sources, keys, "left").join(traces, keys, "left")
-    return out.withColumns({"sources": F.coalesce("sources", empty), "trace_ids": F.coalesce("trace_ids", empty), "level": level_name(F.col("level_rank"))})
+    out = main.join(traces, keys, "left")
+    return out.withColumns({"trace_ids": F.coalesce("trace_ids", F.array().cast("array<string>")), "level": level_name(F.col("level_rank"))})
 
 
 def node_summaries(df: DataFrame) -> DataFrame:
@@ -58,9 +58,11 @@ def claim_summaries(df: DataFrame) -> DataFrame:
 
 def resolve(claims: DataFrame) -> DataFrame:
     """Adds rank (1 wins: strongest, then latest, then smallest value), selected and conflict to claims."""
-    w = Window.partitionBy("graph_id", "node_id", "field", "key")
-    order = w.orderBy(F.desc("level_rank"), F.desc_nulls_last("last_ns"), "value")
-    return claims.withColumns({"rank": F.row_number().over(order), "conflict": F.count("*").over(w) > 1}).withColumn("selected", F.col("rank") == 1)
+    field = ["graph_id", "node_id", "field", "key"]
+    values = claims.groupBy(*field).agg((F.count("*") > 1).alias("conflict"))
+    order = Window.partitionBy(*field).orderBy(F.desc("level_rank"), F.desc_nulls_last("last_ns"), "value")
+    ranked = claims.withColumn("rank", F.row_number().over(order)).withColumn("selected", F.col("rank") == 1)
+    return ranked.join(values, field).select(*claims.columns, "rank", "conflict", "selected")
 
 
 def materialise_fields(nodes: DataFrame, claims: DataFrame) -> DataFrame:
@@ -79,8 +81,8 @@ def materialise_fields(nodes: DataFrame, claims: DataFrame) -> DataFrame:
 
 def build(obs: DataFrame) -> Graph:
     """The graph of observations whose context is already filled in."""
-    # extracted once: nine aggregates read it
+    # extracted once: six aggregates read it; claims are far fewer, and fields, diffs and policies read them again
     found = materialize(extract.occurrences(obs), "occurrences")
     nodes = node_summaries(_from_rows(extract.node_rows(found)).withColumn("seq", F.col("obs_seq")))
-    claims = claim_summaries(_from_rows(extract.claim_rows(found)))
+    claims = materialize(claim_summaries(_from_rows(extract.claim_rows(found))), "claims")
     return Graph(materialise_fields(nodes, claims), edge_summaries(_from_rows(extract.edge_rows(found))), claims)

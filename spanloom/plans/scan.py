@@ -23,4 +23,4 @@ def scan(obs: DataFrame, hmac_key: bytes | None = None, dedup: bool = False) ->
     rows = first_seen(obs) if dedup else obs
     if hmac_key:
         rows = rows.withColumn("attrs", F.map_concat("attrs", F.map_filter(metadata_only(F.col("attrs"), hmac_key), lambda k, v: k.startswith("aiebom.prompt.") & ~F.array_contains(F.map_keys("attrs"), k))))
-    return evidence.build(context.suppress_summaries(context.inherit_agents(rows)))
+    return evidence.build(context.in_context(rows))

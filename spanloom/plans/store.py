@@ -6,16 +6,35 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to spark.checkpoint.dir and read it again: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it names none, a local folder is made on a local master; on a cluster
+    that is an error, as executors wouldn't see it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"spanloom-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: lineage is cut and survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, dict[str, int]]:
+    """The same, with aggregates of the rows that are taken while they are written."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    out = materialize(df.observe(seen, *(c.alias(k) for k, c in counts.items())), name)
+    return out, seen.get

@@ -28,7 +28,7 @@ def pairs(name: str):
 
 
 def contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(context.suppress_summaries(context.inherit_agents(observations(spark, sf_dir))), "observations")
+    return materialize(context.in_context(observations(spark, sf_dir)), "observations")
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
