@@ -1,11 +1,11 @@
 """Similarity join of texts on the Jaccard similarity of their word n-grams, by a MinHash LSH forest.
 
 Every text has a label in each of `trees` prefix tries: a string of `depth` minima. Sorted by label, the texts below a
-node of a trie are neighbours that share a prefix. The join starts at the full depth and shortens prefixes level by
-level. Each round takes the nodes of its level that unite two nodes or more of the level before, and verifies exactly
-the pairs that meet there for the first time in any tree. The similarities of the links found so far tell how many more
-there must be: a pair of similarity s shares a prefix of k minima in some tree with probability
-1 - (1 - s ** k) ** trees. Rounds go on until the estimated recall reaches the target.
+node of a trie are neighbours that share a prefix. The join starts at the full depth. Each round takes the nodes of its
+level that unite two nodes or more of the round before, and verifies exactly the pairs that meet there for the first
+time in any tree. The similarities of the links found so far tell how many more there must be: a pair of similarity s
+shares a prefix of k minima in some tree with probability 1 - (1 - s ** k) ** trees. While the estimated recall is below
+the target, prefixes are shortened to the longest at which these links promise it.
 
 Texts with the same words are one class before the join. Nodes of the same members are verified once. A large node is
 dealt into blocks, of a bounded number of texts and n-grams, and each pair of blocks is verified by itself, so that no
@@ -244,15 +244,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, ngram: int = 5, tre
     texts = materialize(texts, "texts")
     joined = texts.groupBy("rep").agg(F.min_by(F.struct("labels", "n"), F.struct("words1", "words2")).alias("s")).select("rep", "s.*")
 
-    rounds, bins, above = [], {}, depth + 1
-    for level in sorted({depth, *(k for k in (6, 5, 4, 3, 2, 1) if k < depth)}, reverse=True):
+    rounds, bins, above, level = [], {}, depth + 1, depth
+    while level < above:
         found = round_of_links(joined, docs, level, above, threshold, ngram, trees, depth)
         rounds.append(found.where("bin < 0").select("rep", "root", "links"))
         for r in found.where("bin >= 0").groupBy("bin").agg(F.sum("links")).collect():
             bins[r[0]] = bins.get(r[0], 0) + r[1]
-        above = level
-        if estimated_recall(bins, threshold, level, trees) >= recall:
-            break
+        above, level = level, next((k for k in range(level, 1, -1) if estimated_recall(bins, threshold, k, trees) >= recall), 1)
     found = reduce(DataFrame.union, rounds)
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
