@@ -3,11 +3,11 @@
 Every shard's vectors are split at the median of the widest side until leaves are small; every node has a tight
 bounding box. The largest inner product that a query can have with a box is the sum over components of the larger of
 query times low and query times high side. A query goes down only to boxes whose bound reaches its k-th score so far,
-and visits the leaves that are left best first. The k-th score that some shard's part has shown is sent along to all
-shards, where it prunes from the start; it's a lower bound of the true one, and boxes that just reach it are visited,
-so results are exact, ties and all.
+and visits the leaves that are left best first. The k-th score that one shard has shown is sent along to all shards,
+where it prunes from the start; it's a lower bound of the true one, and boxes that just reach it are visited, so
+results are exact, ties and all.
 
-Queries are taken in blocks of a bounded number; every block passes over all shards.
+Queries are packed into blocks of a bounded number; every pair of a block and a shard is a group of its own.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import materialize, trimmed
 
 #: Vectors of a shard, of a leaf, and queries of a block.
 SHARD, LEAF, BLOCK = 4096, 64, 4096
-#: Stands for no row in arrays of keys.
-NONE = -(1 << 62)
+#: Stands for no row among scores, and for its id.
+NONE, NO_ID = -(1 << 62), (1 << 63) - 1
+#: More than rounding can take from scores below 2^62 as doubles.
+SLACK = 4096.0
 
 
 class Tree:
@@ -58,15 +60,14 @@ class Tree:
         """(query row, id, score) of the k best of each query in this tree, without those below `least` and without
         the query's own id. Values are whole and exact in the vectors' float type."""
         plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
-        rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
-        n, m = len(self.ids), len(queries)
-        # keys order rows by score, then by smaller id
-        best = np.full((m, k), NONE)
+        slack = SLACK if queries.dtype == np.int64 else 0.0
+        m = len(queries)
+        best, best_id = np.full((m, k), NONE), np.full((m, k), NO_ID)
         kth = least.copy()
         alive = np.ones((m, 1), bool)
         bound = None
         for low, high, _first, size in self.levels:
-            bound = plus @ high.T + minus @ low.T
+            bound = (plus @ high.T + minus @ low.T).astype(np.float64) + slack
             if alive.shape[1] != bound.shape[1]:
                 alive = np.repeat(alive, 2, axis=1)
             alive &= (bound >= kth[:, None]) & (size > 0)
@@ -84,27 +85,28 @@ class Tree:
             for leaf in np.unique(node):
                 rows = active[node == leaf]
                 a, b = first[leaf], first[leaf] + size[leaf]
-                score = np.rint(queries[rows] @ self.vectors[a:b].T).astype(np.int64)
-                keys = score * n + (n - 1 - rank[a:b])
-                keys[(self.ids[a:b][None, :] == own[rows][:, None]) | (score < kth[rows][:, None])] = NONE
-                merged = np.concatenate([best[rows], keys], axis=1)
-                best[rows] = -np.partition(-merged, k - 1, axis=1)[:, :k]
-                worst = best[rows].min(axis=1)
+                product = queries[rows] @ self.vectors[a:b].T
+                score = product if product.dtype == np.int64 else np.rint(product).astype(np.int64)
+                score[(self.ids[a:b][None, :] == own[rows][:, None]) | (score + slack < kth[rows][:, None])] = NONE
+                scores = np.concatenate([best[rows], score], axis=1)
+                ids = np.concatenate([best_id[rows], np.where(score > NONE, self.ids[a:b][None, :], NO_ID)], axis=1)
+                # highest scores first, equal ones by id
+                chosen = np.lexsort((ids, -scores), axis=1)[:, :k]
+                best[rows] = np.take_along_axis(scores, chosen, axis=1)
+                best_id[rows] = np.take_along_axis(ids, chosen, axis=1)
+                worst = best[rows, -1]
                 full = worst > NONE
-                kth[rows[full]] = np.maximum(kth[rows[full]], worst[full] // n)
+                kth[rows[full]] = np.maximum(kth[rows[full]], worst[full].astype(np.float64) - slack)
         row, place = np.nonzero(best > NONE)
-        key = best[row, place]
-        by_rank = np.empty(n, np.int64)
-        by_rank[rank] = self.ids
-        return row, by_rank[n - 1 - key % n], key // n
+        return row, best_id[row, place], best[row, place]
 
 
-def _exact(vectors: np.ndarray, queries_max: float) -> type:
-    """The float type in which inner products of these whole numbers are exact."""
-    top = float(np.abs(vectors).max(initial=0)) * queries_max * vectors.shape[1]
-    if top >= 2**53:
-        raise ValueError("inner products beyond 2^53 aren't exact")
-    return np.float32 if top < 2**24 else np.float64
+def _exact(vectors: np.ndarray, queries: np.ndarray) -> type:
+    """The type in which inner products of these whole numbers are exact: floats where they can be, or 64-bit integers."""
+    top = max((abs(int(x)) for a in (vectors,) for x in (a.min(initial=0), a.max(initial=0))), default=0) * max(abs(int(queries.min(initial=0))), abs(int(queries.max(initial=0)))) * vectors.shape[1]
+    if top >= 2**62:
+        raise ValueError("inner products don't fit 63 bits")
+    return np.float32 if top < 2**24 else np.float64 if top < 2**53 else np.int64
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -119,50 +121,52 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, block:
     """query_id, rank (from 1), vec_id, score: of each query the k rows of vectors(vec_id, v: array<long>) with the
     highest inner products, without rows of the query's own id; ties go to the smaller vec_id.
 
-    is_query: a condition on vec_id. All vectors must be of one length (others are an error); a repeated row counts
-    once for each time, and a repeated query once. An empty table gives an empty one."""
-    vectors = materialize(vectors, "vectors")
-    n = vectors.count()
-    shards = max(1, round(n / shard))
+    is_query: a condition on vec_id. All vectors must be of one length, and scores must fit 63 bits (others are an
+    error); a repeated row counts once for each time, and a repeated query once. Other columns are dropped, whatever
+    their names. An empty table gives an empty one."""
+    vectors = materialize(vectors.select("vec_id", "v"), "vectors")
+    shards = max(1, round(vectors.count() / shard))
 
+    @trimmed
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = Tree(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["v"].to_list()).astype(np.float64))
+        tree = Tree(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["v"].to_list()).astype(np.int64))
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "tree": [pickle.dumps(tree)]})
 
+    @trimmed
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "queries": [pickle.dumps((pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["v"].to_list()).astype(np.int64)))]})
+
+    def found(pdf: pd.DataFrame):
+        tree, (ids, q) = pickle.loads(pdf["tree"].iloc[0]), pickle.loads(pdf["queries"].iloc[0])
+        kind = _exact(tree.vectors, q)
+        tree.vectors = tree.vectors.astype(kind)
+        tree.levels = [(low.astype(kind), high.astype(kind), first, size) for low, high, first, size in tree.levels]
+        least = pickle.loads(pdf["least"].iloc[0]) if "least" in pdf else np.full(len(ids), -np.inf)
+        return ids, tree.search(q.astype(kind), ids, k, least)
+
+    @trimmed
+    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The k-th scores of a block within one shard."""
+        ids, (row, _, score) = found(pdf)
+        least = np.full(len(ids), np.inf)
+        np.minimum.at(least, row, score.astype(np.float64) - SLACK * (np.abs(score) >= 2**53))
+        least[np.bincount(row, minlength=len(ids)) < k] = -np.inf
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "least": [pickle.dumps(least)]})
+
+    @trimmed
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, (row, vec, score) = found(pdf)
+        return pd.DataFrame({"query_id": ids[row], "vec_id": vec, "score": score})
+
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
-    trees = materialize(dealt.groupBy("shard").applyInPandas(build, "shard long, tree binary"), "trees").repartition(shards, "shard")
-    queries = materialize(vectors.where(is_query).dropDuplicates(["vec_id"]), "queries")
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        # a block of queries, bounded by `block` give or take the spread of a hash
-        rows = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(blocks)) == b).orderBy("vec_id").collect()
-        if not rows:
-            continue
-        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
-
-        def search(least: np.ndarray):
-            def run(batches):
-                for pdf in batches:
-                    for data in pdf["tree"]:
-                        tree = pickle.loads(data)
-                        kind = _exact(tree.vectors, float(np.abs(q).max(initial=0)))
-                        tree.vectors = tree.vectors.astype(kind)
-                        row, found, score = tree.search(q.astype(kind), ids, k, least)
-                        yield pd.DataFrame({"query_id": ids[row], "vec_id": found, "score": score})
-
-            return run
-
-        # the k-th score within one shard bounds the others
-        start = np.full(len(ids), -np.inf)
-        near = trees.where("shard = 0").mapInPandas(search(start), "query_id long, vec_id long, score long")
-        kth = near.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k).collect()
-        place = {x: i for i, x in enumerate(ids.tolist())}
-        for r in kth:
-            start[place[r["query_id"]]] = r["s"]
-        found = trees.mapInPandas(search(start), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return vectors.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
+    trees = materialize(dealt.groupBy("shard").applyInPandas(build, "shard long, tree binary"), "trees")
+    queries = vectors.where(is_query).dropDuplicates(["vec_id"])
+    # a block is bounded by `block` queries, give or take the spread of a hash
+    blocks = F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(max(1, -(-vectors.where(is_query).count() // block))))
+    packed = materialize(queries.withColumn("block", blocks).groupBy("block").applyInPandas(pack, "block long, queries binary"), "queries")
+    one = trees.agg(F.min("shard").alias("shard"))
+    near = packed.join(trees.join(one, "shard", "left_semi").withColumnRenamed("shard", "own"), F.lit(True)).groupBy("own", "block").applyInPandas(bounds, "block long, least binary")
+    every = packed.join(materialize(near, "bounds"), "block").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    rows = every.join(trees, "shard").groupBy("shard", "block").applyInPandas(search, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
