@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import free_name, materialize
 
 #: Labelled urls that the regression is trained on, at most.
 SAMPLE = 20_000
@@ -44,15 +44,23 @@ def matching_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> C
     return out
 
 
-def grams(text: Column, sizes: tuple[int, ...] = (3, 4)) -> Column:
-    """The character n-grams of a text between two marks."""
-    marked = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(marked) - n + 1)), lambda i, n=n: F.substr(marked, i, F.lit(n))) for n in sizes]))
+def grams(text: Column, mark: str, sizes: tuple[int, ...] = (3, 4)) -> Column:
+    """The character n-grams of a text between two marks, each with the mark before it."""
+    chars = F.array(F.concat(F.array(F.lit("^")), F.filter(F.split(text, ""), lambda c: c != ""), F.array(F.lit("$"))))
 
+    def of(c: Column, n: int) -> Column:
+        count = F.greatest(F.lit(1), F.size(c) - n + 1)
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.concat_ws("", F.lit(mark), *[F.get(c, i + k) for k in range(n)]))
 
-def features(df: DataFrame) -> DataFrame:
-    terms = F.concat(F.transform(grams(F.col("host")), lambda g: F.concat(F.lit("h"), g)), F.transform(grams(F.col("path")), lambda g: F.concat(F.lit("p"), g)))
-    return HashingTF(numFeatures=FEATURES, binary=True, inputCol="_terms", outputCol="_features").transform(df.withColumn("_terms", terms)).drop("_terms")
+    # the characters are bound once, so that the work follows the text's length
+    return F.flatten(F.transform(chars, lambda c: F.concat(*[of(c, n) for n in sizes])))
+
+
+def features(df: DataFrame, host: str, path: str, out: str) -> DataFrame:
+    """Adds `out`: hashed n-grams of two columns, those of both kept apart."""
+    terms = free_name("_terms", df)
+    found = df.withColumn(terms, F.concat(grams(F.col(host), "h"), grams(F.col(path), "p")))
+    return HashingTF(numFeatures=FEATURES, binary=True, inputCol=terms, outputCol=out).transform(found).drop(terms)
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE):
@@ -62,12 +70,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE):
     rows = labelled.where("verdict in ('allow', 'block')").select("host", "path", "verdict")
     n = rows.count()
     if n > sample:
-        rows = rows.where(F.xxhash64("host", "path") < int(-(2**63) + sample / n * 2**64))
-    rows = materialize(features(rows).withColumn("_label", (F.col("verdict") == "block").cast("double")), "urls")
+        # by row, so that copies of one url spread
+        rows = rows.where(F.rand(7) < sample / n)
+    rows = materialize(features(rows, "host", "path", "features").withColumn("label", (F.col("verdict") == "block").cast("double")), "urls")
     kinds = {r[0] for r in rows.groupBy("verdict").count().collect()}
     if len(kinds) < 2:
         return kinds.pop() if kinds else "allow"
-    return LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_predicted", regParam=1e-3, maxIter=30).fit(rows)
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-3, maxIter=30).fit(rows)
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -75,19 +84,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
 
     verdict: the rule's; for other urls, that of a regression trained on labelled(url, verdict), or where it isn't
     given, on the urls of pages that a rule fits. A null url, or one without ://, has an empty host and path. Repeated
-    rows and other columns stay; columns of these names are replaced. An empty table gives an empty one."""
+    rows and other columns stay; columns of the five added names are replaced. An empty table gives an empty one."""
 
     def parts(df: DataFrame) -> DataFrame:
         return df.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
 
-    judged = parts(pages).withColumn("_rule", matching_rule(rules, F.col("host"), F.col("path")))
+    own, features_of, raw, p, guess = (free_name(x, pages) for x in ("_rule", "_features", "_raw", "_p", "_predicted"))
+    judged = parts(pages).withColumn(own, matching_rule(rules, F.col("host"), F.col("path")))
     if labelled is None:
-        model = train(judged.where("_rule is not null").select("host", "path", "_rule.verdict"), sample)
+        model = train(judged.where(F.col(own).isNotNull()).select("host", "path", F.col(own)["verdict"].alias("verdict")), sample)
     else:
         model = train(parts(labelled).select("host", "path", "verdict"), sample)
     if isinstance(model, str):
         scored = judged.withColumn("block_score", F.lit(1.0 if model == "block" else 0.0))
     else:
-        scored = model.transform(features(judged)).withColumn("block_score", vector_to_array("_p")[1]).drop("_features", "_raw", "_p", "_predicted")
+        model = model.setFeaturesCol(features_of).setRawPredictionCol(raw).setProbabilityCol(p).setPredictionCol(guess)
+        scored = model.transform(features(judged, "host", "path", features_of)).withColumn("block_score", vector_to_array(p)[1]).drop(features_of, raw, p, guess)
     learned = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
-    return scored.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), learned)}).drop("_rule")
+    return scored.withColumns({"rule": F.col(own)["rule"], "verdict": F.coalesce(F.col(own)["verdict"], learned)}).drop(own)
