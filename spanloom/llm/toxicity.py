@@ -37,33 +37,47 @@ CLASS[97:123] = np.arange(1, 27)
 CLASS[65:91] = np.arange(1, 27)
 CLASS[128:] = 27
 BUCKETS = 1 << 18
-#: Features kept, labelled documents of each kind in the sample, and bytes of their texts.
+#: Standard errors by which the shares of toxic and other documents with a feature must lie apart for it to count.
+APART = 3.5
+#: Features kept at most, labelled documents of each kind in the sample, and bytes of their texts.
 FEATURES, SAMPLE, SAMPLE_BYTES = 4096, 2500, 12_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in STANDS_FOR if c.isascii()]] = True
+#: What may end an obfuscated word, and what may stand between its letters.
+_LATE, _DASH = np.zeros(256, bool), np.zeros(256, bool)
+_LATE[[*range(48, 58), ord("@"), ord("$")]] = True
+_DASH[[ord("."), ord("_"), ord("-")]] = True
+#: Bytes of white space between letters of one spaced-out run, at most.
+WIDEST = 4
 
 
 def suspects(data: np.ndarray) -> list[tuple[int, int]]:
-    """Places of words that may be obfuscated: with a digit or symbol between letters or before two, with a letter
-    three times in a row, and runs of four or more words of one character of which two at least are letters."""
-    letter, leet = _LETTER[data], _LEET[data]
+    """Places of words that may be obfuscated: with a digit or symbol beside a letter (marks at a word's end but for
+    digits, @ and $ don't count), with a letter three times in a row, with single letters between dots, hyphens or
+    underscores, and runs of four or more words of one character, of which two at least are letters, however wide the
+    space between them on a line."""
+    letter, leet, dash = _LETTER[data], _LEET[data], _DASH[data]
     n = len(data)
     flag = np.zeros(n, bool)
-    if n > 2:
+    if n > 4:
         flag[1:-1] |= leet[1:-1] & letter[2:] & (letter[:-2] | leet[:-2])
         flag[:-2] |= leet[:-2] & letter[1:-1] & letter[2:]
+        flag[1:-1] |= _LATE[data[1:-1]] & (letter[:-2] | leet[:-2])
         flag[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
+        flag[:-4] |= letter[:-4] & dash[1:-3] & letter[2:-2] & dash[3:-1] & letter[4:]
     start, end = spans(SOLID[data])
     at = np.unique(np.searchsorted(start, np.flatnonzero(flag), "right") - 1)
-    found = [(int(a), int(b)) for a, b in zip(start[at], end[at], strict=True)]
+    found = [(int(a), int(b)) for a, b in zip(start[at], end[at], strict=True) if letter[a:b].any()]
     single = (end - start == 1) & (letter | leet)[start] if len(start) else np.zeros(0, bool)
     if single.any():
-        first, last = spans(np.r_[single & np.r_[True, start[1:] - end[:-1] == 1], False])
-        for a, b in zip(first, last, strict=True):
-            a -= a > 0 and single[a - 1]
+        lines = np.cumsum(data == 10)
+        near = np.r_[False, (start[1:] - end[:-1] <= WIDEST) & (lines[start[1:]] == lines[end[:-1] - 1])]
+        # runs of single characters that are near the one before
+        first, last = spans(np.r_[single & near & np.r_[False, single[:-1]], False])
+        for a, b in zip((first - 1).tolist(), last.tolist(), strict=True):
             if b - a >= 4 and letter[start[a:b]].sum() >= 2:
                 found.append((int(start[a]), int(end[b - 1])))
     return found
@@ -94,7 +108,7 @@ def count_characters(docs: DataFrame) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi over the lattice of a written word, with the last two letters as the state."""
+    """Viterbi over the lattice of a written word or run, with the last two symbols as the state."""
 
     def __init__(self, model: np.ndarray, size: int = 200_000):
         self.model = model.tolist()
@@ -105,34 +119,44 @@ class Decoder:
         found = self.known.get(written)
         if found is None:
             found = self.decode(written)
-            if len(self.known) < self.size:
+            if len(self.known) < self.size and len(written) <= 64:
                 self.known[written] = found
         return found
 
     def decode(self, written: str) -> str:
+        """The likeliest reading. Where single characters are set apart, what stands between them is nothing or the
+        border of two words."""
         text = written.lower().strip(".,;:?\"'()[]{}")
-        if re.fullmatch(r"\S(?:[ ._-]\S)+", text):
-            text = text[::2]
-        runs = [(m.group()[0], len(m.group())) for m in re.finditer(r"(.)\1*", text, re.S)]
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for c, n in runs:
+        apart = re.fullmatch(r"\S(?:[\s._-]+\S)+", text) is not None
+        # of each state the likelihood and the readings that led there, linked back
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for m in re.finditer(r"[\s._-]+|(.)\1*" if apart else r"(.)\1*", text, re.S):
+            c, n = m.group()[0], len(m.group())
             letters = [c] if c.isascii() and c.isalpha() else list(STANDS_FOR.get(c, ""))
             # (letters read, channel cost)
-            readings = [(x * k, -0.3 * abs(n - k) if c.isalpha() else -0.2 * n) for x in letters for k in ({1, min(n, 2)})]
-            if not letters:
+            if letters:
+                readings = [(x * k, -0.3 * abs(n - k) if c.isalpha() else -0.2 * n) for x in letters for k in ({1, min(n, 2)})]
+            elif apart and m.group(1) is None:
+                readings = [("", -0.05), (" ", -1.5 if n == 1 else -0.5)]
+            else:
                 readings = [("", -0.5 * n)]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (p, out) in states.items():
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (p, back) in states.items():
                 for read, cost in readings:
                     x, y, q = a, b, p + cost
                     for letter in read:
-                        z = ord(letter) - 96
+                        z = ord(letter) - 96 if letter != " " else 0
                         q += self.model[x][y][z]
                         x, y = y, z
                     if (x, y) not in new or q > new[x, y][0]:
-                        new[x, y] = (q, out + read)
+                        new[x, y] = (q, (back, read))
             states = new
-        return max((p + self.model[a][b][0], out) for (a, b), (p, out) in states.items())[1]
+        back = max(((p + self.model[a][b][0], back) for (a, b), (p, back) in states.items()), key=lambda s: s[0])[1]
+        out = []
+        while back is not None:
+            back, read = back
+            out.append(read)
+        return "".join(reversed(out))
 
 
 def _features(data: np.ndarray, offsets: np.ndarray, decode: Decoder) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +177,8 @@ def _features(data: np.ndarray, offsets: np.ndarray, decode: Decoder) -> tuple[n
     restored: list[list[str]] = [[] for _ in range(len(offsets) - 1)]
     any_found = False
     for a, b in suspects(data):
-        if b - a <= 64:
-            restored[int(np.searchsorted(offsets, a, "right")) - 1].append(decode(data[a:b].tobytes().decode("utf-8", "replace")))
-            any_found = True
+        restored[int(np.searchsorted(offsets, a, "right")) - 1].append(decode(data[a:b].tobytes().decode("utf-8", "replace")))
+        any_found = True
     if any_found:
         for _, _, d, o in chunks(pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in restored])], ["text"]), limit=1 << 40):
             add(d, o)
@@ -179,8 +202,9 @@ def _fit(characters: np.ndarray, features: int, prior: float):
         # how far the shares of documents with the feature lie apart, in standard errors
         share = (pos + neg + 1) / (p + n + 2)
         apart = np.abs(pos / p - neg / n) / np.sqrt(share * (1 - share) * (1 / p + 1 / n))
-        apart[pos + neg < 3] = 0
-        chosen = np.sort(np.argsort(-apart, kind="stable")[:features])
+        chosen = np.argsort(-apart, kind="stable")[:features]
+        # with so many buckets, some lie this far apart by chance
+        chosen = np.sort(chosen[apart[chosen] >= APART])
         column = np.full(BUCKETS, -1, np.int64)
         column[chosen] = np.arange(len(chosen))
         x = np.zeros((len(y), len(chosen)), np.float32)

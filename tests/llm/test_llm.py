@@ -192,10 +192,14 @@ def test_deobfuscation_and_toxicity(spark):
     rows = [(k, " ".join([*rng.choice(clean, 10), *(["idiot"] if k % 2 else []), *rng.choice(clean, 5)]), k % 2) for k in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     decode = Decoder(count_characters(df))
-    assert [decode(x) for x in ("1d10t", "iiidiooot", "i d i o t")] == ["idiot"] * 3
-    test = spark.createDataFrame([(1, "river stone 1d10t paper"), (2, "river stone paper"), (3, None), (4, "")], "doc_id long, text string")
+    assert [decode(x) for x in ("1d10t", "iiidiooot", "i d i o t", "i.d.i.o.t", "i  d  i  o  t", "1-d-1-0-t")] == ["idiot"] * 6
+    assert decode("i d i o t g a r d e n") == "idiot garden" and decode("idi" + "o" * 200 + "t") == "idiot"
+    assert decode(" ".join("idiot" * 40)).split().count("idiot") >= 38
+    more = [(10, "river 1di07 paper"), (11, "river i_d_i_o_t paper"), (12, "stone i  d  i  o  t  s  t  o  n  e paper"), (13, "stone id" + "i" * 90 + "ot"), (14, "stone a b c paper 2nd e.g. paper!"), (15, " ".join("gardenidiotgarden" * 9))]
+    test = spark.createDataFrame([(1, "river stone 1d10t paper"), (2, "river stone paper"), (3, None), (4, ""), *more], "doc_id long, text string")
     got = {r.doc_id: r for r in score(test, train(df, df), ["doc_id"]).collect()}
-    assert got[1].predicted == 1 and got[2].predicted == got[3].predicted == got[4].predicted == 0
+    assert got[1].predicted == 1 and got[2].predicted == got[3].predicted == got[4].predicted == got[14].predicted == 0
+    assert all(got[k].predicted == 1 for k in (10, 11, 12, 13, 15))
     assert {r.score for r in score(test, None, ["doc_id"]).collect()} == {0.0}
 
 

@@ -167,3 +167,21 @@ def test_components_of_chains(spark):
     got = {r.rep: r.class_id for r in components(spark.createDataFrame(edges, "rep long, root long")).collect()}
     want = {i: min(part) for part in (order[:40], order[41:]) for i in part}
     assert got == {i: c for i, c in want.items() if i != c}
+
+
+def test_top_k_of_large_numbers(spark):
+    """Scores beyond what doubles hold exactly, ties, and columns of any name."""
+    from spanloom.llm.top_k import top_k
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(-(2**29), 2**29, (400, 8))
+    v[30:60] = v[5]
+    df = spark.createDataFrame([(k, [int(x) for x in row]) for k, row in enumerate(v)], "vec_id long, v array<long>").withColumns({c: F.lit(1) for c in ("shard", "tree", "rank")})
+    got = {}
+    for r in top_k(df, F.col("vec_id") % 20 == 0, shard=64, block=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for i in range(0, 400, 20):
+        score = [sum(int(a) * int(b) for a, b in zip(v[i], row, strict=True)) for row in v]
+        want = sorted((-score[j], j) for j in range(400) if j != i)[:20]
+        assert sorted(got[i]) == [(n + 1, j, -x) for n, (x, j) in enumerate(want)]
+    assert top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
