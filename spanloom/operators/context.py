@@ -52,13 +52,14 @@ def last_spans(rows: DataFrame) -> DataFrame:
     return rows.where("key is not null").groupBy("graph_id", "key").agg(F.max_by(F.struct("parent", "agent", "summary", "obs_seq"), "obs_seq").alias("row")).select("graph_id", "key", "row.*")
 
 
-def _filled(attrs, agent):
+def filled(attrs, agent):
+    """attrs with the agent's id, name and version where they are empty."""
     def fill(key: str, value: str):
         old = F.element_at(attrs, key)
         return F.when(F.coalesce(old, F.lit("")) == "", agent[value]).otherwise(old)
 
-    filled = with_values(attrs, gen_ai__agent__id=fill("gen_ai.agent.id", "id"), gen_ai__agent__name=fill("gen_ai.agent.name", "name"), gen_ai__agent__version=fill("gen_ai.agent.version", "version"))
-    return F.when(agent.isNotNull(), filled).otherwise(attrs)
+    out = with_values(attrs, gen_ai__agent__id=fill("gen_ai.agent.id", "id"), gen_ai__agent__name=fill("gen_ai.agent.name", "name"), gen_ai__agent__version=fill("gen_ai.agent.version", "version"))
+    return F.when(agent.isNotNull(), out).otherwise(attrs)
 
 
 def in_context(obs: DataFrame, agents: bool = True, summaries: bool = True) -> DataFrame:
@@ -75,7 +76,7 @@ def in_context(obs: DataFrame, agents: bool = True, summaries: bool = True) -> D
     if agents:
         above = found.where("agent is not null").select("graph_id", F.col("key").alias("parent"), F.col("agent").alias("inherited"))
         rows = rows.join(above, ["graph_id", "parent"], "left")
-        attrs = _filled(attrs, F.coalesce("agent", "inherited"))
+        attrs = filled(attrs, F.coalesce("agent", "inherited"))
     if summaries:
         over = rows.where("concrete and parent is not null").select("graph_id", F.col("parent").alias("key")).distinct()
         hit = over.join(found, ["graph_id", "key"]).where("summary is not null").select("graph_id", F.col("summary").alias("key")).distinct()

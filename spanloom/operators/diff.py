@@ -10,9 +10,11 @@ from spanloom.operators.evidence import Graph
 CLAIM = ("field", "key", "value", "level_rank", "n", "first_ns", "last_ns", "sources", "trace_ids")
 
 
-def _with_claims(g: Graph) -> DataFrame:
-    claims = g.claims.groupBy("graph_id", F.col("node_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(*CLAIM))).alias("field_evidence"))
-    return g.nodes.join(claims, ["graph_id", "id"], "left")
+def _claims_differ(before: Graph, after: Graph) -> DataFrame:
+    """graph_id, id, other: nodes of which a claim differs in anything, by a full outer join of single claims."""
+    keys = ["graph_id", "node_id", "field", "key", "value"]
+    a, b = (g.claims.select(*keys, F.struct(*[c for c in CLAIM if c not in keys]).alias(side)) for g, side in ((before, "x"), (after, "y")))
+    return a.join(b, keys, "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("graph_id", F.col("node_id").alias("id"), F.lit(True).alias("other")).distinct()
 
 
 def _differs(a: Column, b: Column) -> Column:
@@ -32,8 +34,8 @@ def _change(fields: Column | None) -> Column:
 
 def diff_nodes(before: Graph, after: Graph) -> DataFrame:
     """graph_id, id, change, fields (in fixed order), before, after: nodes that are added, removed or changed."""
-    a = _with_claims(before).select("graph_id", "id", F.struct("*").alias("a"))
-    b = _with_claims(after).select("graph_id", "id", F.struct("*").alias("b"))
+    a = before.nodes.select("graph_id", "id", F.struct("*").alias("a"))
+    b = after.nodes.select("graph_id", "id", F.struct("*").alias("b"))
     one = lambda name, test: F.when(test, F.lit(name))
     versions = lambda s: F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(f"{s}.observed_versions"), F.array().cast("array<string>")), lambda v: v != "")))
     fields = F.array_compact(F.array(
@@ -42,10 +44,10 @@ def diff_nodes(before: Graph, after: Graph) -> DataFrame:
         one("provider", _differs(F.col("a.provider"), F.col("b.provider"))),
         one("digests", _differs(_map("a", "digests"), _map("b", "digests"))),
         one("properties", _differs(_map("a", "properties"), _map("b", "properties"))),
-        one("fieldEvidence", _differs(F.col("a.field_evidence"), F.col("b.field_evidence"))),
+        one("fieldEvidence", F.coalesce("other", F.lit(False))),
         one("evidence.level", _differs(F.col("a.level_rank"), F.col("b.level_rank"))),
     ))
-    return _rows(a.join(b, ["graph_id", "id"], "full_outer"), "node", fields)
+    return _rows(a.join(b, ["graph_id", "id"], "full_outer").join(_claims_differ(before, after), ["graph_id", "id"], "left"), "node", fields)
 
 
 def diff_edges(before: Graph, after: Graph) -> DataFrame:
@@ -62,6 +64,17 @@ def _rows(joined: DataFrame, entity: str, fields: Column) -> DataFrame:
     return rows.where("change is not null").select("graph_id", F.lit(entity).alias("entity"), "change", "id", "fields", F.col("a").alias("before"), F.col("b").alias("after"))
 
 
+def report(before: Graph, after: Graph) -> DataFrame:
+    """Both diffs as one long table, in order: graph_id, entity, change, id, fields, before and after (JSON)."""
+    parts = [d.withColumns({"before": F.to_json("before"), "after": F.to_json("after")}) for d in (diff_nodes(before, after), diff_edges(before, after))]
+    return parts[0].unionByName(parts[1]).orderBy("graph_id", F.desc("entity"), "change", "id")
+
+
+def has_changes(found: DataFrame, graphs: DataFrame) -> DataFrame:
+    """graph_id, has_changes of every graph in graphs(graph_id), from rows of a diff."""
+    return graphs.select("graph_id").distinct().join(found.select("graph_id", F.lit(True).alias("c")).distinct(), "graph_id", "left").select("graph_id", F.coalesce("c", F.lit(False)).alias("has_changes"))
+
+
 def contract(g: Graph) -> DataFrame:
     """The core of a graph that two frameworks' traces of one workload share: names and relations, no evidence."""
     nodes = g.nodes.where(F.col("type").isin("agent", "model", "tool")).select("graph_id", F.lit("node").alias("entity"), "id", F.col("type").alias("what"), F.col("provider").alias("other"))

@@ -10,7 +10,7 @@ from spanloom.functions.attributes import DISCOVERY, PROMPT_HMAC, PROMPT_PRESENT
 
 def _named(span_name: Column, operation: Column, wanted: str) -> Column:
     """The entity in a span name "<operation> <entity>"."""
-    return F.when((operation == wanted) & span_name.startswith(wanted + " "), nonblank(F.substring(span_name, len(wanted) + 2, 1 << 20)))
+    return F.when((operation == wanted) & span_name.startswith(wanted + " "), nonblank(F.substr(span_name, F.lit(len(wanted) + 2))))
 
 
 def with_entities(obs: DataFrame) -> DataFrame:

@@ -143,7 +143,8 @@ def denied_path(g: Graph, p: PathRule) -> DataFrame:
     """graph_id, path: for each start the smallest simple path that follows the relations through the selectors.
 
     Backwards first: edges of each step are kept if they end in a node from which the rest can be walked. Then
-    forwards from the starts; the smallest path of each start is taken at the end, as every simple path counts."""
+    forwards from the starts. Of walks with one start, one end and the same nodes between only the smallest goes on,
+    as all of them can be continued alike; the smallest path of each start is taken at the end."""
     steps = [p.start, *(p.via or [Selector()] * (len(p.relations) - 1)), p.to]
     nodes = [g.nodes.where(selects(s)).select("graph_id", "id") for s in steps]
     edges = g.edges.select("graph_id", "from_id", "to_id", "relation")
@@ -155,6 +156,7 @@ def denied_path(g: Graph, p: PathRule) -> DataFrame:
     walk = hops[0].where("from_id <> to_id").select("graph_id", F.array("from_id", "to_id").alias("path"), F.col("to_id").alias("at"))
     for hop in hops[1:]:
         walk = walk.join(hop.withColumnRenamed("from_id", "at"), ["graph_id", "at"]).where(~F.array_contains("path", F.col("to_id"))).select("graph_id", F.array_append("path", F.col("to_id")).alias("path"), F.col("to_id").alias("at"))
+        walk = walk.groupBy("graph_id", "at", F.col("path")[0].alias("start"), F.array_sort("path").alias("nodes")).agg(F.min("path").alias("path")).select("graph_id", "path", "at")
     return walk.groupBy("graph_id", F.col("path")[0].alias("start")).agg(F.min("path").alias("path")).select("graph_id", "path")
 
 
@@ -170,6 +172,11 @@ def violations(g: Graph, policy: Policy) -> DataFrame:
     return out
 
 
+def ordered(found: DataFrame) -> DataFrame:
+    """Violations by node, rule, message and path."""
+    return found.orderBy("graph_id", "node_id", "rule", "message", "path")
+
+
 def report(g: Graph, found: DataFrame) -> DataFrame:
     """graph_id, violations, passed of every graph."""
     counts = found.groupBy("graph_id").agg(F.count("*").alias("violations"))

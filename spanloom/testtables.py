@@ -87,3 +87,71 @@ e0 as (
     select *, event_id * 2 as obs_seq from e3 union all select *, event_id * 2 + 1 from e3 where twice
 )
 """
+
+
+def over(sql: str, variant: str) -> str:
+    """The SQL with obs replaced by a query over the same rows, which it sees as obs0."""
+    return sql.replace(OBSERVATIONS_SQL, OBSERVATIONS_SQL.replace("obs as (", "obs0 as (") + f", obs as ({variant})")
+
+
+def otlp_documents(obs: DataFrame, by: list) -> DataFrame:
+    """value: an OTLP JSON document for the observations of each value of `by`, a resource for each service. Beside
+    their own attributes spans have a quoted integer, a double, and an array of a text and a bool."""
+    named = lambda kind, v: F.struct(*(v.alias(kind) if k == kind else F.lit(None).cast("string").alias(k) for k in ("stringValue", "intValue")))
+    texts = F.transform(F.map_entries(F.map_filter("attrs", lambda k, v: ~k.isin("service.name", "otel.span.name"))), lambda e: F.to_json(F.struct(e["key"].alias("key"), named("stringValue", e["value"]).alias("value"))))
+    more = F.array(
+        F.to_json(F.struct(F.lit("aiebom.evidence.level").alias("key"), named("stringValue", F.col("level")).alias("value"))),
+        F.to_json(F.struct(F.lit("app.seq").alias("key"), named("intValue", F.col("obs_seq").cast("string")).alias("value"))),
+        F.concat(F.lit('{"key":"app.size","value":{"doubleValue":'), (F.col("obs_seq") * 1000).cast("string"), F.lit("}}")),
+        F.concat(F.lit('{"key":"app.tags","value":{"arrayValue":{"values":[{"stringValue":"'), F.col("span_id"), F.lit('"},{"boolValue":'), (F.col("obs_seq") % 4 == 2).cast("string"), F.lit("}]}}}")),
+    )
+    span = F.concat(
+        F.lit('{"traceId":"'), "trace_id", F.lit('","spanId":"'), "span_id", F.lit('","parentSpanId":"'), "parent_span_id", F.lit('","name":"'), F.coalesce(F.element_at("attrs", "otel.span.name"), F.lit("")),
+        F.lit('","startTimeUnixNano":"'), F.col("ts_ns").cast("string"), F.lit('","attributes":['), F.array_join(F.concat(texts, more), ","), F.lit("]}"),
+    )
+    spans = obs.groupBy(*by, F.element_at("attrs", "service.name").alias("service")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("obs_seq", span.alias("s")))), lambda x: x["s"]), ",").alias("spans"))
+    resource = F.concat(F.lit('{"resource":{"attributes":[{"key":"service.name","value":{"stringValue":"'), "service", F.lit('"}}]},"scopeSpans":[{"schemaUrl":"http://schema","scope":{"name":"lib","version":""},"spans":['), "spans", F.lit("]}]}"))
+    names = [c for c in spans.columns if c not in ("service", "spans")]
+    return spans.groupBy(*names).agg(F.concat(F.lit('{"resourceSpans":['), F.array_join(F.array_sort(F.collect_list(resource)), ","), F.lit("]}")).alias("value"))
+
+
+def compact_documents(obs: DataFrame) -> DataFrame:
+    """value: a compact document for each observation. Some levels are unknown; attributes have a number and a null."""
+    from spanloom.operators.bom import rfc3339
+
+    attrs = F.to_json("attrs")
+    more = F.concat(F.substr(attrs, F.lit(1), F.length(attrs) - 1), F.lit(',"app.size":'), (F.col("obs_seq") * 1000).cast("string"), F.lit(',"app.none":null,"app.deep":{"b":"<","a":['), F.col("obs_seq").cast("string"), F.lit("]}}"))
+    level = F.when(F.col("obs_seq") % 10 == 4, "odd").otherwise(F.col("level"))
+    doc = F.concat(
+        F.lit('{"source":"'), "source", F.lit('","observations":[{"timestamp":"'), rfc3339(F.col("ts_ns")), F.lit('","level":"'), level, F.lit('","traceId":"'), "trace_id", F.lit('","spanId":"'), "span_id",
+        F.lit('","parentSpanId":"'), "parent_span_id", F.lit('","attributes":'), more, F.lit("}]}"),
+    )
+    return obs.select(doc.alias("value"))
+
+
+#: Attributes of obs as a list of key=value, with those that documents add.
+ATTRIBUTES_SQL = """
+    'gen_ai.operation.name=' || operation, 'gen_ai.agent.name=' || own_agent, 'gen_ai.agent.version=' || own_version, 'gen_ai.request.model=' || request_model, 'gen_ai.response.model=' || response_model,
+    'gen_ai.provider.name=' || case when odd_provider then 'openai ' else provider end, 'server.address=' || address, 'gen_ai.data_source.id=' || data_source, 'db.system.name=' || case when data_source is not null then 'postgresql' end,
+    'aiebom.mcp.server.name=' || server, 'aiebom.mcp.discovery.source=' || case when server is not null then 'config' end, 'mcp.tool.name=' || case when server is not null then tool end,
+    'gen_ai.tool.type=' || case when tool is not null and server is null then 'function' end, 'gen_ai.tool.name=' || case when tool is not null and server is null and event_id % 2 = 0 then tool end,
+    'otel.span.name=' || case when tool is not null and server is null and event_id % 2 = 1 then 'execute_tool ' || tool when sub_agent is not null then 'invoke_agent ' || sub_agent end, 'service.name=' || service"""
+#: obs_seq * 1000 as the text of a double.
+SIZE_SQL = "case when obs_seq < 1000 then cast(obs_seq * 1000 as varchar) else regexp_replace(substr(rtrim(cast(obs_seq * 1000 as varchar), '0'), 1, 1) || '.' || substr(rtrim(cast(obs_seq * 1000 as varchar), '0'), 2), '[.]$', '') || 'e+' || lpad(cast(length(cast(obs_seq * 1000 as varchar)) - 1 as varchar), 2, '0') end"
+
+
+def conversation_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A span for each turn of the conversations, each the child of the one before; the first names an agent, those of
+    the system hold prompt content."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null and turn is not null")
+    span = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
+    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    values = {
+        "agent.name": F.when(F.col("before").isNull(), F.concat(F.lit("agent-"), (F.col("conv_id") % 7).cast("string"))),
+        "gen_ai.system_instructions": F.when(F.col("role") == "system", F.col("text")), "gen_ai.input.messages": F.when(F.col("role") == "user", F.col("text")), "dify.app_name": F.lit(""),
+    }
+    attrs = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    return t.withColumn("before", before).select(
+        F.lit("all").alias("graph_id"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("obs_seq"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("ts_ns"), F.lit("observed").alias("level"), F.lit("chat").alias("source"),
+        F.col("conv_id").cast("string").alias("trace_id"), span(F.col("turn")).alias("span_id"), F.when(F.col("before").isNull(), "").otherwise(span(F.col("before"))).alias("parent_span_id"), attrs.alias("attrs"),
+    )

@@ -55,6 +55,8 @@ def test_resolution_and_conflict(spark):
     assert won["value"] == "good" and won["conflict"]
     assert g.nodes.first()["digests"] == {"sha256": "good"}
     assert validate.issues(g).isEmpty()
+    stored = evidence.Graph(g.nodes, g.edges, evidence.resolve(g.claims).withColumn("selected", ~F.col("selected")))
+    assert {r["issue"] for r in validate.issues(stored).collect()} == {"inconsistent selected"}
     found = policy.violations(g, policy.Policy(forbid_field_conflicts=True))
     assert [r["message"] for r in found.collect()] == ["digest:sha256 has 2 values"]
 
@@ -115,37 +117,96 @@ def test_float_text(x, text):
     assert telemetry.float_text(x) == text
 
 
-class FakeState:
-    """What the processor needs of a group's state."""
+def test_readers_keep_order_types_and_broken_documents(spark):
+    pairs = {"kvlistValue": {"values": [{"key": "b", "value": {"boolValue": True}}, {"key": "d", "value": {"doubleValue": 2.0}}, {"key": "n", "value": {"kvlistValue": {"values": [{"key": "x", "value": {"intValue": "3"}}]}}}]}}
+    spans = [{"traceId": "t", "spanId": str(k), "attributes": [{"key": "p", "value": pairs}]} for k in range(1200)]
+    docs = spark.createDataFrame([("g", 2**62 + k, x, 9) for k, x in enumerate([json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans}, {"spans": spans[:2]}]}]}), '{"resourceSpans":"x"}', '{"observations":{"a":1}}', '{"resourceSpans":null}', "[1]"])], "graph_id string, doc long, text string, ingest_ns long")
+    found, bad = telemetry.read_documents(docs)
+    rows = found.orderBy("obs_seq").collect()
+    assert [r["span_id"] for r in rows] == [*map(str, range(1200)), "0", "1"] and len({r["obs_seq"] for r in rows}) == 1202
+    assert json.loads(rows[0]["attrs"]["p"]) == {"b": "true", "d": "2", "n": '{"x":"3"}'}
+    assert sorted(r["text"][:4] for r in bad.collect()) == ["[1]", '{"ob', '{"re']
+    named = telemetry.document_sources(spark.createDataFrame([("g", 1, json.dumps({"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": " svc "}}]}}]}), 1), ("g", 2, "{}", 1)], docs.schema))
+    assert {r["doc"]: r["source"] for r in named.collect()} == {1: "svc", 2: "otlp"}
+
+
+def test_double_text_equals_the_helper(spark):
+    xs = [8080.0, 0.5, 999999.0, 1e6, 1e-5, 0.0001, -2.5, 0.0, 1e21, 1.5e300, 123456.789, 3.14e-7, float("nan"), float("inf"), 100.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(telemetry.double_text(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in got] == [telemetry.float_text(x) for x in xs]
+
+
+def test_snapshots_are_strict(spark, tmp_path):
+    from spanloom.sources import snapshots
 
-    def __init__(self):
-        self.exists, self.get, self.hasTimedOut = False, None, False
+    g = evidence.build(obs(spark, {"attrs": {"gen_ai.request.model": "m"}}))
+    for kind in ("parquet", "json"):
+        snapshots.write_graph(g, f"{tmp_path}/{kind}", kind)
+        back = snapshots.read_graph(spark, f"{tmp_path}/{kind}", g, kind)
+        assert validate.snapshot_digests(back).first() == validate.snapshot_digests(g).first()
+        other = evidence.Graph(g.nodes.withColumn("extra", F.lit(1)), g.edges, g.claims)
+        snapshots.write_graph(other, f"{tmp_path}/{kind}2", kind)
+        with pytest.raises(ValueError):
+            snapshots.read_graph(spark, f"{tmp_path}/{kind}2", g, kind)
 
-    def update(self, value):
-        self.exists, self.get = True, value
 
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
+def test_policy_documents():
+    text = {"version": "1", "minimumEvidence": {"tool": "observed"}, "deniedPaths": [{"name": "x", "from": {"type": "agent"}, "via": [{"provider": "p"}], "relations": ["a", "b"], "to": {"namePattern": "^x$"}}]}
+    found = policy.read_policy(json.dumps(text))
+    assert found.minimum_evidence == {"tool": "observed"} and found.denied_paths[0].via[0].provider == "p"
+    for change in ({"unknown": 1}, {"minimumEvidence": {"tool": "sure"}}, {"deniedNamePatterns": ["(?=x)"]}, {"deniedPaths": [{"name": "x", "relations": ["a"] * 9}]}, {"deniedPaths": [{"name": "x", "relations": ["a", "b"], "via": [{}, {}]}]}):
+        with pytest.raises(ValueError):
+            policy.read_policy(json.dumps({**text, **change}))
 
 
-def test_stream_processor_holds_children_drops_repeats_and_releases_late_ones():
-    import pandas as pd
+def test_bom_header_and_times(spark):
+    heads = spark.createDataFrame([("g", "src", 1704067200123456780), ("h", "src", 0)], "graph_id string, source string, generated_ns long")
+    rows = {r["graph_id"]: r for r in bom.header(heads).collect()}
+    assert rows["g"]["timestamp"] == "2024-01-01T00:00:00.12345678Z" and rows["h"]["timestamp"] == "1970-01-01T00:00:00Z"
+    d = hashlib.sha256(b"src\0" + b"1970-01-01T00:00:00Z").hexdigest()
+    assert rows["h"]["serial_number"] == f"urn:uuid:{d[:8]}-{d[8:12]}-{d[12:16]}-{d[16:20]}-{d[20:32]}"
+
+
+def document(*spans):
+    """(span, parent, attributes) of one trace as a line."""
+    attrs = lambda a: [{"key": k, "value": {"stringValue": v}} for k, v in a.items()]
+    return json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "T", "spanId": s, "parentSpanId": p, "startTimeUnixNano": "5", "attributes": attrs(a)} for s, p, a in spans]}]}]})
+
+
+def test_stream_end_to_end(spark, tmp_path):
+    """Children before their parent, retries, a restart, a parent that never comes, and no content in the store."""
+    from spanloom.streaming import collector
 
+    tool = {"gen_ai.tool.name": "search", "gen_ai.prompt": "MUST_NOT_LEAK"}
+    files = [[document(("c", "b", tool), ("b", "a", {"gen_ai.operation.name": "chat"})), "nonsense"], [document(("C", "b", tool), ("x", "gone", {"gen_ai.tool.name": "lost"})), document(("a", "", {"agent.name": "planner"}))]]
+    store, options = f"{tmp_path}/store", collector.Options(compact_every=2)
+    (tmp_path / "in").mkdir()
+    for k, lines in enumerate(files):
+        (tmp_path / "in" / f"{k}.txt").write_text("\n".join(lines))
+        # a new query each time: it goes on from the checkpoint
+        collector.collect(spark, f"{tmp_path}/in", store, f"{tmp_path}/checkpoint", options).trigger(availableNow=True).start().awaitTermination()
+    counts = [(r["received"], r["accepted"], r["duplicate"], r["quarantined"], r["pending"]) for r in collector.stats(spark, store).orderBy("batch").collect()]
+    assert counts == [(2, 2, 0, 1, 2), (3, 2, 1, 0, 1)]
+    assert names(collector.stored_graph(spark, store).nodes) == [("agent", "planner"), ("prompt", "system-instructions"), ("tool", "search")]
+    collector.flush(spark, store, options)
+    g = collector.stored_graph(spark, store)
+    assert ("tool", "lost") in names(g.nodes) and g.nodes.where("name = 'search'").first()["n"] == 1
+    assert sorted(r["relation"] for r in g.edges.collect()) == ["invokes", "uses_prompt"]
+    # a batch that is run again changes nothing
+    collector.take(spark, collector.as_documents(spark.createDataFrame([("{}",)], "value string")), store, 1, options)
+    assert collector.batches(spark, store) == [0, 1, 2]
+    import pathlib
+
+    assert not any(b"MUST_NOT_LEAK" in p.read_bytes() for p in pathlib.Path(store).rglob("*") if p.is_file() and "quarantine" not in str(p))
+
+
+def test_stream_lets_the_oldest_go(spark, tmp_path):
     from spanloom.streaming import collector
 
-    def rows(*spans):
-        return pd.DataFrame([["g", k, k, "observed", "s", "t", span, parent, json.dumps(attrs)] for k, (span, parent, attrs) in enumerate(spans)], columns=collector.NAMES)
-
-    def feed(state, run, *spans):
-        out = pd.concat(list(run(("g", "t"), iter([rows(*spans)] if spans else []), state)))
-        return [(r.span_id, json.loads(r.attrs).get("gen_ai.agent.name")) for r in out.itertuples()]
-
-    state, run = FakeState(), collector.correlate(1000, 10)
-    assert feed(state, run, ("c", "b", {}), ("b", "a", {})) == []
-    assert feed(state, run, ("a", "", {"agent.name": "planner"}), ("A", "", {})) == [("a", "planner"), ("b", "planner"), ("c", "planner")]
-    assert feed(state, run, ("c", "b", {}), ("d", "C", {})) == [("d", "planner")]
-    assert feed(state, run, ("x", "missing", {}), ("y", "x", {})) == []
-    state.hasTimedOut = True
-    assert feed(state, run) == [("x", None), ("y", None)]
-    state, run = FakeState(), collector.correlate(1000, 1)
-    assert feed(state, run, ("p", "m1", {}), ("q", "m2", {})) == [("p", None)]
+    store = f"{tmp_path}/store"
+    line = lambda text: collector.as_documents(spark.createDataFrame([(text,)], "value string"))
+    collector.take(spark, line(document(("p", "m1", {"gen_ai.tool.name": "one"}))), store, 0, collector.Options(most_waiting=1))
+    collector.take(spark, line(document(("q", "m2", {"gen_ai.tool.name": "two"}))), store, 1, collector.Options(most_waiting=1))
+    assert names(collector.stored_graph(spark, store).nodes) == [("tool", "one")]
+    last = collector.stats(spark, store).where("batch = 1").first()
+    assert (last["pending"], last["released_late"]) == (1, 1)
