@@ -4,8 +4,9 @@ log P(token | before) = log P(class | context) + log P(token | class). The conte
 word before, of the word before that (a skip feature) and the hashed pair of both; classes are the commonest words and,
 for others, the hash of a word's end. Contexts have a bounded number of buckets, so the training tokens of the whole
 corpus are first counted by context and class; the model is then trained on these counts by full gradients: each
-round, tasks sum the expected counts of their contexts and the driver makes one preconditioned step. Within a class,
-words have their counts less a half, and unknown words of that class share the halves.
+round, tasks sum the expected counts of their contexts, these sums are added up in one more task, and the driver makes
+one preconditioned step. Within a class, words have their counts less a half, and unknown words of that class share
+the halves.
 
 Counts of words are exact. The commonest words are looked up in a dictionary of bounded size; only the others' rows are
 joined with the table of counts.
@@ -16,13 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, ShortType
 
-from spanloom.llm.common import Words, chunks, materialize, mix
+from spanloom.llm.common import Words, chunks, free_name, materialize, mix, refuse, trimmed
 
 #: Buckets of word ends, classes, buckets of the word before and of the one before that, of hashed pairs.
 ENDS, CLASSES, FIRST, SECOND, PAIRS = 40, 64, 512, 128, 4096
@@ -160,6 +162,7 @@ def train(docs: DataFrame, hot: int = HOT, rounds: int = ROUNDS) -> dict:
         tokens[b] -= c[i]
         types[b] -= 1
 
+    @trimmed
     def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Dictionary(hashes)
         total = np.zeros(FIRST * SECOND * CLASSES, np.int64)
@@ -174,6 +177,7 @@ def train(docs: DataFrame, hot: int = HOT, rounds: int = ROUNDS) -> dict:
             x = code[at : at + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array((x // CLASSES).astype(np.int32)), pa.array((x % CLASSES).astype(np.int16)), pa.array(total[x])], ["context", "class", "n"])
 
+    # contexts and classes are bounded, and so is the work of a round
     parts = 12
     seen = docs.select("text").mapInArrow(count_contexts, "context int, class short, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
     seen = materialize(seen.repartition(parts, "context"), "contexts")
@@ -181,8 +185,8 @@ def train(docs: DataFrame, hot: int = HOT, rounds: int = ROUNDS) -> dict:
     def sums(weights: np.ndarray | None):
         """Observed counts of each feature and class, or those that the model expects."""
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = None
             rows = [[b.column(k).to_numpy(zero_copy_only=False) for k in range(3)] for b in batches]
             if rows:
                 context, cls, m = (np.concatenate([r[k] for r in rows]) for k in range(3))
@@ -191,13 +195,16 @@ def train(docs: DataFrame, hot: int = HOT, rounds: int = ROUNDS) -> dict:
                 np.add.at(table, (place, cls), m)
                 if weights is not None:
                     table = np.exp(_log_softmax(_logits(weights, present.astype(np.int64)))) * table.sum(axis=1, keepdims=True)
-                yield pa.RecordBatch.from_arrays([pa.array([_sums(present.astype(np.int64), table).astype(np.float32).tobytes()], pa.binary())], ["sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([_sums(present.astype(np.int64), table).tobytes()], pa.binary())], ["one", "sums"])
+
+        @trimmed
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            # one row for each task before, of a size that doesn't depend on the corpus
+            return pd.DataFrame({"sums": [np.sum([np.frombuffer(x) for x in pdf["sums"]], axis=0).tobytes()]})
 
         shape = (1 + FIRST + SECOND + PAIRS, CLASSES)
-        total = np.zeros(shape)
-        for r in seen.mapInArrow(run, "sums binary").toLocalIterator():
-            total += np.frombuffer(r[0], np.float32).reshape(shape)
-        return total
+        total = seen.mapInArrow(run, "one long, sums binary").groupBy("one").applyInPandas(add, "sums binary").first()
+        return np.frombuffer(total[0]).reshape(shape).copy() if total else np.zeros(shape)
 
     observed = sums(None)
     weights = np.zeros_like(observed)
@@ -214,7 +221,9 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     text, as sums of log10 probabilities.
 
     A null text counts as empty: one end token. Repeated rows are scored each by itself. An empty table gives an
-    empty one; columns of these names, and `_row`, aren't allowed in `keep`."""
+    empty one; a column of one of these names in `keep` is an error, others may have any names."""
+    refuse(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    own = {c: free_name(c, *keep) for c in ("_row", "hot", "base", "model", "h", "k", "times", "cold", "cold_base", "cold_model")}
     hashes, hot_counts, weights = model["hashes"], model["hot_counts"], model["weights"].astype(np.float32)
     tokens, types = model["tokens"], model["types"]
     denominator = float(np.log10(model["n"] + 0.5 * (model["v"] + 1)))
@@ -222,13 +231,14 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     log_tokens = np.log10(np.maximum(tokens, 0.5))
     log_rest = np.log10(0.5 * np.maximum(types, 1)).tolist()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Dictionary(hashes)
         every = np.arange(FIRST * SECOND)
         table = np.concatenate([_log_softmax(_logits(weights, part)) for part in np.array_split(every, 32)]) / np.float32(np.log(10))
         hot_base, hot_in = np.log10(hot_counts + 0.5), np.log10(hot_counts - 0.5)
         row = TaskContext.get().partitionId() << 40
-        kept = [*keep, "_row", "n_tokens", "hot", "base", "model"]
+        kept = [*keep, own["_row"], "n_tokens", own["hot"], own["base"], own["model"]]
         for batch in batches:
             for first, end, data, offsets in chunks(batch):
                 n = end - first
@@ -253,24 +263,26 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(batch.schema.get_field_index(c)).slice(first, n) for c in keep), ids, pa.array(total.astype(np.int64)), pa.array(np.bincount(text, hot, n).astype(np.int64)),
                     pa.array(np.bincount(text, base, n) - total * denominator), pa.array(np.bincount(text, value, n)), *lists,
-                ], [*kept, "h", "k", "times"])
+                ], [*kept, own["h"], own["k"], own["times"]])
                 row += n
 
     schema = docs.select(*keep).schema
-    for name in ("_row", "n_tokens", "hot"):
+    for name in (own["_row"], "n_tokens", own["hot"]):
         schema = schema.add(name, "long")
-    schema = schema.add("base", "double").add("model", "double").add("h", ArrayType(LongType())).add("k", ArrayType(ShortType())).add("times", ArrayType(IntegerType()))
+    schema = schema.add(own["base"], "double").add(own["model"], "double").add(own["h"], ArrayType(LongType())).add(own["k"], ArrayType(ShortType())).add(own["times"], ArrayType(IntegerType()))
     scored = materialize(docs.select(*keep, "text").mapInArrow(run, schema), "scored")
-    cold = scored.select("_row", F.explode(F.arrays_zip("h", "k", "times")).alias("z")).select("_row", "z.h", "z.k", "z.times")
+    row = own["_row"]
+    cold = scored.select(F.col(row).alias("row"), F.explode(F.arrays_zip(F.col(own["h"]).alias("h"), F.col(own["k"]).alias("k"), F.col(own["times"]).alias("times"))).alias("z")).select("row", "z.h", "z.k", "z.times")
+    # adaptive execution splits the rows of a word that is common outside the dictionary
     found = cold.join(model["counts"].select("h", "c"), "h", "left")
     rest = F.element_at(F.array(*map(F.lit, log_rest)), F.col("k") + 1)
-    sums = found.groupBy("_row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("cold"),
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("cold_base"),
-        F.sum(F.col("times") * F.coalesce(F.log10(F.col("c") - 0.5), rest)).alias("cold_model"),
+    sums = found.groupBy(F.col("row").alias(row)).agg(
+        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias(own["cold"]),
+        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias(own["cold_base"]),
+        F.sum(F.col("times") * F.coalesce(F.log10(F.col("c") - 0.5), rest)).alias(own["cold_model"]),
     )
     zero = F.lit(0)
-    return scored.select(*keep, "_row", "n_tokens", "hot", "base", "model").join(sums, "_row", "left").select(
-        *keep, "n_tokens", (F.col("hot") + F.coalesce("cold", zero)).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("cold_base", zero)).alias("base_score"), (F.col("model") + F.coalesce("cold_model", zero)).alias("score"),
+    return scored.select(*keep, row, "n_tokens", own["hot"], own["base"], own["model"]).join(sums, row, "left").select(
+        *keep, "n_tokens", (F.col(own["hot"]) + F.coalesce(own["cold"], zero)).alias("n_known"), F.lit(model["n"]).cast("long").alias("train_tokens"),
+        (F.col(own["base"]) + F.coalesce(own["cold_base"], zero)).alias("base_score"), (F.col(own["model"]) + F.coalesce(own["cold_model"], zero)).alias("score"),
     )
