@@ -101,6 +101,17 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         first = end
 
 
+def refuse(columns: list[str], *added: str) -> None:
+    """Raise if a column that is kept has the name of one that is added."""
+    if taken := {c.lower() for c in columns} & set(added):
+        raise ValueError(f"columns that are added: {sorted(taken)}")
+
+
+def row_hash(*columns: str, seed: int = 0):
+    """A hash that differs between equal rows, so that copies spread."""
+    return F.xxhash64(*columns, F.lit(seed), F.monotonically_increasing_id())
+
+
 def lowered(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES >> 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """The same as `chunks`, in lower-cased code points instead of bytes."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import chunks, materialize
+from spanloom.llm.common import chunks, free_name, materialize, row_hash, trimmed
 from spanloom.llm.linear import BUCKETS, sigmoid, svm, text_vectors
 
 #: Families of common languages (fixed values); a language of none is a family by itself.
@@ -33,6 +33,7 @@ SAMPLE_BYTES = 6_000_000
 
 
 def _fit(families: dict[str, str]):
+    @trimmed
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lang", "rank"]).reset_index(drop=True)
         batch = pa.RecordBatch.from_arrays([pa.array(pdf["text"], pa.string())], ["text"])
@@ -59,7 +60,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BY
     The sample is bounded: of each language up to `sample` whole documents, those of least hash, and `sample_bytes`
     bytes in all; rows with a null text or lang are left out."""
     of = {lang: name for name, langs in (families or FAMILIES).items() for lang in langs}
-    rows = labelled.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
+    rows = labelled.where("text is not null and lang is not null").select("lang", "text", row_hash("doc_id", "text").alias("rank"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -85,7 +86,8 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
     name that comes first. Columns of these names are replaced; other columns and repeated rows stay as they are."""
     columns = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     found = docs.select(*columns, "text") if "text" not in columns else docs.select(*columns)
-    found = found.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    letters = free_name("_letter", found)
+    found = found.withColumn(letters, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = found.select(*columns).schema.add("lang_pred", "string").add("score", "double")
 
     def weights() -> tuple[list, np.ndarray]:
@@ -114,10 +116,11 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
         best = max(langs, key=votes.get)
         return best, share * votes[best] / (len(langs) - 1)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, w = weights() if model else ([], None)
         for batch in batches:
-            letter = batch.column(batch.schema.get_field_index("_letter")).to_pylist()
+            letter = batch.column(batch.schema.get_field_index(letters)).to_pylist()
             lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
             for first, _end, data, offsets in chunks(batch) if model else ():
                 for k, v in enumerate(text_vectors(data, offsets)):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import free_name, materialize, refuse, row_hash, trimmed
 
 #: Pieces packed together in one task.
 GROUP_PIECES = 4096
@@ -77,6 +77,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id
     first piece takes the rest. A null text counts as empty and is one piece of the end id. Rows with a null or a
     repeated doc_id are kept as they are; other columns are dropped; an empty table gives an empty one."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -139,22 +140,26 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None = None,
     Capacities of a sequence: tokens, pieces (`max_docs`, default `max_tokens`) and attention cost, the sum of the
     squares of the pieces' lengths (`max_attention`, default `max_tokens` squared). A piece beyond a capacity by
     itself gets a sequence of its own. Order and ties: longer pieces first, then by doc_id (null first) and piece.
-    An empty table gives an empty one."""
+    Other columns stay, whatever their names, but for the two that are added, which are an error; equal rows spread
+    over all groups. An empty table gives an empty one."""
+    refuse(pieces.columns, "sequence_id", "offset")
+    group = free_name("_group", pieces)
     pieces = materialize(pieces, "pieces")
     n = pieces.count()
     groups = max(1, round(n / group_pieces))
     capacity = np.array([max_tokens, max_docs or max_tokens, max_attention or max_tokens**2], np.float64)
     w = np.array(weights, np.float64)
 
+    @trimmed
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], na_position="first")
+        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], na_position="first")
         length = pdf["length"].to_numpy(np.int64)
         bins, before = fit(np.stack([length, np.ones_like(length), length * length], axis=1), capacity, w, rule)
-        return pdf.assign(sequence_id=pdf.pop("_group").to_numpy(np.int64) * (1 << 32) + bins, offset=before)
+        return pdf.assign(sequence_id=pdf.pop(group).to_numpy(np.int64) * (1 << 32) + bins, offset=before)
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn(group, F.pmod(row_hash("doc_id", "piece", "length"), F.lit(groups)))
     schema = f"{pieces._jdf.schema().toDDL()}, sequence_id long, offset long"
-    return dealt.groupBy("_group").applyInPandas(run, schema)
+    return dealt.groupBy(group).applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, **options) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import SOLID, Words, chunks, materialize, spans
+from spanloom.llm.common import SOLID, Words, chunks, materialize, refuse, row_hash, spans, trimmed
 from spanloom.llm.linear import logistic, sigmoid, text_vectors
 from spanloom.llm.sampling import bounded
 
@@ -108,6 +108,7 @@ def _pattern(row: np.ndarray) -> str:
 def vote_all(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs(text, ...) with `votes`, a character for each labeller: 1, 0 or ?."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [_pattern(v) for _, _, data, offsets in chunks(batch) for v in votes(data, offsets)]
@@ -133,7 +134,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTE
     share_of = max(min(1.0, 1.3 * sample / max(1, x) + 60 / max(1, x)) for x in n.values())
     some = docs.where("text is not null").select("text")
     if share_of < 1:
-        some = some.where(F.xxhash64("text", F.lit(23)) < int(-(2**63) + share_of * 2**64))
+        some = some.where(row_hash("text", seed=23) < int(-(2**63) + share_of * 2**64))
     rows = vote_all(some, ["text"]).withColumn("_good", F.col("votes").isin(good))
     rows = bounded(rows, "_good", sample, sample_bytes).withColumn("_one", F.lit(0))
 
@@ -153,9 +154,11 @@ def classify(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     linear scorer) and quality (1 if the score is 0.5 or more, else 0).
 
     A text without a word has no votes; its score is 0. Repeated rows are scored each by itself. Without a model
-    posteriors and scores are 0. Columns of these names aren't allowed in `keep`."""
+    posteriors and scores are 0. A column of one of these names in `keep` is an error, others may have any names."""
+    refuse(keep, "votes", "posterior", "score", "quality")
     schema = docs.select(*keep).schema.add("votes", "string").add("posterior", "double").add("score", "double").add("quality", "integer")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model["weights"] if model else None
         for batch in batches:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import row_hash
+
 
 def bounded(rows: DataFrame, group: str, per_group: int, max_bytes: int) -> DataFrame:
     """Of rows(text, group, ...), up to `per_group` rows of each value of the group column, those of least hash of
-    their text, while their whole texts have `max_bytes` bytes at most; at least one row of each. Ties go to any of
+    text and row, while their whole texts have `max_bytes` bytes at most; at least one row of each. Ties go to any of
     the equal rows."""
-    rows = rows.withColumn("_rank", F.xxhash64("text", F.lit(17)))
+    rows = rows.withColumn("_rank", row_hash("text", seed=17))
     counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
     cut = F.lit(False)
     for value, n in counts.items():

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import ALNUM, SOLID, Words, chunks, materialize, spans
+from spanloom.llm.common import ALNUM, SOLID, Words, chunks, materialize, refuse, row_hash, spans, trimmed
 from spanloom.llm.linear import logistic, sigmoid
 from spanloom.llm.sampling import bounded
 
@@ -186,6 +186,7 @@ def _features(data: np.ndarray, offsets: np.ndarray, decode: Decoder) -> tuple[n
 
 
 def _fit(characters: np.ndarray, features: int, prior: float):
+    @trimmed
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         decode = Decoder(characters)
         y = pdf["toxic"].to_numpy(np.float32)
@@ -227,7 +228,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     for kind, n in counts.items():
         share = min(1.0, 1.3 * sample / n + 60 / n)
         own = F.col("toxic") == kind
-        cut |= own & (F.xxhash64("doc_id", F.lit(29)) < int(-(2**63) + share * 2**64)) if share < 1 else own
+        cut |= own & (row_hash("doc_id", seed=29) < int(-(2**63) + share * 2**64)) if share < 1 else own
     return docs.select("doc_id", "text").join(F.broadcast(labels.where(cut)), "doc_id").select("text", "toxic"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
@@ -251,9 +252,12 @@ def score(docs: DataFrame, model: dict | None, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs(text, ...) with score (0 to 1) and predicted (1 if score >= 0.5, else 0).
 
     Null and empty texts count as texts without a word. Without a model every score is 0. Repeated rows are scored
-    each by itself; columns of these names aren't allowed in `keep`. An empty table gives an empty one."""
+    each by itself; a column of one of these names in `keep` is an error, others may have any names. An empty table
+    gives an empty one."""
+    refuse(keep, "score", "predicted")
     schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = np.full(BUCKETS, -1, np.int64)
         if model:

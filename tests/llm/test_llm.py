@@ -7,6 +7,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 EDGE = [(1, None), (2, ""), (3, " \n "), (4, "one two three"), (4, "one two three"), (None, "text without an id"), (5, "x" * 50_000)]
 
@@ -142,6 +143,48 @@ def test_language_model_base_and_sum(spark, corpus):
     assert all(r.train_tokens == n and r.score < 0 for r in got)
 
 
+def test_language_model_is_a_distribution(spark, corpus):
+    """The score of texts by a plain evaluation of the model; the shares of classes and of words within one add up to one."""
+    from spanloom.llm import language_model as lm
+
+    model = lm.train(docs(spark, corpus), hot=200)
+    w = model["weights"]
+    counts = {r.h: (r.c, r.b) for r in model["counts"].collect()}
+    place = {int(h): k for k, h in enumerate(model["hashes"].view(np.int64))}
+    tops = lm.CLASSES - lm.ENDS
+    in_class = np.zeros(lm.CLASSES)
+    for h, (c, b) in counts.items():
+        in_class[place[h] if place.get(h, tops) < tops else tops + b] += c - 0.5
+    # what known words leave is the unknown words'
+    assert np.allclose(in_class + 0.5 * model["types"], model["tokens"])
+    want = {}
+    for i, text in [*corpus[:12], (900, "unknownword " + corpus[3][1]), (901, "")]:
+        words = lm.Words(np.frombuffer((text + " ").encode(), np.uint8), np.array([0, len(text.encode()) + 1]))
+        h, end, _ = lm._tokens(words)
+        h = h.view(np.int64).tolist()
+        total = 0.0
+        before, second, last = lm.FIRST - 1, lm.SECOND - 1, lm.SECOND - 1
+        for k, (x, b) in enumerate(zip(h, end.tolist(), strict=True)):
+            own = place.get(x, 1 << 40)
+            bucket = lambda top, own=own, b=b: own if own < top else top + b
+            z = w[0] + w[1 + before] + w[1 + lm.FIRST + second] + w[1 + lm.FIRST + lm.SECOND + int(lm._pair(np.array([before]), np.array([second]))[0])]
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert abs(p.sum() - 1) < 1e-9
+            cls = bucket(tops)
+            c = counts.get(x, (None,))[0]
+            inside = (c - 0.5 if c else 0.5 * max(model["types"][cls], 1)) / max(model["tokens"][cls], 0.5)
+            total += log10(p[cls]) + log10(inside)
+            # the bucket of the word before the last
+            second, last = last if k else lm.SECOND - 1, bucket(lm.SECOND - 1 - lm.ENDS)
+            before = bucket(lm.FIRST - 1 - lm.ENDS)
+        want[i] = total
+    texts = [*corpus[:12], (900, "unknownword " + corpus[3][1]), (901, "")]
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, texts).withColumns({c: F.lit(1) for c in ("h", "k", "_row", "hot")}), model, ["doc_id", "h", "_row"]).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-3 * max(1, abs(want[i])) for i in want)
+    with pytest.raises(ValueError):
+        lm.score(docs(spark, texts).withColumn("score", F.lit(1)), model, ["score"])
+
+
 def test_language_id(spark):
     from spanloom.llm.language import filter_languages, fit, predict
 
