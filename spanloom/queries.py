@@ -242,7 +242,7 @@ def a09_diff_report(spark, sf_dir):
     path = fresh_path(spark, "report")
     snapshots.write_report(diff.report(a, b).coalesce(1), path)
     rows = spark.read.schema("entity string, change string, id string, fields array<string>").json(path)
-    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place")
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place")
     return rows.select(place, "entity", "change", "id", joined("fields"))
 
 
@@ -257,7 +257,7 @@ def f02_violations_in_order(spark, sf_dir):
     path = fresh_path(spark, "violations")
     snapshots.write_report(policy.ordered(policy.violations(g, POLICY)).coalesce(1), path)
     rows = spark.read.schema("rule string, node_id string, message string").json(path)
-    return rows.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"), "rule", "node_id", "message")
+    return rows.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"), "rule", "node_id", "message")
 
 
 def f01_canonical_order(spark, sf_dir):
@@ -265,7 +265,7 @@ def f01_canonical_order(spark, sf_dir):
     g = snapshots.canonical_order(graph(spark, sf_dir))
     g.claims.coalesce(1).write.json(path)
     rows = spark.read.schema("node_id string, field string, key string, value string").json(path)
-    return rows.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"), "node_id", "field", "key", "value")
+    return rows.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("place"), "node_id", "field", "key", "value")
 
 
 KEY = b"a key of thirty-two bytes at the least"
@@ -326,7 +326,8 @@ def g03_contract(spark, sf_dir):
 
 
 def p01_forbid_inferred(spark, sf_dir):
-    return policy.node_violations(graph(spark, sf_dir), policy.Policy(forbid_inferred=True)).select("rule", "node_id", "message")
+    weak = evidence.build(contextual(spark, sf_dir).where("level in ('inferred', 'declared')"))
+    return policy.node_violations(weak, policy.Policy(forbid_inferred=True)).select("rule", "node_id", "message")
 
 
 def p08_denied_path_rows(spark, sf_dir):
@@ -360,7 +361,7 @@ def i06_stream_graph(spark, sf_dir):
 
 
 def i08_stream_counts(spark, sf_dir):
-    return collector.stats(spark, streamed(spark, sf_dir)).select("batch", "received", "accepted", "duplicate", "pending")
+    return collector.stats(spark, streamed(spark, sf_dir)).select(F.col("batch").cast("long").alias("batch"), "received", "accepted", "duplicate", "pending")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -587,7 +588,7 @@ ORACLE_SQL |= {
     "m02_properties": _PROPERTIES + " select bom_ref, name, value from props",
     "m01_components": _PROPERTIES + f", p as (select bom_ref, to_json(list(struct_pack(name, value) order by name, value)) as properties from props group by bom_ref) select n.id as bom_ref, {_KIND} as type, n.name, f.version, n.provider as publisher, '[]' as hashes, cast(p.properties as varchar) as properties from {_NODES} n join fields f on f.id = n.id join p on p.bom_ref = n.id",
     "m04_header": _ROWS + f", h as (select max(ts_ns) as t from nr), s as (select sha256('collector' || chr(0) || {_STAMP.format('t')}) as d, {_STAMP.format('t')} as moment from h) select 'all' as graph_id, 'urn:uuid:' || substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-' || substr(d, 13, 4) || '-' || substr(d, 17, 4) || '-' || substr(d, 21, 12) as serial_number, 1 as version, moment as timestamp from s",
-    "p01_forbid_inferred": _ROWS + f" select 'forbid-inferred' as rule, id as node_id, 'evidence is inferred' as message from {_NODES} where l = 1",
+    "p01_forbid_inferred": _ROWS + f" select 'forbid-inferred' as rule, id as node_id, 'evidence is inferred' as message from (select id, max(level_rank) as l from nr where level_rank < 3 group by id) where l = 1",
     "p08_denied_path_rows": f"select 'denied-path:agent-server-tool' as rule, split_part(path, '|', 1) as node_id, path, 'path ' || replace(path, '|', ' -> ') as message from ({ORACLE_SQL['c09_denied_paths']})",
     "p10_policy_report": f"select 'all' as graph_id, (select count(*) from ({ORACLE_SQL['p10_policy_violations']})) + (select count(*) from ({ORACLE_SQL['c09_denied_paths']})) as violations, false as passed",
     "f02_violations_in_order": f"select row_number() over (order by node_id, rule, message) as place, rule, node_id, message from (select * from ({ORACLE_SQL['p10_policy_violations']}) union all select 'denied-path:agent-server-tool', split_part(path, '|', 1), 'path ' || replace(path, '|', ' -> ') from ({ORACLE_SQL['c09_denied_paths']}))",
