@@ -37,7 +37,7 @@ def contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return evidence.build(contextual(spark, sf_dir))
+    return evidence.build(context.in_context(observations(spark, sf_dir)))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
