@@ -90,6 +90,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.exact_dedup import create_index, deduplicate
+
+    return deduplicate(documents(spark, sf_dir), create_index(spark), 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
 }
 
@@ -125,4 +132,13 @@ ORACLE_SQL: dict[str, str] = {
         )
         select query_id, rank, vec_id, score from r where rank <= 20
     """,
+    "op13_exact_dedup": r"""
+        with d as (
+            select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
+        ), g as (
+            select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d group by text_sha256
+        )
+        select doc_id, keep_id, group_size, row_number() over (partition by text_sha256 order by doc_id nulls last) = 1 as kept, text_sha256
+        from d join g using (text_sha256)
+    """,
 }
