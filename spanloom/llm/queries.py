@@ -90,6 +90,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.whitening import whiten
 
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_exact_dedup": op13_exact_dedup,
     "pipeline": pipeline,
@@ -139,6 +146,38 @@ ORACLE_SQL: dict[str, str] = {
         )
         select query_id, rank, vec_id, score from r where rank <= 20
     """,
+    # crc32 bit by bit over the decimal digits; a node is its list of turns
+    "op11_conversation_trie": r"""
+        with t as (
+            select conv_id, row_number() over (partition by conv_id order by turn nulls first, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), ':', coalesce(text, '')))) as i, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as turn
+            from conversations where conv_id is not null
+        ), own as (
+            select conv_id, list(turn order by i) as turns from t group by conv_id
+        ), h as (
+            select conv_id, turns, conv_id - conv_id % 20 as base,
+                cast(xor(list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint)),
+                    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end), 4294967295), 4294967295) % 4 as integer) as h
+            from own
+        ), p as (
+            select h.conv_id, coalesce(list_slice(b.turns, 1, h.h), []) || list_slice(h.turns, h.h + 1, len(h.turns)) as path
+            from h left join own b on b.conv_id = h.base
+        ), m as (
+            select conv_id, path, d, list_slice(path, 1, d) as node from p, lateral (select unnest(range(len(path) + 1)) as d)
+        ), n as (
+            select node, d, min(conv_id) as conv_id, count(*) as n_convs, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(path) = d) as ends,
+                case when d = 0 then 0 else len(list_filter(regexp_split_to_array(node[d].text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) end as words
+            from m group by node, d
+        ), c as (
+            select list_slice(node, 1, d - 1) as node, count(*) as n_children from n where d > 0 group by 1
+        ), k as (
+            select n.*, coalesce(n_children, 0) as n_children from n left join c using (node)
+        ), s as (
+            select list_slice(node, 1, up) as node, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * words) as saved_tokens
+            from (select *, unnest(range(d + 1)) as up from k) group by 1
+        )
+        select k.conv_id, cast(k.d as bigint) as depth, u.conv_id as parent_conv_id, k.n_convs, k.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(k.ends, '')) as ends_sha256
+        from k join s using (node) left join n u on k.d > 0 and u.node = list_slice(k.node, 1, k.d - 1)
+    """,
     "op13_exact_dedup": r"""
         with d as (
             select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
