@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import free_name, materialize
 
-# What counts as an entity, in order of precedence.
+# What counts as an entity, in order of precedence. A domain has 127 labels at most, as in DNS: the JVM
+# matches repeated groups by recursion, which a text must not be able to make deep.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "M", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа")
 NEUTRAL = ("Dr", "Prof")
@@ -30,7 +31,7 @@ PASSWORD, SECRET = "(?i:password)", "(?i:token|secret|api_?key)"
 #: A word of a name, with hyphens and apostrophes (O'Neil, Müller-Schmidt), or initials; not the beginning of a key or an address.
 PART = r"(?:(?:\p{Lu}\.)++|\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+)(?![\p{L}\p{N}_@]|[._%+-][\p{L}\p{N}._%+-]*+@)"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,24}",
     "secret": rf"{PASSWORD} ?[=:] ?\"?[^\s\",;]{{4,}}+|{SECRET} ?[=:] ?\"?[A-Za-z0-9_/+.-]{{16,}}+",
     "access_key": r"\bA[KS]IA[0-9A-Z]{16}\b",
     "phone": r"\+\d{1,3}(?:[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:[ .-]?\d{2,4}){2,4})(?!\d)|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
@@ -162,13 +163,15 @@ def _initials(word: Column, key: str) -> Column:
 def _name(value: Column, kind: Column, key: str, attempt: Callable[[Column], Column]) -> Column:
     """Each word by itself, at the try that attempt(word) gives. A given name ends as the gender has it."""
 
-    def word(w: Column, i: Column) -> Column:
-        given = (F.size(F.split(value, " ")) > 1) & (i == 0)
+    def word(w: Column, i: Column, words: Column) -> Column:
+        given = (i == 0) & (F.size(words) > 1)
         latin, cyrillic = (F.when(given & (kind == "name_m"), a).when(given & (kind == "name_f"), b).otherwise("") for a, b in (("n", "lia"), ("н", "ия")))
         whole = F.array_join(F.transform(F.split(w, "-"), lambda x: _word(x, attempt(x), key)), "-")
         return F.when(w.endswith("."), _initials(w, key)).otherwise(F.concat(whole, F.when(w.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)))
 
-    return F.array_join(F.transform(F.split(value, " "), word), " ")
+    # bound once: a name can have any number of words
+    bound = F.transform(F.array(F.split(value, " ")), lambda words: F.array_join(F.transform(words, lambda w, i: word(w, i, words)), " "))
+    return F.element_at(bound, 1)
 
 
 def surrogate(value: Column, kind: Column, canon: Column, attempt: Column, key: str) -> Column:
