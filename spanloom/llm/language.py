@@ -133,7 +133,11 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
 
 def filter_languages(docs: DataFrame, labelled: DataFrame | None = None, **options) -> DataFrame:
     """The documents whose text has a language, with lang set to the predicted one; `und` documents are rejected.
-    Learns from `labelled`, the documents themselves if it isn't given. The columns stay those of docs."""
-    found = predict(docs, fit(docs if labelled is None else labelled, **options))
+    Learns from `labelled`, the documents themselves if it isn't given. The columns stay those of docs,
+    whatever their names."""
+    # columns of docs that are named like those of the prediction go by other names meanwhile
+    aside = {c: free_name(f"_own_{c}", docs) for c in docs.columns if c.lower() in ("lang_pred", "score")}
+    found = predict(docs.withColumnsRenamed(aside), fit(docs if labelled is None else labelled, **options))
     kind = docs.schema["lang"].dataType
-    return found.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred").cast(kind)).select(docs.columns)
+    found = found.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred").cast(kind))
+    return found.select(*(F.col(aside[c]).alias(c) if c in aside else c for c in docs.columns))
