@@ -57,8 +57,27 @@ def retained_keys() -> list[str]:
 
 
 def trim(c: Column) -> Column:
-    """Without white space of any script at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at either end. Texts that begin and end with a visible ASCII character, as
+    nearly all do, are left as they are without a pattern's search."""
+    seen = F.ascii(c).between(33, 126) & F.ascii(F.substring(c, -1, 1)).between(33, 126)
+    return F.when(seen, c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+
+
+def trimmed_values(attrs: Column) -> Column:
+    """The attributes that aren't blank, trimmed: a column to look up many keys in."""
+    return F.map_filter(F.transform_values(attrs, lambda k, v: trim(v)), lambda k, v: v != "")
+
+
+def lookups(trimmed: Column) -> Column:
+    """first_of for every name of KEYS, in their order, as one array; see `looked_up`. A loop over keys instead of an
+    expression for each keeps the compiled method small enough for the JVM to optimise."""
+    keys = F.array(*[F.array(*map(F.lit, ks)) for ks in KEYS.values()])
+    return F.transform(keys, lambda ks: F.get(F.filter(F.transform(ks, lambda k: F.element_at(trimmed, k)), lambda v: v.isNotNull()), F.lit(0)))
+
+
+def looked_up(values: Column, name: str) -> Column:
+    """One of `lookups`."""
+    return F.get(values, F.lit(list(KEYS).index(name)))
 
 
 def nonblank(c: Column) -> Column:

@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.attributes import MODEL_OPERATIONS, SUMMARY_KEYS, first_of, nonblank, span_key, with_values
+from spanloom.functions.attributes import KEYS, MODEL_OPERATIONS, SUMMARY_KEYS, span_key, trimmed_values, with_values
 from spanloom.plans.store import materialize, materialize_counted
 
 
-def explicit_agent(attrs):
-    """struct(id, name, version) of an agent that the span names itself; null if it names none."""
-    name = F.coalesce(first_of(attrs, "agent_name"), nonblank(F.element_at(attrs, "dify.app_name")))
-    ident = F.coalesce(first_of(attrs, "agent_id"), nonblank(F.element_at(attrs, "dify.app_id")))
-    return F.when(name.isNotNull() | ident.isNotNull(), F.struct(F.coalesce(ident, name).alias("id"), F.coalesce(name, ident).alias("name"), first_of(attrs, "agent_version").alias("version")))
+def explicit_agent(trimmed):
+    """struct(id, name, version) of an agent that the span names itself, from its trimmed values; null if it names none."""
+    first = lambda *keys: F.coalesce(*[F.element_at(trimmed, k) for k in keys])
+    name, ident = first(*KEYS["agent_name"], "dify.app_name"), first(*KEYS["agent_id"], "dify.app_id")
+    return F.when(name.isNotNull() | ident.isNotNull(), F.struct(F.coalesce(ident, name).alias("id"), F.coalesce(name, ident).alias("name"), first(*KEYS["agent_version"]).alias("version")))
 
 
 def keyed(obs: DataFrame) -> DataFrame:
@@ -66,9 +66,11 @@ def in_context(obs: DataFrame, agents: bool = True, summaries: bool = True) -> D
     """Observations with empty agent ids, names and versions filled from their own or the nearest ancestor's agent
     (agents), and without the model keys of spans that are the nearest invoke_agent ancestor of a concrete model span
     (summaries)."""
-    operation = F.lower(first_of(F.col("attrs"), "operation"))
-    concrete = (F.lower(nonblank(F.element_at("attrs", "gen_ai.span.kind"))) == "llm") | operation.isin(MODEL_OPERATIONS)
-    rows = keyed(obs).withColumns({"agent": explicit_agent(F.col("attrs")), "summary": F.when(operation == "invoke_agent", F.col("key")), "concrete": F.coalesce(concrete, F.lit(False))})
+    obs_columns = obs.columns
+    obs = obs.withColumn("trimmed", trimmed_values(F.col("attrs")))
+    operation = F.lower(F.element_at("trimmed", KEYS["operation"][0]))
+    concrete = (F.lower(F.element_at("trimmed", "gen_ai.span.kind")) == "llm") | operation.isin(MODEL_OPERATIONS)
+    rows = keyed(obs).withColumns({"agent": explicit_agent(F.col("trimmed")), "summary": F.when(operation == "invoke_agent", F.col("key")), "concrete": F.coalesce(concrete, F.lit(False))}).drop("trimmed")
     rows = materialize(rows, "spans")
     last = materialize(last_spans(rows), "last")
     found = nearest(last.select("graph_id", "key", "parent", "agent", "summary"), [v for v, wanted in (("agent", agents), ("summary", summaries)) if wanted])
@@ -84,7 +86,7 @@ def in_context(obs: DataFrame, agents: bool = True, summaries: bool = True) -> D
         rows = rows.join(hit, ["graph_id", "key"], "left")
         cleared = F.map_filter(attrs, lambda k, v: ~k.isin(SUMMARY_KEYS))
         attrs = F.when(F.col("obs_seq") == F.col("hit_seq"), cleared).otherwise(attrs)
-    return rows.withColumn("attrs", attrs).select(obs.columns)
+    return rows.withColumn("attrs", attrs).select(obs_columns)
 
 
 def inherit_agents(obs: DataFrame) -> DataFrame:

@@ -17,14 +17,29 @@ TRACES = 20
 
 @dataclass
 class Graph:
-    """nodes, edges and claims of any number of graphs, told apart by graph_id."""
+    """nodes, edges and claims of any number of graphs, told apart by graph_id; graphs has a header row for each."""
 
     nodes: DataFrame
     edges: DataFrame
     claims: DataFrame
+    graphs: DataFrame | None = None
 
 
-def _from_rows(df: DataFrame) -> DataFrame:
+#: The version of the tables' layout, and what every header says.
+SCHEMA_VERSION = "1"
+METADATA = {"privacy.mode": "metadata-only", "normalizer.version": SCHEMA_VERSION}
+
+
+def headers(ids: DataFrame, source: Column | str, generated_ns: Column | int) -> DataFrame:
+    """graph_id, schema_version, generated_ns, source and metadata of ids(graph_id), which may repeat; the source and
+    time that are given are aggregates over the rows of a graph, or constants."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    found = ids.groupBy("graph_id").agg(as_column(generated_ns).cast("long").alias("generated_ns"), as_column(source).alias("source"))
+    metadata = F.create_map(*[F.lit(x) for kv in METADATA.items() for x in kv])
+    return found.select("graph_id", F.lit(SCHEMA_VERSION).alias("schema_version"), "generated_ns", "source", metadata.alias("metadata"))
+
+
+def single(df: DataFrame) -> DataFrame:
     """Rows of single observations in the shape of summaries."""
     return df.withColumns({"n": F.lit(1).cast("long"), "first_ns": F.col("ts_ns"), "last_ns": F.col("ts_ns"), "sources": F.array_compact(F.array(F.nullif("source", F.lit("")))), "trace_ids": F.array_compact(F.array(F.nullif("trace_id", F.lit(""))))})
 
@@ -58,11 +73,10 @@ def claim_summaries(df: DataFrame) -> DataFrame:
 
 def resolve(claims: DataFrame) -> DataFrame:
     """Adds rank (1 wins: strongest, then latest, then smallest value), selected and conflict to claims."""
-    field = ["graph_id", "node_id", "field", "key"]
-    values = claims.groupBy(*field).agg((F.count("*") > 1).alias("conflict"))
-    order = Window.partitionBy(*field).orderBy(F.desc("level_rank"), F.desc_nulls_last("last_ns"), "value")
-    ranked = claims.withColumn("rank", F.row_number().over(order)).withColumn("selected", F.col("rank") == 1)
-    return ranked.join(values, field).select(*claims.columns, "rank", "conflict", "selected")
+    field = Window.partitionBy("graph_id", "node_id", "field", "key")
+    order = field.orderBy(F.desc("level_rank"), F.desc_nulls_last("last_ns"), "value")
+    ranked = claims.withColumns({"rank": F.row_number().over(order), "conflict": F.count("*").over(field) > 1})
+    return ranked.withColumn("selected", F.col("rank") == 1).select(*claims.columns, "rank", "conflict", "selected")
 
 
 def materialise_fields(nodes: DataFrame, claims: DataFrame) -> DataFrame:
@@ -83,6 +97,6 @@ def build(obs: DataFrame) -> Graph:
     """The graph of observations whose context is already filled in."""
     # extracted once: six aggregates read it; claims are far fewer, and fields, diffs and policies read them again
     found = materialize(extract.occurrences(obs), "occurrences")
-    nodes = node_summaries(_from_rows(extract.node_rows(found)).withColumn("seq", F.col("obs_seq")))
-    claims = materialize(claim_summaries(_from_rows(extract.claim_rows(found))), "claims")
-    return Graph(materialise_fields(nodes, claims), edge_summaries(_from_rows(extract.edge_rows(found))), claims)
+    nodes = node_summaries(single(extract.node_rows(found)).withColumn("seq", F.col("obs_seq")))
+    claims = materialize(claim_summaries(single(extract.claim_rows(found))), "claims")
+    return Graph(materialise_fields(nodes, claims), edge_summaries(single(extract.edge_rows(found))), claims)

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -21,9 +24,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (held := _scratch.get()) is not None:
+        held.append(path)
+    return path
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path of any store."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, found = hadoop(spark, path)
+    return fs.exists(found)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    fs, found = hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(found)) if fs.exists(found) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, found = hadoop(spark, path)
+    fs.delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised within are deleted at the end: for work whose results are written elsewhere."""
+    token = _scratch.set([])
+    try:
+        yield
+    finally:
+        for path in _scratch.get():
+            delete(spark, path)
+        _scratch.reset(token)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from spanloom.functions.attributes import metadata_only
 from spanloom.operators import bom, context, diff, evidence, extract, merge, policy, validate
 from spanloom.operators.evidence import Graph
 from spanloom.plans.scan import first_seen, scan
-from spanloom.plans.store import fresh_path, materialize
+from spanloom.plans.store import children, fresh_path, hadoop, materialize
 from spanloom.sources import snapshots, telemetry
 from spanloom.streaming import collector
 from spanloom.testtables import ATTRIBUTES_SQL, OBSERVATIONS_SQL, SIZE_SQL, compact_documents, conversation_spans, observations, otlp_documents, over
@@ -364,6 +364,113 @@ def i08_stream_counts(spark, sf_dir):
     return collector.stats(spark, streamed(spark, sf_dir)).select(F.col("batch").cast("long").alias("batch"), "received", "accepted", "duplicate", "pending")
 
 
+def a01_large_documents(spark, sf_dir):
+    """The same as a01, each document cut into the texts of its spans before these are parsed."""
+    docs = otlp_documents(observations(spark, sf_dir), [F.lower("trace_id").alias("t")])
+    return flat(telemetry.read_otlp(written(spark, docs), large=500))
+
+
+def b01_repeated_keys(spark, sf_dir):
+    """Resources and spans name keys twice; the last value of the innermost counts."""
+    docs = otlp_documents(observations(spark, sf_dir), [F.lower("trace_id").alias("t")])
+    more = '"attributes":[{"key":"app.seq","value":{"intValue":"-1"}},{"key":"app.tags","value":{"boolValue":true}},{"key":"app.seq","value":{"stringValue":"x"}},{"key":"app.size","value":{"arrayValue":{}}},'
+    return flat(telemetry.read_otlp(written(spark, docs.withColumn("value", F.replace("value", F.lit('"attributes":['), F.lit(more))))))
+
+
+def b05_document_sources(spark, sf_dir):
+    docs = written(spark, otlp_documents(observations(spark, sf_dir), [F.lower("trace_id").alias("t")]))
+    return telemetry.document_sources(docs).groupBy("source").agg(F.count("*").alias("documents"))
+
+
+def b18_digest_claims(spark, sf_dir):
+    """Digests of models, with and without their prefix."""
+    model = F.element_at("attrs", "gen_ai.request.model")
+    digest = F.concat(F.when(F.col("obs_seq") % 3 == 0, "sha256:").otherwise(""), F.md5(model))
+    obs = observations(spark, sf_dir).withColumn("attrs", F.when(model.isNotNull(), F.map_concat("attrs", F.create_map(F.lit("gen_ai.model.digest"), digest))).otherwise(F.col("attrs")))
+    found = extract.claim_rows(materialize(extract.occurrences(obs), "occurrences")).where("field = 'digest'")
+    return found.groupBy("node_id", "key", "value").agg(F.count("*").alias("n"))
+
+
+def headed(g: Graph, source: str, generated_ns: int, **said: str) -> Graph:
+    """The graph with headers of this source and time, which say more."""
+    heads = evidence.headers(g.nodes, source, generated_ns)
+    more = F.create_map(*[F.lit(x) for kv in said.items() for x in kv]).cast("map<string,string>")
+    return replace(g, graphs=heads.withColumn("metadata", F.map_from_entries(F.concat(F.map_entries("metadata"), F.map_entries(more)))))
+
+
+def by_source(spark: SparkSession, sf_dir: str) -> Graph:
+    """A graph for each source of observations."""
+    obs = observations(spark, sf_dir).withColumn("graph_id", F.col("source"))
+    return evidence.build(context.in_context(obs))
+
+
+def d09_merged_headers(spark, sf_dir):
+    """Three graphs with headers, merged: of the first only one graph, without a source; later values win."""
+    g = by_source(spark, sf_dir)
+    only = lambda name: Graph(*(getattr(g, p).where(F.col("graph_id") == name) for p in ("nodes", "edges", "claims")))
+    merged = merge.merge(headed(only("src-1"), "", 5, run="1", kept="a"), headed(g, "second", 7, run="2"), headed(g, "third", 6, run="3", last="z"))
+    counts = merged.nodes.groupBy("graph_id").agg(F.sum("n").alias("n"))
+    return merged.graphs.join(counts, "graph_id").select("graph_id", "schema_version", "generated_ns", "source", pairs("metadata"), "n")
+
+
+def a07_partitioned_snapshot(spark, sf_dir):
+    """Graphs and headers in folders by graph, as JSON and parquet, read again strictly."""
+    g = headed(by_source(spark, sf_dir), "scan", 9)
+    path, out = fresh_path(spark, "snapshots"), None
+    for kind in ("parquet", "json"):
+        snapshots.write_graph(g, f"{path}/{kind}", kind, by_graph=True)
+        back = snapshots.read_graph(spark, f"{path}/{kind}", g, kind, by_graph=True)
+        rows = back.nodes.groupBy("graph_id").agg(F.count("*").alias("nodes"), F.sum("n").alias("n")).join(back.edges.groupBy("graph_id").agg(F.count("*").alias("edges")), "graph_id").join(back.claims.groupBy("graph_id").agg(F.count("*").alias("claims")), "graph_id")
+        rows = rows.join(back.graphs, "graph_id").select(F.lit(kind).alias("kind"), "graph_id", "nodes", "n", "edges", "claims", "source", "generated_ns", pairs("metadata"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def arriving(spark: SparkSession, path: str, at: int, lines: DataFrame) -> None:
+    """A file of lines in a folder, with a time of arrival in seconds."""
+    part = fresh_path(spark, "arriving")
+    lines.coalesce(1).write.text(part)
+    fs, folder = hadoop(spark, path)
+    fs.mkdirs(folder)
+    name = next(x for x in children(spark, part) if x.startswith("part-"))
+    target = hadoop(spark, f"{path}/{at}.txt")[1]
+    fs.rename(hadoop(spark, f"{part}/{name}")[1], target)
+    fs.setTimes(target, at * 1000, -1)
+
+
+def i01_clocked_stream(spark, sf_dir):
+    """Counts of a stream by its batches, under a clock of arrival times; the batch -1 is what a listener has counted
+    while the stream ran. Spans without their roots; a third of them again within the horizon; two observations long
+    after, when all that waited is let go; the third once more, beyond the horizon."""
+    obs = observations(spark, sf_dir).where("parent_span_id <> ''")
+    docs = materialize(otlp_documents(obs, [(F.col("obs_seq") % 6 < 2).alias("third"), F.lower("trace_id").alias("t")]), "files")
+    path, lone = fresh_path(spark, "stream"), spark.range(1).select(F.lit('{"observations":[{"attributes":{}}]}').alias("value"))
+    again = docs.where("third").select("value")
+    for at, lines in ((1000, docs.select("value")), (1050, again), (9000, lone), (9001, lone), (9002, again)):
+        arriving(spark, f"{path}/in", at, lines)
+    live = collector.LiveCounters()
+    spark.streams.addListener(live)
+    try:
+        options = collector.Options(horizon=3600, wait=100, compact_every=2)
+        stream = collector.collect(spark, f"{path}/in", f"{path}/store", f"{path}/checkpoint", options, clock=F.col("_metadata.file_modification_time"))
+        query = stream.trigger(availableNow=True).start()
+        query.awaitTermination()
+        # progress is told a moment later
+        live.ended.wait(60)
+    finally:
+        spark.streams.removeListener(live)
+    told = spark.createDataFrame([(-1, live.received, live.accepted, live.duplicate, 0, 0)], "batch long, received long, accepted long, duplicate long, pending long, released_late long")
+    return collector.stats(spark, f"{path}/store").select(told.columns).union(told)
+
+
+def a11_stored_bom(spark, sf_dir):
+    """The bill of materials that the stream's last batch has left, from the buckets of all versions."""
+    store = streamed(spark, sf_dir)
+    collector.flush(spark, store)
+    _, components, dependencies = collector.stored_bom(spark, store)
+    return components.join(dependencies.withColumnRenamed("ref", "bom_ref"), ["graph_id", "bom_ref"]).select("bom_ref", "type", "name", "version", joined("depends_on"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -371,7 +478,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         e04_first_seen, k01_issues, k05_snapshot_digest, m01_components, m03_dependencies, p10_policy_report, p10_policy_violations, w1_scan_with_dedup, x07_claim_rows,
         a01_otlp_documents, a02_compact_documents, a03_routed_documents, a06_span_table, a07_snapshot, a08_bom_files, a09_diff_report, b16_metadata_only, c02_deep_chains, c06_backfill, c09_three_hops, c11_dangling,
         d10_counters, d12_has_changes, f01_canonical_order, f02_violations_in_order, g03_contract, i06_stream_graph, i08_stream_counts, k06_tampered, m02_properties, m04_header, p01_forbid_inferred,
-        p08_denied_path_rows, x06_prompts, x06_prompt_edges,
+        p08_denied_path_rows, x06_prompts, x06_prompt_edges, a01_large_documents, b01_repeated_keys, b05_document_sources, b18_digest_claims, d09_merged_headers, a07_partitioned_snapshot, i01_clocked_stream, a11_stored_bom,
     )
 }
 
@@ -602,3 +709,20 @@ ORACLE_SQL |= {
             union all select sha256(cast(to_json(struct_pack(field, first_ns, graph_id, key, last_ns, level := {_LEVEL.format('level_rank')}, level_rank, n, node_id, sources, trace_ids, value)) as varchar)) from kc
         ), l4 as (select substr(d, 1, 4) as p, sha256(string_agg(d, '' order by d)) as d from rows group by 1), l2 as (select substr(p, 1, 2) as p, sha256(string_agg(d, '' order by d)) as d from l4 group by 1) select 'all' as graph_id, sha256(string_agg(d, '' order by d)) as digest from l2""",
 }
+
+_META = "normalizer.version=1|privacy.mode=metadata-only"
+ORACLE_SQL |= {
+    "a01_large_documents": _OTLP,
+    "b01_repeated_keys": _OTLP,
+    "b05_document_sources": f"with {OBSERVATIONS_SQL} select source, count(*) as documents from (select min(service) as source from obs group by trace) group by source",
+    "b18_digest_claims": f"with {OBSERVATIONS_SQL} select 'model:' || substr(sha256('model' || chr(0) || lower(coalesce(case when odd_provider then 'openai' else provider end, '')) || chr(0) || lower(request_model)), 1, 24) as node_id, 'sha256' as key, md5(request_model) as value, count(*) as n from obs where request_model is not null group by all",
+    "d09_merged_headers": _ROWS + f""", c as (select source as graph_id, count(*) as n from nr group by source)
+        select graph_id, '1' as schema_version, 7 as generated_ns, 'second' as source, 'aggregation.mode=continuous' || case when graph_id = 'src-1' then '|kept=a' else '' end || '|last=z|' || 'normalizer.version=1|privacy.mode=metadata-only|run=3' as metadata, n * case when graph_id = 'src-1' then 3 else 2 end as n from c""",
+    "a07_partitioned_snapshot": _ROWS + f""", n as (select source, count(distinct id) as nodes, count(*) as n from nr group by source), e as (select source, count(distinct id) as edges from er group by source), c as (select source, count(distinct node_id || chr(0) || field || chr(0) || key || chr(0) || value) as claims from cr group by source)
+        select kind, source as graph_id, nodes, n, edges, claims, 'scan' as source, 9 as generated_ns, '{_META}' as metadata from n join e using (source) join c using (source), (values ('parquet'), ('json')) k(kind)""",
+    "i01_clocked_stream": f"""with {OBSERVATIONS_SQL}, w as (select *, obs_seq % 6 < 2 as third from obs where parent_span_id <> ''), k as (select distinct trace, span_id, parent_span_id, third from w),
+        c as (select (select count(*) from w) as r, (select count(*) from k) as n, (select count(*) from w where third) as r3, (select count(*) from k where third) as n3,
+            (select count(*) from k where third and not exists (select 1 from k p where p.trace = k.trace and p.span_id = k.parent_span_id)) as p3)
+        select unnest([0, 1, 2, 3, 4, -1]) as batch, unnest([r, r3, 1, 1, r3, r + 2 * r3 + 2]) as received, unnest([n, 0, 1, 1, n3, n + n3 + 2]) as accepted, unnest([r - n, r3, 0, 0, r3 - n3, r + 2 * r3 - n - n3]) as duplicate, unnest([n, n, 0, 0, p3, 0]) as pending, unnest([0, 0, n, 0, 0, 0]) as released_late from c""",
+    "a11_stored_bom": over(_FIELDS, _STREAM + " where obs_seq % 2 = 0") + f", d as (select from_id, array_to_string(list_sort(list(distinct to_id)), '|') as depends_on from er group by from_id) select n.id as bom_ref, {_KIND} as type, n.name, f.version, coalesce(d.depends_on, '') as depends_on from {_NODES} n join fields f on f.id = n.id left join d on d.from_id = n.id",
+}

@@ -171,42 +171,3 @@ def document(*spans):
     """(span, parent, attributes) of one trace as a line."""
     attrs = lambda a: [{"key": k, "value": {"stringValue": v}} for k, v in a.items()]
     return json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "T", "spanId": s, "parentSpanId": p, "startTimeUnixNano": "5", "attributes": attrs(a)} for s, p, a in spans]}]}]})
-
-
-def test_stream_end_to_end(spark, tmp_path):
-    """Children before their parent, retries, a restart, a parent that never comes, and no content in the store."""
-    from spanloom.streaming import collector
-
-    tool = {"gen_ai.tool.name": "search", "gen_ai.prompt": "MUST_NOT_LEAK"}
-    files = [[document(("c", "b", tool), ("b", "a", {"gen_ai.operation.name": "chat"})), "nonsense"], [document(("C", "b", tool), ("x", "gone", {"gen_ai.tool.name": "lost"})), document(("a", "", {"agent.name": "planner"}))]]
-    store, options = f"{tmp_path}/store", collector.Options(compact_every=2)
-    (tmp_path / "in").mkdir()
-    for k, lines in enumerate(files):
-        (tmp_path / "in" / f"{k}.txt").write_text("\n".join(lines))
-        # a new query each time: it goes on from the checkpoint
-        collector.collect(spark, f"{tmp_path}/in", store, f"{tmp_path}/checkpoint", options).trigger(availableNow=True).start().awaitTermination()
-    counts = [(r["received"], r["accepted"], r["duplicate"], r["quarantined"], r["pending"]) for r in collector.stats(spark, store).orderBy("batch").collect()]
-    assert counts == [(2, 2, 0, 1, 2), (3, 2, 1, 0, 1)]
-    assert names(collector.stored_graph(spark, store).nodes) == [("agent", "planner"), ("prompt", "system-instructions"), ("tool", "search")]
-    collector.flush(spark, store, options)
-    g = collector.stored_graph(spark, store)
-    assert ("tool", "lost") in names(g.nodes) and g.nodes.where("name = 'search'").first()["n"] == 1
-    assert sorted(r["relation"] for r in g.edges.collect()) == ["invokes", "uses_prompt"]
-    # a batch that is run again changes nothing
-    collector.take(spark, collector.as_documents(spark.createDataFrame([("{}",)], "value string")), store, 1, options)
-    assert collector.batches(spark, store) == [0, 1, 2]
-    import pathlib
-
-    assert not any(b"MUST_NOT_LEAK" in p.read_bytes() for p in pathlib.Path(store).rglob("*") if p.is_file() and "quarantine" not in str(p))
-
-
-def test_stream_lets_the_oldest_go(spark, tmp_path):
-    from spanloom.streaming import collector
-
-    store = f"{tmp_path}/store"
-    line = lambda text: collector.as_documents(spark.createDataFrame([(text,)], "value string"))
-    collector.take(spark, line(document(("p", "m1", {"gen_ai.tool.name": "one"}))), store, 0, collector.Options(most_waiting=1))
-    collector.take(spark, line(document(("q", "m2", {"gen_ai.tool.name": "two"}))), store, 1, collector.Options(most_waiting=1))
-    assert names(collector.stored_graph(spark, store).nodes) == [("tool", "one")]
-    last = collector.stats(spark, store).where("batch = 1").first()
-    assert (last["pending"], last["released_late"]) == (1, 1)
