@@ -364,6 +364,29 @@ def i08_stream_counts(spark, sf_dir):
     return collector.stats(spark, streamed(spark, sf_dir)).select(F.col("batch").cast("long").alias("batch"), "received", "accepted", "duplicate", "pending")
 
 
+def c09_eight_hops(spark, sf_dir):
+    """Four tools of one server and five agents in turn, all of which know each other: of some ten thousand paths the
+    smallest of each start."""
+    g = graph(spark, sf_dir)
+    g = Graph(materialize(g.nodes, "nodes"), materialize(g.edges, "edges"), g.claims)
+    back = g.edges.where("relation = 'invokes'").withColumns({"from_id": F.col("to_id"), "to_id": F.col("from_id"), "relation": F.lit("invoked_by")})
+    tool, agent = policy.Selector(type="tool", provider="Server-1", name_pattern="^tool-[1-5]$"), policy.Selector(type="agent", name_pattern="^agent-1[1-4]$")
+    rule = policy.PathRule("ring", policy.Selector(type="agent"), [tool, agent, tool, agent, tool, agent, tool], ["invokes", "invoked_by"] * 4, agent)
+    return policy.denied_path(Graph(g.nodes, g.edges.unionByName(back), g.claims), rule).select(joined("path"))
+
+
+POLICIES = {
+    "names": policy.Policy(minimum_evidence={"tool": "observed"}, denied_name_patterns=[f"^tool-{i}$" for i in range(100)], allowed_providers=["OPENAI"]),
+    "more": policy.Policy(denied_name_patterns=[f"model-{i}" for i in range(100)], require_versions_for=["Agent"], require_providers_for=["data_source", "agent"], forbid_inferred=True, forbid_field_conflicts=True),
+}
+
+
+def p11_policy_tables(spark, sf_dir):
+    """Two policies of a hundred patterns each over three graphs; the second concerns two of them."""
+    found = policy.policies_violations(by_source(spark, sf_dir), POLICIES, {"more": ["src-0", "src-2"]})
+    return found.select("policy", "graph_id", "rule", "node_id", "message")
+
+
 def a01_large_documents(spark, sf_dir):
     """The same as a01, each document cut into the texts of its spans before these are parsed."""
     docs = otlp_documents(observations(spark, sf_dir), [F.lower("trace_id").alias("t")])
@@ -478,7 +501,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         e04_first_seen, k01_issues, k05_snapshot_digest, m01_components, m03_dependencies, p10_policy_report, p10_policy_violations, w1_scan_with_dedup, x07_claim_rows,
         a01_otlp_documents, a02_compact_documents, a03_routed_documents, a06_span_table, a07_snapshot, a08_bom_files, a09_diff_report, b16_metadata_only, c02_deep_chains, c06_backfill, c09_three_hops, c11_dangling,
         d10_counters, d12_has_changes, f01_canonical_order, f02_violations_in_order, g03_contract, i06_stream_graph, i08_stream_counts, k06_tampered, m02_properties, m04_header, p01_forbid_inferred,
-        p08_denied_path_rows, x06_prompts, x06_prompt_edges, a01_large_documents, b01_repeated_keys, b05_document_sources, b18_digest_claims, d09_merged_headers, a07_partitioned_snapshot, i01_clocked_stream, a11_stored_bom,
+        p08_denied_path_rows, x06_prompts, x06_prompt_edges, c09_eight_hops, p11_policy_tables, a01_large_documents, b01_repeated_keys, b05_document_sources, b18_digest_claims, d09_merged_headers, a07_partitioned_snapshot, i01_clocked_stream, a11_stored_bom,
     )
 }
 
@@ -725,4 +748,22 @@ ORACLE_SQL |= {
             (select count(*) from k where third and not exists (select 1 from k p where p.trace = k.trace and p.span_id = k.parent_span_id)) as p3)
         select unnest([0, 1, 2, 3, 4, -1]) as batch, unnest([r, r3, 1, 1, r3, r + 2 * r3 + 2]) as received, unnest([n, 0, 1, 1, n3, n + n3 + 2]) as accepted, unnest([r - n, r3, 0, 0, r3 - n3, r + 2 * r3 - n - n3]) as duplicate, unnest([n, n, 0, 0, p3, 0]) as pending, unnest([0, 0, n, 0, 0, 0]) as released_late from c""",
     "a11_stored_bom": over(_FIELDS, _STREAM + " where obs_seq % 2 = 0") + f", d as (select from_id, array_to_string(list_sort(list(distinct to_id)), '|') as depends_on from er group by from_id) select n.id as bom_ref, {_KIND} as type, n.name, f.version, coalesce(d.depends_on, '') as depends_on from {_NODES} n join fields f on f.id = n.id left join d on d.from_id = n.id",
+    "c09_eight_hops": _ROWS + f""", e as (select distinct from_id as a, to_id as t from er where relation = 'invokes'), n as {_NODES}, tools as (select id from n where type = 'tool' and lower(provider) = 'server-1' and regexp_matches(name, '^tool-[1-5]$')),
+        agents as (select id from n where type = 'agent' and regexp_matches(name, '^agent-1[1-4]$')), w as (
+            select [a] as path, a as at, 0 as k from (select distinct e.a from e)
+            union all select list_append(w.path, x.id), x.id, k + 1 from w join (select 1 as odd, e.a as f, e.t as id from e where e.t in (select id from tools) union all select 0, e.t, e.a from e where e.a in (select id from agents)) x on x.f = w.at and x.odd = (w.k + 1) % 2
+            where k < 8 and not list_contains(w.path, x.id))
+        select array_to_string(min(path), '|') as path from w where k = 8 group by path[1]""",
+    "p11_policy_tables": _ROWS + f""", g as (select source as graph_id, id, type, arg_min(name, obs_seq) as name, arg_min(provider, obs_seq) as provider, max(level_rank) as l from nr group by source, id, type), v as (select distinct source as graph_id, node_id from cr where field = 'version'), i as (select unnest(range(100)) as i),
+        cf as (select source as graph_id, node_id, field, key, count(distinct value) as n from cr group by all having count(distinct value) > 1)
+        select 'names' as policy, graph_id, 'minimum-evidence' as rule, id as node_id, 'evidence ' || {_LEVEL.format('l')} || ' is below observed' as message from g where type = 'tool' and l < 3
+        union all select 'names', graph_id, 'allowed-providers', id, 'provider ' || provider || ' is not allowed' from g where provider <> '' and lower(provider) <> 'openai'
+        union all select 'names', graph_id, 'denied-name-pattern[' || i || ']', id, 'name ' || name || ' is denied' from g join i on regexp_matches(name, '^tool-' || i || '$')
+        union all select 'more', * from (
+            select graph_id, 'denied-name-pattern[' || i || ']', id, 'name ' || name || ' is denied' from g join i on regexp_matches(name, 'model-' || i)
+            union all select graph_id, 'forbid-inferred', id, 'evidence is inferred' from g where l = 1
+            union all select graph_id, 'require-version', id, 'version is required' from g where type = 'agent' and (graph_id, id) not in (select graph_id, node_id from v)
+            union all select graph_id, 'require-provider', id, 'provider is required' from g where type in ('data_source', 'agent') and provider = ''
+            union all select graph_id, 'forbid-field-conflict', node_id, field || case when key <> '' then ':' || key else '' end || ' has ' || n || ' values' from cf
+        ) where graph_id in ('src-0', 'src-2')""",
 }
