@@ -1,8 +1,8 @@
 """Toxicity scores with noisy-channel deobfuscation.
 
-Words that look obfuscated (digits or symbols among letters, letters three times or more, letters spaced out) are
-lattices of characters: each written character stands for some letters, repeats stand for one or two, spaces between
-single letters for nothing. A Viterbi search finds the reading that is likeliest under a character trigram model of
+Words that look obfuscated (digits or symbols among letters, letters three times or more, letters spaced out, letters
+of other scripts or without a width among them) are lattices of characters: each written character stands for some
+letters, repeats stand for one or two, what stands between single letters for nothing. A Viterbi search finds the reading that is likeliest under a character trigram model of
 the corpus and the channel's costs. Restored readings are added to the text's words, and a logistic regression on the
 presence of hashed words and word beginnings scores it.
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,18 +48,42 @@ _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LEET = np.zeros(256, bool)
 _LEET[[ord(c) for c in STANDS_FOR if c.isascii()]] = True
 #: What may end an obfuscated word, and what may stand between its letters.
+DASHES = "._-/~,"
 _LATE, _DASH = np.zeros(256, bool), np.zeros(256, bool)
 _LATE[[*range(48, 58), ord("@"), ord("$")]] = True
-_DASH[[ord("."), ord("_"), ord("-")]] = True
-#: Bytes of white space between letters of one spaced-out run, at most.
-WIDEST = 4
-
-
-def suspects(data: np.ndarray) -> list[tuple[int, int]]:
+_DASH[[ord(c) for c in DASHES]] = True
+_BETWEEN = rf"[\s{re.escape(DASHES)}]+"
+#: Characters without a width (fixed values).
+UNSEEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0xFEFF])
+#: Cyrillic and Greek letters and the Latin ones that they look like (fixed values).
+ALIKE = str.maketrans("абвгдеёзікмнопрстухуѕјһԁԛԝαβγεηικνορτυχω", "a6brdeeзikmhonpctyxysjhdqwabyenikvoptuxw")
+
+
+def _unusual(data: np.ndarray) -> np.ndarray:
+    """Where bytes of a character begin that hides letters: one without a width, a Cyrillic or Greek letter beside a
+    Latin one, a letter in a mathematical or wide form, or a white space beyond ASCII between two single letters."""
+    a, b, c = data[:-2], data[1:-1], data[2:]
+    flag = np.zeros(len(data), bool)
+    if not len(a) or data.max() < 128:
+        return flag
+    letter = _LETTER[data]
+    flag[:-2] |= (a == 0xC2) & (b == 0xAD) | (a == 0xEF) & (b == 0xBB) & (c == 0xBF)
+    flag[:-2] |= (a == 0xE2) & ((b == 0x80) & (c >= 0x8B) & (c <= 0x8F) | (b == 0x81) & (c >= 0xA0) & (c <= 0xA4))
+    flag[:-2] |= (a == 0xEF) & ((b == 0xBC) & (c >= 0xA1) | (b == 0xBD) & (c <= 0x9A)) | (a == 0xF0) & (b == 0x9D) & (c >= 0x90) & (c <= 0x9F)
+    other = (a >= 0xCE) & (a <= 0xD1)
+    flag[:-2] |= other & letter[2:]
+    flag[1:-2] |= other[1:] & letter[:-3]
+    if len(data) > 6:
+        flag[:-6] |= letter[:-6] & (data[1:-5] == 0xC2) & (data[2:-4] == 0xA0) & letter[3:-3] & (data[4:-2] == 0xC2) & (data[5:-1] == 0xA0)
+    return flag
+
+
+def suspects(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
     """Places of words that may be obfuscated: with a digit or symbol beside a letter (marks at a word's end but for
-    digits, @ and $ don't count), with a letter three times in a row, with single letters between dots, hyphens or
-    underscores, and runs of four or more words of one character, of which two at least are letters, however wide the
-    space between them on a line."""
+    digits, @ and $ don't count), with a letter three times in a row, with single letters between dashes, with letters
+    that are hidden (`_unusual`), and runs of four or more words of one character, dashes among them, of which two at
+    least are letters, whatever the space between them, line breaks included. Text i begins at offsets[i]; no run
+    spans two texts."""
     letter, leet, dash = _LETTER[data], _LEET[data], _DASH[data]
     n = len(data)
     flag = np.zeros(n, bool)
@@ -69,14 +94,17 @@ def suspects(data: np.ndarray) -> list[tuple[int, int]]:
         flag[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
         flag[:-4] |= letter[:-4] & dash[1:-3] & letter[2:-2] & dash[3:-1] & letter[4:]
     start, end = spans(SOLID[data])
-    at = np.unique(np.searchsorted(start, np.flatnonzero(flag), "right") - 1)
-    found = [(int(a), int(b)) for a, b in zip(start[at], end[at], strict=True) if letter[a:b].any()]
-    single = (end - start == 1) & (letter | leet)[start] if len(start) else np.zeros(0, bool)
+    unusual = _unusual(data)
+    at = np.unique(np.searchsorted(start, np.flatnonzero(flag | unusual), "right") - 1)
+    seen = np.r_[0, np.cumsum(letter | unusual)]
+    at = at[seen[end[at]] > seen[start[at]]]
+    found = list(zip(start[at].tolist(), end[at].tolist(), strict=True))
+    single = (end - start == 1) & (letter | leet | dash)[start] if len(start) else np.zeros(0, bool)
     if single.any():
-        lines = np.cumsum(data == 10)
-        near = np.r_[False, (start[1:] - end[:-1] <= WIDEST) & (lines[start[1:]] == lines[end[:-1] - 1])]
-        # runs of single characters that are near the one before
-        first, last = spans(np.r_[single & near & np.r_[False, single[:-1]], False])
+        text = np.searchsorted(offsets, start, "right")
+        same = np.r_[False, text[1:] == text[:-1]]
+        # runs of single characters that follow one of the same text
+        first, last = spans(np.r_[single & same & np.r_[False, single[:-1]], False])
         for a, b in zip((first - 1).tolist(), last.tolist(), strict=True):
             if b - a >= 4 and letter[start[a:b]].sum() >= 2:
                 found.append((int(start[a]), int(end[b - 1])))
@@ -125,12 +153,17 @@ class Decoder:
 
     def decode(self, written: str) -> str:
         """The likeliest reading. Where single characters are set apart, what stands between them is nothing or the
-        border of two words."""
-        text = written.lower().strip(".,;:?\"'()[]{}")
-        apart = re.fullmatch(r"\S(?:[\s._-]+\S)+", text) is not None
+        border of two words. Characters without a width go, mathematical and wide letters become plain ones, and beside
+        Latin letters those of other scripts become the Latin ones that they look like."""
+        text = written if written.isascii() else unicodedata.normalize("NFKC", written.translate(UNSEEN))
+        text = text.lower().strip(".,;:?\"'()[]{}")
+        if not text.isascii() and re.search("[a-z]", text):
+            text = text.translate(ALIKE)
+        # of characters with something between, the first is followed by that, and none stands beside another
+        apart = len(text) > 2 and re.match(rf"\S{_BETWEEN}\S", text) is not None and re.search(rf"[^\s{re.escape(DASHES)}]{{2}}", text) is None
         # of each state the likelihood and the readings that led there, linked back
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-        for m in re.finditer(r"[\s._-]+|(.)\1*" if apart else r"(.)\1*", text, re.S):
+        for m in re.finditer(rf"{_BETWEEN}|(.)\1*" if apart else r"(.)\1*", text, re.S):
             c, n = m.group()[0], len(m.group())
             letters = [c] if c.isascii() and c.isalpha() else list(STANDS_FOR.get(c, ""))
             # (letters read, channel cost)
@@ -176,7 +209,7 @@ def _features(data: np.ndarray, offsets: np.ndarray, decode: Decoder) -> tuple[n
     add(data, offsets)
     restored: list[list[str]] = [[] for _ in range(len(offsets) - 1)]
     any_found = False
-    for a, b in suspects(data):
+    for a, b in suspects(data, offsets):
         restored[int(np.searchsorted(offsets, a, "right")) - 1].append(decode(data[a:b].tobytes().decode("utf-8", "replace")))
         any_found = True
     if any_found:
