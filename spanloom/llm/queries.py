@@ -62,10 +62,85 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+#: Labelled urls (fixed values): betting, drugs, adult, advertising and spam hosts against plain ones.
+URL_LABELS = """
+    block http://casino-games.example.com/en/11
+    block https://www.slots-casino.example.net/en/48?page=2
+    block https://m.online-casino.example.org/de/85/
+    block http://blog.poker-win.example.com/de/25.html
+    block https://big-win-lotto.example.net/fr/62#top
+    block https://www.lotto-jackpot.example.org/fr/99
+    block https://blog.sports-bets.example.net/es/76/
+    block https://bets-now.example.org/en/16.html
+    block http://www.free-money.example.com/en/53#top
+    block https://m.free-spins.example.net/de/90
+    block https://blog.cheap-meds.example.org/de/30?page=2
+    block https://www.diet-pills.example.net/fr/104.html
+    block https://m.pills-direct.example.org/es/44#top
+    block http://blog.viagra-cheap.example.com/es/81
+    block https://adult-video.example.net/en/21?page=2
+    block https://www.adult-chat.example.org/en/58/
+    block http://m.xxx-adult.example.com/de/95.html
+    block https://blog.sex-cams.example.net/de/35#top
+    block https://ads-server.example.org/fr/72
+    block http://www.ads-click.example.com/fr/12?page=2
+    block https://m.track-ads.example.net/es/49/
+    block https://blog.click-track.example.org/es/86.html
+    block http://pixel-track.example.com/en/26#top
+    block https://www.popup-ads.example.net/en/63
+    block https://m.spam-mail.example.org/de/100?page=2
+    block http://blog.spam-links.example.com/de/40/
+    block https://link-farm.example.net/fr/77.html
+    block https://www.content-farm.example.org/fr/17#top
+    block http://m.win-prize.example.com/es/54
+    block https://blog.crack-warez.example.net/es/91?page=2
+    allow http://city-news.example.com/en/11
+    allow https://www.morning-news.example.net/en/48?page=2
+    allow https://m.weather.example.org/de/85/
+    allow http://blog.state-library.example.com/de/25.html
+    allow https://library.example.net/fr/62#top
+    allow https://www.open-university.example.org/fr/99
+    allow http://m.university.example.com/es/39?page=2
+    allow https://blog.museum.example.net/es/76/
+    allow https://garden.example.org/en/16.html
+    allow http://www.home-garden.example.com/en/53#top
+    allow https://m.recipes.example.net/de/90
+    allow https://blog.kitchen.example.org/de/30?page=2
+    allow http://maps.example.com/fr/67/
+    allow https://www.docs.example.net/fr/104.html
+    allow https://m.developer-docs.example.org/es/44#top
+    allow http://blog.forum.example.com/es/81
+    allow https://health.example.net/en/21?page=2
+    allow https://www.hospital.example.org/en/58/
+    allow http://m.science-journal.example.com/de/95.html
+    allow https://blog.science.example.net/de/35#top
+    allow https://history.example.org/fr/72
+    allow http://www.travel.example.com/fr/12?page=2
+    allow https://m.train-times.example.net/es/49/
+    allow https://blog.school.example.org/es/86.html
+    allow http://music.example.com/en/26#top
+    allow https://www.concerts.example.net/en/63
+    allow https://m.football-club.example.org/de/100?page=2
+    allow http://blog.photos.example.com/de/40/
+    allow https://books.example.net/fr/77.html
+    allow https://www.bookshop.example.org/fr/17#top
+    allow http://m.encyclopedia.example.com/es/54
+    allow http://blog.education.example.com/es/96#top
+    allow https://www.nutrition.example.org/en/73?page=2
+    allow https://www.wikis.example.net/en/78#top
+    allow https://m.dictionary.example.org/de/18
+"""
+
+
+def url_labels(spark: SparkSession) -> DataFrame:
+    """(url, verdict) of the labelled urls."""
+    return spark.createDataFrame([tuple(line.split()) for line in URL_LABELS.strip().splitlines()], "verdict string, url string")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm.url_filter import judge
 
-    found = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES)
+    found = judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), URL_RULES, url_labels(spark))
     return found.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import free_name, materialize
 
-#: Labelled urls that the regression is trained on, at most.
+#: Different labelled urls that the regression is trained on, about, at most.
 SAMPLE = 20_000
 FEATURES = 1 << 12
 
@@ -66,13 +66,14 @@ def features(df: DataFrame, host: str, path: str, out: str) -> DataFrame:
 def train(labelled: DataFrame, sample: int = SAMPLE):
     """A regression from labelled(host, path, verdict), or the only verdict if there is but one (allow if none).
 
-    Rows with a null verdict are left out; of the others about `sample`, those of least hash, are used."""
+    Rows with a null verdict are left out. Every different host and path counts once for each verdict, so copies of one
+    url don't outweigh the others; of about `sample` of them at most, those of least hash, the regression learns. The
+    same rows give the same sample however they lie in files."""
     rows = labelled.where("verdict in ('allow', 'block')").select("host", "path", "verdict")
-    n = rows.count()
+    n = rows.agg(F.approx_count_distinct(F.struct("host", "path"), 0.01)).first()[0]
     if n > sample:
-        # by row, so that copies of one url spread
-        rows = rows.where(F.rand(7) < sample / n)
-    rows = materialize(features(rows, "host", "path", "features").withColumn("label", (F.col("verdict") == "block").cast("double")), "urls")
+        rows = rows.where(F.xxhash64("host", "path") < int(-(2**63) + sample / n * 2**64))
+    rows = materialize(features(rows.distinct(), "host", "path", "features").withColumn("label", (F.col("verdict") == "block").cast("double")), "urls")
     kinds = {r[0] for r in rows.groupBy("verdict").count().collect()}
     if len(kinds) < 2:
         return kinds.pop() if kinds else "allow"
@@ -82,8 +83,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE):
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """Adds host, path, rule, verdict (allow or block) and block_score to pages(url, ...).
 
-    verdict: the rule's; for other urls, that of a regression trained on labelled(url, verdict), or where it isn't
-    given, on the urls of pages that a rule fits. A null url, or one without ://, has an empty host and path. Repeated
+    verdict: the rule's; for other urls, that of a regression trained on labelled(url, verdict), a small table, or
+    where it isn't given, on the urls of pages that a rule fits. A null url, or one without ://, has an empty host and path. Repeated
     rows and other columns stay; columns of the five added names are replaced. An empty table gives an empty one."""
 
     def parts(df: DataFrame) -> DataFrame:
