@@ -26,31 +26,40 @@ MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "M", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа")
 NEUTRAL = ("Dr", "Prof")
 TITLES = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
-#: Keywords of secrets, in any case.
-PASSWORD, SECRET = "(?i:password)", "(?i:token|secret|api_?key)"
+#: Keywords of secrets, in any case; a word after "password is" counts if it holds a digit.
+PASSWORD, SECRET = "(?i:password|passwd|passphrase|pwd)", "(?i:token|secret|api_?key)"
+PASSWORD_IS = rf"{PASSWORD} (?i:is|was):? (?=[^\s\d]*+\d)"
+#: Beginnings of keys that are told by these; what follows must hold a digit.
+KEY_BEGINS = r"(?:(?i:bearer) |gh[opsur]_|github_pat_|glpat-|xox[abprs]-|sk-|AIza|eyJ)(?=[A-Za-z_/+.=~-]*+\d)"
+#: Words before a name that has no title, and words after these that begin no name.
+CUES = r"(?:Contact|contact|Signed,?|Regards,|Sincerely,|Dear|[Nn]ame is|Name:|Author:|I am|I'm)"
+NO_NAME = "Us|Our|Your|The|All|Any|This|Customer|Support|Sales|Service|Services|Team|Sir|Madam|Human|Press|Office|Information"
 #: A word of a name, with hyphens and apostrophes (O'Neil, Müller-Schmidt), or initials; not the beginning of a key or an address.
 PART = r"(?:(?:\p{Lu}\.)++|\p{Lu}[\p{L}\p{M}]*+(?:['’-]\p{L}[\p{L}\p{M}]*+)*+)(?![\p{L}\p{N}_@]|[._%+-][\p{L}\p{N}._%+-]*+@)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,24}",
-    "secret": rf"{PASSWORD} ?[=:] ?\"?[^\s\",;]{{4,}}+|{SECRET} ?[=:] ?\"?[A-Za-z0-9_/+.-]{{16,}}+",
+    "secret": rf"{PASSWORD} ?[=:] ?\"?[^\s\",;]{{4,}}+|{PASSWORD_IS}[^\s\",;]{{6,}}+|{SECRET} ?[=:] ?\"?[A-Za-z0-9_/+.:=~-]{{16,}}+",
+    "key": rf"{KEY_BEGINS}[A-Za-z0-9_/+.=~-]{{16,}}+",
     "access_key": r"\bA[KS]IA[0-9A-Z]{16}\b",
-    "phone": r"\+\d{1,3}(?:[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:[ .-]?\d{2,4}){2,4})(?!\d)|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
+    "ipv6": r"(?<![:.])(?=[A-Fa-f:]*+\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}_:])",
+    "phone": r"\+\d{1,3}(?:[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|(?:[ .-]?\d{2,4}){2,4})(?!\d)|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d.,:/-])(?:0\d(?:[ .]\d\d){4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5})(?![ .-]?\d)",
     "card": r"(?<![\d.-])(?:(?:\d{4}[ -]){3}\d{4}(?![\d-])|\d{13,19}(?!\d))",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "name": rf"\b(?:{TITLES})\.? {PART}(?: {PART})*+",
+    "name": rf"\b(?:{TITLES})\.? {PART}(?: {PART})*+|{CUES} (?!(?:{TITLES}|{NO_NAME})\b){PART}(?: {PART}){{1,3}}+",
 }
 #: All of them begin where no letter or digit stands before; secrets also within names, as in DB_PASSWORD or dbPassword.
 ANY = r"(?:(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + r")|(?:(?<=_)|(?<=\p{Ll})(?=\p{Lu}))(?:" + PATTERNS["secret"] + "))"
 #: What stands before the value in a match, and stays.
-LEAD = rf"^(?:(?:{PASSWORD}|{SECRET}) ?[=:] ?\"?|(?:{TITLES})\.? (?=\p{{Lu}}))?"
+LEAD = rf"^(?:(?:{PASSWORD}|{SECRET}) ?[=:] ?\"?|{PASSWORD_IS}|{KEY_BEGINS}|{CUES} (?=\p{{Lu}})|(?:{TITLES})\.? (?=\p{{Lu}}))?"
 TITLED = rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}"
 
 
 def hint(text: Column) -> Column:
     """False only for texts that hold no entity: cheap tests come first."""
     out = text.rlike(r"[@\d]")
-    out |= text.rlike(r"(?i)(?:password|token|secret|api_?key) ?[=:]")
+    out |= text.rlike(rf"(?:{PASSWORD}|{SECRET}) ?[=:]") | text.rlike(rf"{CUES} \p{{Lu}}")
     return out | (text.rlike(r"[MHSFDPг][\p{L}-]{0,7}\.? \p{Lu}") & text.rlike(TITLED))
 
 
@@ -71,8 +80,9 @@ SYLLABLES = {
 def _kind(lead: Column, m: Column) -> Column:
     """The type of a match; the title before a name says whether it is a man's or a woman's."""
     title = F.regexp_replace(lead, r"\.? $", "")
-    out = F.when(lead.rlike("[=:]"), "secret").when(title.isin(*MALE), "name_m").when(title.isin(*FEMALE), "name_f").when(lead != "", "name")
-    out = out.when(m.contains("@"), "email").when(m.rlike("^A[KS]IA"), "access_key").when(m.rlike(r"^[+(]|^\d{3}-\d{3}-"), "phone").when(m.rlike(r"^\d{3}-\d\d-"), "ssn")
+    out = F.when(title.isin(*MALE), "name_m").when(title.isin(*FEMALE), "name_f").when(title.isin(*NEUTRAL) | lead.rlike(f"^{CUES} $"), "name").when(lead != "", "secret")
+    out = out.when(m.contains("@"), "email").when(m.rlike("^A[KS]IA"), "access_key").when(m.rlike(r"^[A-Z]{2}\d\d"), "iban").when(m.contains(":"), "ipv6")
+    out = out.when(m.rlike(r"^[+(]|^\d{3}-\d{3}-|^0\d(?:[ .]\d\d){4}$|^0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5}$"), "phone").when(m.rlike(r"^\d{3}-\d\d-"), "ssn")
     return out.when(m.contains("."), "ip").otherwise("card")
 
 
@@ -90,8 +100,8 @@ def found_type() -> str:
 
 
 def canonical(value: Column, kind: Column) -> Column:
-    """Spellings that are one entity have one canonical form: case of e-mail addresses, and separators of numbers."""
-    return F.when(kind == "email", F.lower(value)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", "")).otherwise(value)
+    """Spellings that are one entity have one canonical form: case of addresses, and separators of numbers."""
+    return F.when(kind.isin("email", "ipv6"), F.lower(value)).when(kind == "iban", F.replace(value, F.lit(" "))).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", "")).otherwise(value)
 
 
 def _pad(chars: Column, attempt: Column) -> Column:
@@ -107,13 +117,15 @@ def _letters(digest: Column, letters: str = LETTERS) -> Column:
     return F.translate(digest, "0123456789abcdef", letters)
 
 
-def _spell(value: Column, digest: Column, letters: str = LETTERS) -> Column:
-    """Every digit and letter replaced by one that the hash picks; other characters stay, but where there is neither."""
+def _spell(value: Column, digest: Column, letters: str = LETTERS, separated: bool = False) -> Column:
+    """Every digit and letter replaced by one that the hash picks; other characters stay, but where there is neither.
+    In numbers of a bounded length that may be `separated`, separators don't count, so that all spellings go alike."""
     digits, low = _digits(digest), _letters(digest, letters)
     none = ~value.rlike(r"[0-9\p{L}]")
 
     def one(c: Column, i: Column) -> Column:
-        at = F.pmod(i, F.lit(64)) + 1
+        place = F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), r"[^0-9\p{L}]", "")) if separated else i
+        at = F.pmod(place, F.lit(64)) + 1
         return F.when(c.rlike("[0-9]"), F.substr(digits, at, F.lit(1))).when(c.rlike(r"\p{Lu}"), F.upper(F.substr(low, at, F.lit(1)))).when(c.rlike(r"\p{L}") | none, F.substr(low, at, F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), one), "")
@@ -127,12 +139,26 @@ def _luhn(digits: Column) -> Column:
 
 def _card(value: Column, canon: Column, digest: Column) -> Column:
     """A valid check digit stays valid; the first digit stays."""
-    spelled = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_spell(value, digest), F.lit(2)))
+    spelled = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(_spell(value, digest, separated=True), F.lit(2)))
     zero = F.concat(F.substr(spelled, F.lit(1), F.length(spelled) - 1), F.lit("0"))
     check = ((10 - _luhn(F.regexp_replace(zero, r"\D", ""))) % 10).cast("string")
     return F.when(_luhn(canon) == 0, F.concat(F.substr(zero, F.lit(1), F.length(zero) - 1), check)).otherwise(spelled)
 
 
+def _iban_rest(text: Column) -> Column:
+    """The number that an account's characters spell, letters as 10 to 35, modulo 97."""
+    chars = F.filter(F.split(F.replace(text, F.lit(" ")), ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + F.coalesce(c.try_cast("int"), F.lit(0))).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
+def _iban(value: Column, canon: Column, digest: Column) -> Column:
+    """The country stays; valid check digits are followed by valid ones."""
+    country, body = F.substr(value, F.lit(1), F.lit(2)), _spell(F.substr(value, F.lit(5)), digest, separated=True)
+    check = F.lpad((98 - _iban_rest(F.concat(body, country, F.lit("00")))).cast("string"), 2, "0")
+    valid = _iban_rest(F.concat(F.substr(canon, F.lit(5)), F.substr(canon, F.lit(1), F.lit(4)))) == 1
+    return F.concat(country, F.when(valid, check).otherwise(_spell(F.substr(value, F.lit(3), F.lit(2)), digest)), body)
+
+
 def _byte(digest: Column, k: int) -> Column:
     return F.conv(F.substr(digest, F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("int")
 
@@ -182,7 +208,9 @@ def surrogate(value: Column, kind: Column, canon: Column, attempt: Column, key:
         F.when(kind == "email", F.concat(_pad(_letters(d), attempt), _spell(F.regexp_replace(value, r"\.[^.]*$", ""), d), F.lit("."), F.substring_index(value, ".", -1)))
         .when(kind == "access_key", F.concat(F.substr(value, F.lit(1), F.lit(4)), _spell(F.substr(value, F.lit(5)), d)))
         .when(kind == "secret", F.when(hexed, F.concat(_spell(value, d, "abcdefabcdefabcd"), _pad(d, attempt))).otherwise(F.concat(_spell(value, d), _pad(_letters(d), attempt))))
-        .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+\d{1,3})?", 0), _spell(F.regexp_replace(value, r"^\+\d{1,3}", ""), d), _pad(_digits(d), attempt)))
+        .when(kind == "phone", F.concat(F.regexp_extract(value, r"^(\+\d{1,3}|0)?", 0), _spell(F.regexp_replace(value, r"^(\+\d{1,3}|0)", ""), d, separated=True), _pad(_digits(d), attempt)))
+        .when(kind == "iban", _iban(F.concat(value, _pad(_digits(d), attempt)), canon, d))
+        .when(kind == "ipv6", F.when(attempt < TRIES, _spell(value, d, "abcdefabcdefabcd")).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substr(d, i * 4 + 1, F.lit(4))), ":")))
         .when(kind == "ssn", F.concat(_spell(value, d), _pad(_digits(d), attempt)))
         .when(kind == "card", _card(F.concat(value, _pad(_digits(d), attempt)), canon, d))
         .otherwise(F.concat_ws(".", 1 + _byte(d, 0) % 223, _byte(d, 1), _byte(d, 2), 1 + _byte(d, 3) % 254))
