@@ -134,7 +134,9 @@ URL_LABELS = """
 
 def url_labels(spark: SparkSession) -> DataFrame:
     """(url, verdict) of the labelled urls."""
-    return spark.createDataFrame([tuple(line.split()) for line in URL_LABELS.strip().splitlines()], "verdict string, url string")
+    line = F.explode(F.split(F.lit(URL_LABELS.strip()), r"\s*\n\s*")).alias("line")
+    parts = F.split("line", " ")
+    return spark.range(1).select(line).select(F.get(parts, F.lit(0)).alias("verdict"), F.get(parts, F.lit(1)).alias("url"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
