@@ -112,14 +112,14 @@ def row_hash(*columns: str, seed: int = 0):
     return F.xxhash64(*columns, F.lit(seed), F.monotonically_increasing_id())
 
 
-def lowered(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES >> 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """The same as `chunks`, in lower-cased code points instead of bytes."""
+def lowered(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES >> 1, clean=str.lower) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The same as `chunks`, in code points of lower-cased texts, or texts cleaned otherwise, instead of bytes."""
     texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
     first, n = 0, len(texts)
     while first < n:
         held, size, end = [], 0, first
         while end < n and (not held or size < limit):
-            held.append(texts[end].as_py().lower())
+            held.append(clean(texts[end].as_py()))
             size += len(held[-1]) + 1
             end += 1
         offsets = np.cumsum([0, *(len(t) + 1 for t in held)])

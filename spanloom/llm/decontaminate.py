@@ -1,21 +1,28 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Candidates come from CGK embeddings of word sequences. A random walk reads a sequence: at every step it writes down the
-word under it, and a random bit of step and word tells whether it moves on. Two sequences at a small edit distance fall
-into step again after every edit, so their embeddings agree in most steps: edit distance becomes Hamming distance.
-Locality-sensitive hashing samples a few neighbouring steps of the embedding; each such sample of a window is a key.
-
-Items are put in classes of similar size. A window is as long as the shortest item of its class. Windows of a text
-begin every few words; those of an item begin at each of its words, so some pair of them always begins in the same
-place. How many walks a class takes is found by trying them on its own items with words edited at the limit, until
-the target recall is reached. Every candidate is verified exactly: the least edit distance, in characters, between the
-item and any part of the text around.
+Candidates come from CGK embeddings. A random walk reads a sequence: at every step it writes down the symbol under it,
+and random bits of step and symbol tell how far it moves on. Two sequences at a small edit distance fall into step again
+after an edit, so their embeddings agree in most steps: edit distance becomes Hamming distance. Locality-sensitive
+hashing samples a few steps of the embedding as a key.
+
+Sequences of words are walked over item-sized windows. Items are put in classes of similar size; a window is as long as
+the shortest item of its class. Windows of a text begin every few words, those of an item at each of its words, so some
+pair of them always begins in the same place. Where characters are edited few words stay whole, so sequences of
+characters are walked too, a short way from every character. How many walks a class takes is found by trying them on its
+own items, with words and with single characters edited at the limit, until the target recall is reached or further
+walks find nothing new.
+
+Keys are shared by chance often, so a candidate is then compared as a whole: of the runs of five characters of the
+item-sized part of the text that the key lines up, a share must be the item's own, at about their places. The least
+share that the edited copies on trial have is asked for, but for one copy in a hundred. What is left is verified
+exactly: the least edit distance, in characters, between the item and any part of the text around.
 
 The items' index goes to every task, in blocks of a bounded size; documents are only mapped, never shuffled.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -28,10 +35,20 @@ from spanloom.llm.common import AnyWords, free_name, lowered
 
 #: Characters of benchmark items whose index is in a task at once; more items take more passes.
 BLOCK_CHARS = 1_000_000
-#: Steps sampled for a key, steps between them, keys of a window, and walks at most.
-SAMPLES, APART, KEYS, WALKS = 3, 2, 8, 8
-#: Items on which walks are tried out, and copies of each.
+#: Steps sampled for a key, steps between them (for one key after the other), and keys of a window.
+SAMPLES, APART, KEYS = 2, (1, 2, 3), 16
+#: Walks that may find nothing new, one after the other, before a class takes no more.
+IDLE = 4
+#: Items on which walks are tried out, and copies of each with words and with characters edited.
 TRIED, COPIES = 24, 4
+#: Characters of the runs that are compared, and how many of an item's runs are.
+RUN, COMPARED = 5, 96
+#: Steps of a walk over characters.
+KEY = 9
+#: Items of fewer characters have too few runs to compare and go straight to verification.
+SHORT = 40
+#: Windows that begin within an item's size.
+STRIDES = 4
 #: Windows of a text that walk at once.
 PART = 1 << 15
 
@@ -72,8 +89,8 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
 
 
 def size_class(words: int) -> int:
-    """The shortest item of the class of an item: any size below eight, then powers of two."""
-    return words if words < 8 else 1 << (words.bit_length() - 1)
+    """The shortest item of the class of an item: any size below eight, then 8, 32, 128 and so on."""
+    return words if words < 8 else 8 * 4 ** ((words // 8).bit_length() - 1 >> 1)
 
 
 class Walk:
@@ -83,11 +100,11 @@ class Walk:
         rng = np.random.default_rng([size, seed])
         samples = min(SAMPLES, size)
         self.steps = 2 * size
-        self.stride = max(1, size // 8)
+        self.stride = max(1, size // STRIDES)
         self.odd = rng.integers(0, 1 << 31, self.steps, np.uint32) * np.uint32(2) + np.uint32(1)
-        last = max(0, self.steps - 1 - APART * (samples - 1))
-        begins = np.unique(np.linspace(0, last, min(KEYS, size)).astype(int))
-        self.samples = [[min(b + APART * k, self.steps - 1) for k in range(samples)] for b in begins.tolist()]
+        last = max(0, self.steps - 1 - max(APART) * (samples - 1))
+        begins = np.unique(np.linspace(0, last, min(KEYS, 2 * size)).astype(int))
+        self.samples = [[min(b + APART[j % len(APART)] * k, self.steps - 1) for k in range(samples)] for j, b in enumerate(begins.tolist())]
         self.factors = rng.integers(0, 1 << 62, (len(begins), samples), np.uint64) * np.uint64(2) + np.uint64(1)
 
     def keys(self, symbols: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -132,8 +149,8 @@ class Table:
         self.there = np.zeros(1 << (64 - int(self.shift)), bool)
         self.there[(self.key >> self.shift).astype(np.int64)] = True
 
-    def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(item, place of its first word in symbols if no edit came before) of windows with an item's key."""
+    def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place of a word in symbols, that word's place in the item) of windows with an item's key."""
         for k, (value, at, good) in enumerate(self.walk.keys(symbols, starts)):
             value = value + np.uint64(k)
             hit = np.flatnonzero(self.there.take((value >> self.shift).view(np.int64)) & good)
@@ -141,99 +158,239 @@ class Table:
             low = np.searchsorted(self.key, value)
             n = np.searchsorted(self.key, value, "right") - low
             entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            yield self.item[entry], np.repeat(at, n) - self.place[entry]
+            yield self.item[entry], np.repeat(at, n), self.place[entry]
+
+
+def words_edited(text: str, share: float, rng: np.random.Generator) -> str:
+    """The text with so many of its words, at random, left out, replaced, or with another before them."""
+    words = text.split()
+    for place in sorted(rng.choice(len(words), int(share * len(words) + 1e-9), replace=False).tolist(), reverse=True):
+        other = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, len(words[place])))
+        words[place : place + 1] = ([], [other], [other, words[place]])[int(rng.integers(3))]
+    return " ".join(words)
+
 
+def characters_edited(text: str, share: float, rng: np.random.Generator) -> str:
+    """The text with so many of its characters, at random, left out, replaced, or with another after them."""
+    chars = list(text)
+    for place in rng.choice(len(chars), int(share * len(chars) + 1e-9), replace=False).tolist():
+        other = "qxz"[int(rng.integers(3))]
+        chars[place] = ("", other, chars[place] + other)[int(rng.integers(3))]
+    return "".join(chars)
 
-def scattered(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
-    """The words with so many of them, at random, left out, replaced, or with another before them."""
-    out = words.tolist()
-    for place in sorted(rng.choice(len(out), edits, replace=False).tolist(), reverse=True):
-        other = int(rng.integers(1, 1 << 31)) * 2 + 1
-        out[place : place + 1] = ([], [other], [other, out[place]])[int(rng.integers(3))]
-    return np.array(out, np.uint32)
 
+def normalised(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, characters, offsets) of pieces of the texts in their normal form."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for first, _, codes, offsets in lowered(batch, clean=normal):
+        yield first, codes, offsets
 
-def symbols_of(texts: list[str]) -> list[np.ndarray]:
-    """The words of texts as 32-bit symbols, none of them 0."""
-    out: list[np.ndarray] = []
-    for _, _, codes, offsets in lowered(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+
+def words_of(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The words of texts as 32-bit symbols, none of them 0, and where they begin in the normal form."""
+    symbol, start = [], []
+    for _, codes, offsets in normalised(texts):
         w = AnyWords(codes, offsets)
-        out += np.split(symbols(w), w.bounds[1:-1])
-    return out
+        symbol += np.split(symbols(w), w.bounds[1:-1])
+        start += np.split(w.start - offsets[w.text], w.bounds[1:-1])
+    return symbol, start
 
 
 def symbols(words: AnyWords) -> np.ndarray:
     return (words.hash >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def walks(size: int, texts: list[str], similarity: float, recall: float) -> tuple[list[Walk], float]:
-    """The walks that a class takes, and the share of edited copies of its items that they find: so many that copies
-    with edits scattered over (1 - similarity) of their words, between other words, are found with the target recall;
-    WALKS at most."""
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes ^= hashes >> np.uint32(15)
+    hashes *= np.uint32(0x85EBCA77)
+    return hashes
+
+
+def runs(codes: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of the run of RUN characters at every place."""
+    out = np.zeros(len(codes), np.uint32)
+    for k in range(min(RUN, len(codes))):
+        out[: len(codes) - k] += codes[k:] * np.uint32(pow(0x9E3779B1, k + 1, 1 << 32))
+    return mixed(out)
+
+
+class Characters:
+    """One random walk over characters, from every place: at each of KEY steps it writes down the character under it and
+    moves on by one, or by two for one in four of steps and characters. All that it wrote is the key. For items, sorted
+    keys with items and places, and a bitmap before them."""
+
+    def __init__(self, seed: int, items: list[np.ndarray], numbers: list[int]):
+        self.odd = np.random.default_rng([KEY, seed]).integers(0, 1 << 31, KEY, np.uint32) * np.uint32(2) + np.uint32(1)
+        walked = [self.keys(x) for x in items]
+        places = [np.flatnonzero(end <= len(x)) for x, (_, end) in zip(items, walked, strict=True)]
+        key = np.concatenate([k[p] for (k, _), p in zip(walked, places, strict=True)])
+        order = np.argsort(key, kind="stable")
+        self.key, self.place = key[order], np.concatenate(places)[order]
+        self.item = np.repeat(np.array(numbers, np.int64), [len(p) for p in places])[order]
+        self.shift = np.uint32(32 - min(26, max(12, math.ceil(math.log2(16 * len(key) + 1)))))
+        self.there = np.zeros(1 << (32 - int(self.shift)), bool)
+        self.there[self.key >> self.shift] = True
+
+    def keys(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, place after the last character) of the walk from every place."""
+        at = np.arange(len(codes), dtype=np.int32)
+        out = np.zeros(len(codes), np.uint32)
+        for k in range(KEY if len(codes) else 0):
+            c = codes.take(at, mode="clip")
+            out += c * np.uint32(pow(0x9E3779B1, k + 1, 1 << 32))
+            at += 1
+            at += (c * self.odd[k]) >> np.uint32(30) == 3
+        return mixed(out), at
+
+    def candidates(self, codes: np.ndarray, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in the text, place in the item) of equal keys, of walks from the first so many places."""
+        key = self.keys(codes)[0][:starts]
+        at = np.flatnonzero(self.there.take(key >> self.shift))
+        low = np.searchsorted(self.key, key[at])
+        n = np.searchsorted(self.key, key[at], "right") - low
+        entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.item[entry], np.repeat(at, n), self.place[entry]
+
+
+class Plan:
+    """Of a class of items: how many walks it takes, the least share of equal runs of a candidate, and which shares of
+    the copies with words and with characters edited were found on trial."""
+
+    def __init__(self, walks: int, share: float, words: float = 0.0, characters: float = 0.0):
+        self.walks, self.share, self.words, self.characters = walks, share, words, characters
+
+
+def try_walks(size: int, texts: list[str], similarity: float, recall: float) -> Plan:
+    """The plan of a class: walks are added until `recall` of the copies with words, and of those with characters,
+    edited at random over (1 - similarity) of them are found, or until IDLE walks in a row find none that were missing.
+    Copies whose edits happen to leave the item's limit count as well."""
     rng = np.random.default_rng([size, 11])
-    own = symbols_of(texts[:TRIED])
-    tests = []
-    for words in own:
-        for edited in (scattered(words, int((1 - similarity) * len(words) + 1e-9), rng) for _ in range(COPIES)):
-            around = rng.integers(1, 1 << 32, int(rng.integers(size)) + 1, np.uint32) | np.uint32(1)
-            tests.append((words, np.r_[around, edited, around, np.uint32(0)]))
-    found = np.zeros(len(tests), bool)
-    out: list[Walk] = []
-    while len(out) < WALKS and found.mean() < recall:
-        out.append(Walk(size, len(out)))
-        for k, (words, text) in enumerate(tests):
-            if not found[k]:
-                table = Table(out[-1], [words], [0])
-                found[k] = any(len(i) for i, _ in table.candidates(text, np.arange(0, len(text) - 1, out[-1].stride)))
-    return out, float(found.mean())
+    chosen = [texts[k] for k in rng.permutation(len(texts))[:TRIED]]
+    plain = [normal(x) for x in chosen]
+    owner, copies = [], []
+    for edit in (words_edited, characters_edited):
+        for k, text in enumerate(plain):
+            for _ in range(COPIES):
+                before, after = (plain[int(rng.integers(len(plain)))][: 4 * size] for _ in range(2))
+                owner.append(k)
+                copies.append(f"{before} {edit(text, 1 - similarity, rng)} {after}")
+    owner, by_words = np.array(owner), np.arange(len(owner)) < len(owner) // 2
+    best = np.full(len(owner), -1.0)
+    walks = idle = 0
+    share, reached = 0.0, (0.0, 0.0)
+    while idle < IDLE and min(reached) < recall:
+        index, known = Index(chosen, similarity, {size: Plan(1, 0.0)}, first=walks), (best >= 0).sum()
+        for first, codes, offsets in normalised(copies):
+            for text, item, _, alike in index.hits(AnyWords(codes, offsets), codes, offsets):
+                # what lies around a copy may be its item too
+                inner = owner[first + text] == item
+                np.maximum.at(best, first + text[inner], alike[inner])
+        walks += 1
+        idle = 0 if (best >= 0).sum() > known else idle + 1
+        # one copy in a hundred may have its runs spoilt more than others
+        share = float(np.quantile(best[best >= 0], 0.01)) if (best >= 0).any() else 0.0
+        reached = float((best[by_words] >= share).mean()), float((best[~by_words] >= share).mean())
+    return Plan(walks, share, *reached)
+
+
+def plans(texts: list[str], similarity: float, recall: float) -> dict[int, Plan]:
+    """The plan of each class of items."""
+    classes: dict[int, list[str]] = {}
+    for text, words in zip(texts, words_of(texts)[0], strict=True):
+        if len(words):
+            classes.setdefault(size_class(len(words)), []).append(text)
+    out = {size: try_walks(size, own, similarity, recall) for size, own in sorted(classes.items())}
+    for size, plan in out.items():
+        if min(plan.words, plan.characters) < recall:
+            logging.getLogger(__name__).warning("items of %d words or more: %.2f of copies with words and %.2f with characters edited at the limit are found", size, plan.words, plan.characters)
+    return out
 
 
 class Index:
-    """Tables of benchmark items, for each class and walk."""
-
-    def __init__(self, ids: list[int], texts: list[str], similarity: float, plan: dict[int, int]):
-        self.ids, self.normal = ids, [normal(x) for x in texts]
-        self.edits = [int((1 - similarity) * len(x) + 1e-9) for x in self.normal]
-        words = symbols_of(texts)
-        self.words = np.array([len(x) for x in words])
-        # words that the edits can add before and after a passage
-        self.slack = np.array([min(e, int((1 - similarity) * 4 * len(w)) + 4) for e, w in zip(self.edits, words, strict=True)])
+    """Tables of benchmark items, for each class and walk, and the runs of characters of each."""
+
+    def __init__(self, texts: list[str], similarity: float, plan: dict[int, Plan], first: int = 0):
+        self.normal = [normal(x) for x in texts]
+        self.edits = np.array([int((1 - similarity) * len(x) + 1e-9) for x in self.normal])
+        words, starts = words_of(texts)
+        self.start = np.concatenate([np.zeros(0, np.int64), *starts])
+        self.first = np.cumsum([0, *map(len, words)])
+        codes_of: list[np.ndarray] = []
+        self.least = np.array([plan[size_class(len(x))].share if len(x) and len(t) >= SHORT else 0.0 for x, t in zip(words, self.normal, strict=True)])
+        self.shift, self.where = [], []
+        for _, codes, offsets in normalised(texts):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                codes_of.append(codes[a : b - 1])
+                own = runs(codes_of[-1])[: max(1, b - a - RUN)]
+                bits = max(10, math.ceil(math.log2(8 * max(1, len(own)))))
+                where = np.full(1 << bits, -1 << 30, np.int32)
+                where[own >> np.uint32(32 - bits)] = np.arange(len(own))
+                self.shift.append(np.uint32(32 - bits))
+                self.where.append(where)
         classes: dict[int, list[int]] = {}
         for i, x in enumerate(words):
             if len(x):
                 classes.setdefault(size_class(len(x)), []).append(i)
-        self.tables = [Table(Walk(size, k), [words[i] for i in own], own) for size, own in sorted(classes.items()) for k in range(plan[size])]
-
-    def candidates(self, words: AnyWords) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, first word, end word): parts of texts, each to be verified against the item."""
+        self.tables = [Table(Walk(size, first + k), [words[i] for i in own], own) for size, own in sorted(classes.items()) for k in range(plan[size].walks)]
+        self.characters = []
+        for k in range(max((plan[size].walks for size in classes), default=0)):
+            own = sorted(i for size, own in classes.items() if k < plan[size].walks for i in own)
+            self.characters.append(Characters(first + k, [codes_of[i] for i in own], own))
+
+    def shares(self, item: int, begin: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Which share of the runs of item-sized parts beginning at these characters are the item's own, at about the
+        same place."""
+        n = max(1, len(self.normal[item]) - RUN + 1)
+        places = np.arange(0, n, max(1, n // COMPARED), dtype=np.int32)
+        apart = self.where[item].take(run.take(begin[:, None] + places, mode="clip") >> self.shift[item])
+        apart -= places
+        return (np.abs(apart, out=apart) <= int(self.edits[item]) // 2 + RUN).mean(axis=1)
+
+    def hits(self, words: AnyWords, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, character at which the item begins if no edit came before, share of equal runs) of the parts of
+        texts that have an item's key and enough of its runs."""
         n, texts = len(words.hash), len(words.bounds) - 1
         # a 0 after every text
         line = np.zeros(n + texts + 1, np.uint32)
         place = np.arange(n) + words.text
         line[place] = symbols(words)
-        seen = []
-        for table in self.tables:
-            for a in range(0, n, PART):
-                starts = place[a : a + PART : table.walk.stride]
-                for item, at in table.candidates(line, starts):
-                    if len(item):
-                        seen.append((item.astype(np.int64), at.astype(np.int64)))
+        text_of = np.zeros(len(line), np.int64)
+        text_of[place] = words.text
+        run = runs(codes)
+        for a in range(0, n if self.tables else 0, PART):
+            seen = [h for t in self.tables for h in t.candidates(line, place[a : a + PART : t.walk.stride])]
+            item, at, own = (np.concatenate(x).astype(np.int64) for x in zip(*seen, strict=True))
+            text = text_of[at]
+            yield from self.alike(text, item, words.start[at - text] - self.start[self.first[item] + own], run)
+        for a in range(0, len(codes) if self.characters else 0, 4 * PART):
+            seen = [walk.candidates(codes[a : a + 4 * PART + 2 * KEY], 4 * PART) for walk in self.characters]
+            item, at, own = (np.concatenate(x) for x in zip(*seen, strict=True))
+            yield from self.alike(np.searchsorted(offsets, at + a, "right") - 1, item, at + a - own, run)
+
+    def alike(self, text: np.ndarray, item: np.ndarray, begin: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """What `hits` gives, of these candidates, each once."""
+        _, one = np.unique((item << 34) + (begin + (1 << 33)), return_index=True)
+        text, item, begin = text[one], item[one], begin[one]
+        edge = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else np.zeros(1, int)
+        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            i = int(item[low])
+            for p in range(low, high, PART >> 3):
+                part = slice(p, min(high, p + (PART >> 3)))
+                share = self.shares(i, begin[part], run)
+                good = np.flatnonzero(share >= self.least[i])
+                if len(good):
+                    yield text[part][good], item[part][good], begin[part][good], share[good]
+
+    def candidates(self, words: AnyWords, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first and last character at which the item begins if no edit came before)."""
+        seen = [h[:3] for h in self.hits(words, codes, offsets)]
         if not seen:
             return
-        item, at = (np.concatenate(x) for x in zip(*seen, strict=True))
-        begin = words.bounds + np.arange(texts + 1)
-        # the place lies in the text's part of the line, or before it where the item's start is cut off
-        middle = np.clip(at + self.words[item] // 2, 0, len(line) - 2)
-        text = np.minimum(np.searchsorted(begin, middle, "right") - 1, texts - 1)
-        code = np.unique(np.stack([text, item, at], axis=1), axis=0)
-        text, item, at = code.T
-        far = self.words[item] + 2 * self.slack[item]
-        new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > far[1:])]
+        text, item, at = np.unique(np.stack([np.concatenate(x) for x in zip(*seen, strict=True)], axis=1), axis=0).T
+        new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * self.edits[item[1:]])]
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(at)] - 1
-        low = np.maximum(at[first] - self.slack[item[first]], begin[text[first]])
-        high = np.minimum(at[last] + self.words[item[first]] + self.slack[item[first]], begin[text[first] + 1] - 1)
-        yield from zip(text[first].tolist(), item[first].tolist(), (low - text[first]).tolist(), (high - text[first]).tolist(), strict=True)
+        yield from zip(text[first].tolist(), item[first].tolist(), at[first].tolist(), at[last].tolist(), strict=True)
 
 
 def _shared(grams: set[int], text: str) -> int:
@@ -249,47 +406,51 @@ def _grams(text: str) -> set[int]:
     return set(((c[:-2] << 42) ^ (c[1:-1] << 21) ^ c[2:]).tolist())
 
 
-def _passages(docs: DataFrame, ids: list[int], texts: list[str], similarity: float, plan: dict[int, int]) -> DataFrame:
+def _passages(docs: DataFrame, texts: list[str], similarity: float, plan: dict[int, Plan]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(ids, texts, similarity, plan)
+        index = Index(texts, similarity, plan)
         grams: dict[int, set[int]] = {}
         for batch in batches:
-            for first, end, codes, offsets in lowered(batch):
+            for first, _, codes, offsets in lowered(batch, clean=normal):
                 words = AnyWords(codes, offsets)
                 best: dict[tuple[int, int], tuple[int, int]] = {}
-                for t, item, low, high in index.candidates(words):
-                    pattern, edits = index.normal[item], index.edits[item]
+                for t, item, low, high in index.candidates(words, codes, offsets):
+                    pattern, edits = index.normal[item], int(index.edits[item])
                     known = best.get((t, item), (edits + 1, 0))[0]
-                    if high <= low or not known:
-                        continue
-                    # from the word before to the word after, for marks and white space at the ends
-                    a = words.end[low - 1] if low > words.bounds[t] else offsets[t]
-                    b = words.start[high] if high < words.bounds[t + 1] else offsets[t + 1] - 1
-                    part = normal(codes[a:b].tobytes().decode("utf-32-le", "surrogatepass"))
-                    if item not in grams:
-                        grams[item] = _grams(pattern)
-                    # each edit spoils three runs of three characters at most
-                    if _shared(grams[item], part) < len(pattern) - 2 - 3 * edits:
-                        continue
-                    at = part.find(pattern)
-                    distance, at = (0, at + len(pattern)) if at >= 0 else edit_distance_within(pattern, part)
-                    if distance < known:
-                        best[t, item] = (distance, low - int(words.bounds[t]) + part[: max(0, at - len(pattern))].count(" "))
+                    # as far as the edits can shift either end; around a passage, as far as a better one can overlap it
+                    for slack in (edits, edits + len(pattern)):
+                        a, b = max(low - slack, int(offsets[t])), min(high + len(pattern) + slack, int(offsets[t + 1]) - 1)
+                        if b <= a or not known:
+                            break
+                        part = codes[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+                        if item not in grams:
+                            grams[item] = _grams(pattern)
+                        # each edit spoils three runs of three characters at most
+                        if _shared(grams[item], part) < len(pattern) - 2 - 3 * edits:
+                            break
+                        at = part.find(pattern)
+                        distance, at = (0, at + len(pattern)) if at >= 0 else edit_distance_within(pattern, part)
+                        if distance > edits:
+                            break
+                        if distance < known:
+                            known = distance
+                            best[t, item] = (distance, max(0, int(np.searchsorted(words.end, a + max(0, at - len(pattern)), "right")) - int(words.bounds[t])))
                 if best:
-                    rows = [(t + first, ids[i], d, w, 1 - d / len(index.normal[i])) for (t, i), (d, w) in sorted(best.items())]
+                    rows = [(t + first, i, d, w, 1 - d / len(index.normal[i])) for (t, i), (d, w) in sorted(best.items())]
                     doc, item_id, distance, word, alike = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(item_id, pa.int64()), pa.array(word, pa.int64()), pa.array(distance, pa.int64()), pa.array(alike)], ["doc_id", "item_id", "word", "distance", "similarity"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, word long, distance long, similarity double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.98, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.92, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, word (about the number of the word at which the passage begins), distance and similarity for
     documents and benchmark items of which the document holds a passage whose edit distance from the whole item is
     (1 - similarity) of the item's characters at most; the best passage found of each pair.
 
     `recall` is the share of such passages to be found whose edits are scattered at random over (1 - similarity) of
-    their words; with fewer words edited it is higher, with single characters edited in more words lower. Case and runs of white space don't count. Items
+    their words or of their characters; with fewer edits it is higher. Classes of items that miss it on trial are
+    logged as warnings, with the shares that they reach. Case and runs of white space don't count. Items
     that are null or without a word match nothing, and so do null and empty texts. Items of equal text are looked for
     once and reported each by its own id; rows with a null id keep it; repeated documents are taken row by row. Other
     columns are dropped, whatever their names; an empty table on either side gives an empty one."""
@@ -297,20 +458,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     texts = items.select("text").distinct()
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    plan: dict[int, int] = {}
     out = None
     for k in range(blocks):
         # a block's size is bounded by block_chars, give or take the spread of a hash
         of_block = F.pmod(F.xxhash64("text"), F.lit(blocks)) == k
         rows = [r[0] for r in texts.where(of_block).orderBy("text").collect()]
-        classes: dict[int, list[str]] = {}
-        for text, words in zip(rows, symbols_of(rows), strict=True):
-            if len(words):
-                classes.setdefault(size_class(len(words)), []).append(text)
-        for size, own in classes.items():
-            if size not in plan:
-                plan[size] = len(walks(size, own, similarity, recall)[0])
-        found = _passages(docs, list(range(len(rows))), rows, similarity, plan)
+        found = _passages(docs, rows, similarity, plans(rows, similarity, recall))
         named = docs.sparkSession.createDataFrame(list(enumerate(rows)), "number long, text string").join(items.where(of_block), "text").select("number", F.col("item_id").alias("own_id"))
         found = found.join(F.broadcast(named), found["item_id"] == F.col("number")).select("doc_id", F.col("own_id").alias("item_id"), "word", "distance", "similarity")
         out = found if out is None else out.unionByName(found)
