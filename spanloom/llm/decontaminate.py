@@ -327,6 +327,9 @@ class Index:
                 where[own >> np.uint32(32 - bits)] = np.arange(len(own))
                 self.shift.append(np.uint32(32 - bits))
                 self.where.append(where)
+        self.whole = np.ones(len(texts))
+        for i, x in enumerate(codes_of):
+            self.whole[i] = max(1 / COMPARED, float(self.shares(i, np.zeros(1, np.int64), runs(x))[0]) if len(x) else 1.0)
         classes: dict[int, list[int]] = {}
         for i, x in enumerate(words):
             if len(x):
@@ -339,12 +342,12 @@ class Index:
 
     def shares(self, item: int, begin: np.ndarray, run: np.ndarray) -> np.ndarray:
         """Which share of the runs of item-sized parts beginning at these characters are the item's own, at about the
-        same place."""
+        same place, by the share that the item has itself: where it repeats its runs, only one place of each is known."""
         n = max(1, len(self.normal[item]) - RUN + 1)
         places = np.arange(0, n, max(1, n // COMPARED), dtype=np.int32)
         apart = self.where[item].take(run.take(begin[:, None] + places, mode="clip") >> self.shift[item])
         apart -= places
-        return (np.abs(apart, out=apart) <= int(self.edits[item]) // 2 + RUN).mean(axis=1)
+        return (np.abs(apart, out=apart) <= int(self.edits[item]) // 2 + RUN).mean(axis=1) / self.whole[item]
 
     def hits(self, words: AnyWords, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(text, item, character at which the item begins if no edit came before, share of equal runs) of the parts of

@@ -76,6 +76,16 @@ def test_decontamination_with_characters_edited(spark, corpus):  # noqa: F811
             assert np.mean(hit) >= least, (size, share, np.mean(hit))
 
 
+def test_decontamination_by_items_that_repeat_themselves(spark):
+    from spanloom.llm.decontaminate import contaminated
+
+    line = "eine zeile die noch oft genug kommt "
+    items = [(1, line * 12), (2, "ha " * 90), (3, (line * 5) + "und ein anderes ende mit anderen worten")]
+    rows = [(10 + i, f"Davor steht etwas. {t} Danach auch.") for i, t in items] + [(20, "nichts davon ist hier zu finden")]
+    found = {(r.doc_id, r.item_id): r.distance for r in contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(11, 1): 0, (12, 2): 0, (13, 3): 0}.items() <= found.items() and not any(d == 20 for d, _ in found)
+
+
 def test_decontamination_edge_cases(spark):
     from spanloom.llm.decontaminate import contaminated, decontaminate
 
