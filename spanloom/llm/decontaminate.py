@@ -8,14 +8,15 @@ hashing samples a few steps of the embedding as a key.
 Sequences of words are walked over item-sized windows. Items are put in classes of similar size; a window is as long as
 the shortest item of its class. Windows of a text begin every few words, those of an item at each of its words, so some
 pair of them always begins in the same place. Where characters are edited few words stay whole, so sequences of
-characters are walked too, a short way from every character. How many walks a class takes is found by trying them on its
-own items, with words and with single characters edited at the limit, until the target recall is reached or further
-walks find nothing new.
+characters are walked too, a short way from every character. How many walks a class takes is found by trying them on
+every item of the benchmark, with words and with single characters edited at the limit, until the target recall is
+reached or further walks find nothing new. The items are tried in tasks; the driver gets counts.
 
-Keys are shared by chance often, so a candidate is then compared as a whole: of the runs of five characters of the
-item-sized part of the text that the key lines up, a share must be the item's own, at about their places. The least
-share that the edited copies on trial have is asked for, but for one copy in a hundred. What is left is verified
-exactly: the least edit distance, in characters, between the item and any part of the text around.
+Keys are shared by chance often, so a candidate is then compared as a whole: the part of the text that the key lines up
+must hold as many runs of four characters of the item, no further from their places than the edits can move them, as
+the edits must leave whole, and the distances of the item's pieces, each the least anywhere near, must add up to the
+limit at most. Both are bounds for any passage within the limit, so they lose none. What is left is verified exactly:
+the least edit distance, in characters, between the item and any part of the text around.
 
 The items' index goes to every task, in blocks of a bounded size; documents are only mapped, never shuffled.
 """
@@ -24,7 +25,9 @@ from __future__ import annotations
 
 import logging
 import math
+import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +40,18 @@ from spanloom.llm.common import AnyWords, free_name, lowered
 BLOCK_CHARS = 1_000_000
 #: Steps sampled for a key, steps between them (for one key after the other), and keys of a window.
 SAMPLES, APART, KEYS = 2, (1, 2, 3), 16
-#: Walks that may find nothing new, one after the other, before a class takes no more.
+#: Walks that may find nothing new of an item's copies, one after the other, before it is tried no more.
 IDLE = 4
-#: Items on which walks are tried out, and copies of each with words and with characters edited.
-TRIED, COPIES = 24, 4
-#: Characters of the runs that are compared, and how many of an item's runs are.
-RUN, COMPARED = 5, 96
+#: Copies of each item with words edited and as many with characters edited, on which walks are tried.
+COPIES = 8
+#: Characters of the runs that are compared, and parts of a text's item-sized part that tell a run's place.
+RUN, CELLS = 4, 32
+#: Runs that are compared at once.
+SLAB = 1 << 17
+#: Pieces of items that are looked for at once; each has 64 characters at most, in a column by their lowest seven bits.
+LANES, PIECE, LETTERS = 8192, 64, 128
 #: Steps of a walk over characters.
 KEY = 9
-#: Items of fewer characters have too few runs to compare and go straight to verification.
-SHORT = 40
 #: Windows that begin within an item's size.
 STRIDES = 4
 #: Windows of a text that walk at once.
@@ -162,11 +167,20 @@ class Table:
 
 
 def words_edited(text: str, share: float, rng: np.random.Generator) -> str:
-    """The text with so many of its words, at random, left out, replaced, or with another before them."""
+    """The text with so many of its words, at random, left out, replaced, or with another before them, but for words
+    whose edit would take more characters than the share of the text's has left."""
     words = text.split()
-    for place in sorted(rng.choice(len(words), int(share * len(words) + 1e-9), replace=False).tolist(), reverse=True):
+    left = int(share * len(text) + 1e-9)
+    edits = {}
+    for place in rng.permutation(len(words))[: int(share * len(words) + 1e-9)].tolist():
+        kind = int(rng.integers(3))
+        cost = len(words[place]) + (kind != 1)
+        if cost <= left:
+            left -= cost
+            edits[place] = kind
+    for place in sorted(edits, reverse=True):
         other = "".join(chr(97 + int(c)) for c in rng.integers(0, 26, len(words[place])))
-        words[place : place + 1] = ([], [other], [other, words[place]])[int(rng.integers(3))]
+        words[place : place + 1] = ([], [other], [other, words[place]])[edits[place]]
     return " ".join(words)
 
 
@@ -252,57 +266,70 @@ class Characters:
         return self.item[entry], np.repeat(at, n), self.place[entry]
 
 
-class Plan:
-    """Of a class of items: how many walks it takes, the least share of equal runs of a candidate, and which shares of
-    the copies with words and with characters edited were found on trial."""
+class Plan(NamedTuple):
+    """Of a class of items: how many walks it takes, and which shares of the copies with words and with characters
+    edited these found on trial."""
 
-    def __init__(self, walks: int, share: float, words: float = 0.0, characters: float = 0.0):
-        self.walks, self.share, self.words, self.characters = walks, share, words, characters
+    walks: int
+    words: float = 0.0
+    characters: float = 0.0
 
 
-def try_walks(size: int, texts: list[str], similarity: float, recall: float) -> Plan:
-    """The plan of a class: walks are added until `recall` of the copies with words, and of those with characters,
-    edited at random over (1 - similarity) of them are found, or until IDLE walks in a row find none that were missing.
-    Copies whose edits happen to leave the item's limit count as well."""
-    rng = np.random.default_rng([size, 11])
-    chosen = [texts[k] for k in rng.permutation(len(texts))[:TRIED]]
-    plain = [normal(x) for x in chosen]
-    owner, copies = [], []
+def tried(text: str, size: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of an item's copies, edited at random over (1 - similarity) of their words or characters, whether characters were
+    edited, and the first walk that finds each: -1 if none does before IDLE walks in a row find no more."""
+    plain = normal(text)
+    rng = np.random.default_rng([size, zlib.crc32(plain.encode("utf-8", "surrogatepass"))])
+    begin, copies = [], []
     for edit in (words_edited, characters_edited):
-        for k, text in enumerate(plain):
-            for _ in range(COPIES):
-                before, after = (plain[int(rng.integers(len(plain)))][: 4 * size] for _ in range(2))
-                owner.append(k)
-                copies.append(f"{before} {edit(text, 1 - similarity, rng)} {after}")
-    owner, by_words = np.array(owner), np.arange(len(owner)) < len(owner) // 2
-    best = np.full(len(owner), -1.0)
-    walks = idle = 0
-    share, reached = 0.0, (0.0, 0.0)
-    while idle < IDLE and min(reached) < recall:
-        index, known = Index(chosen, similarity, {size: Plan(1, 0.0)}, first=walks), (best >= 0).sum()
+        for _ in range(COPIES):
+            before, after = ("x" + "".join("abcdefghijklmnopqrstuvwxyz     "[c] for c in rng.integers(0, 31, 4 * size).tolist()) for _ in range(2))
+            begin.append(len(normal(before)) + 1)
+            copies.append(normal(f"{before} {edit(plain, 1 - similarity, rng)} {after}"))
+    start, walk = np.array(begin), np.full(len(copies), -1)
+    k = idle = 0
+    while idle < IDLE and (walk < 0).any():
+        index, known = Index([text], similarity, {size: Plan(1)}, first=k), (walk >= 0).sum()
         for first, codes, offsets in normalised(copies):
-            for text, item, _, alike in index.hits(AnyWords(codes, offsets), codes, offsets):
-                # what lies around a copy may be its item too
-                inner = owner[first + text] == item
-                np.maximum.at(best, first + text[inner], alike[inner])
-        walks += 1
-        idle = 0 if (best >= 0).sum() > known else idle + 1
-        # one copy in a hundred may have its runs spoilt more than others
-        share = float(np.quantile(best[best >= 0], 0.01)) if (best >= 0).any() else 0.0
-        reached = float((best[by_words] >= share).mean()), float((best[~by_words] >= share).mean())
-    return Plan(walks, share, *reached)
-
-
-def plans(texts: list[str], similarity: float, recall: float) -> dict[int, Plan]:
-    """The plan of each class of items."""
-    classes: dict[int, list[str]] = {}
-    for text, words in zip(texts, words_of(texts)[0], strict=True):
-        if len(words):
-            classes.setdefault(size_class(len(words)), []).append(text)
-    out = {size: try_walks(size, own, similarity, recall) for size, own in sorted(classes.items())}
-    for size, plan in out.items():
-        if min(plan.words, plan.characters) < recall:
-            logging.getLogger(__name__).warning("items of %d words or more: %.2f of copies with words and %.2f with characters edited at the limit are found", size, plan.words, plan.characters)
+            for copy, _, at in index.hits(AnyWords(codes, offsets), codes, offsets):
+                # one that begins elsewhere may have it by chance
+                good = copy[np.abs(at - offsets[copy] - start[first + copy]) <= index.edits[0]] + first
+                walk[good[walk[good] < 0]] = k
+        k += 1
+        idle = 0 if (walk >= 0).sum() > known else idle + 1
+    return np.arange(len(copies)) >= COPIES, walk
+
+
+def trials(texts: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """size, characters, walk and count: of the copies of all items of a class, with words or with characters edited,
+    how many each walk is the first to find; those that none finds at -1. Every item is tried, in so many parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            sizes = [size_class(len(x)) if len(x) else 0 for x in words_of(own)[0]]
+            for text, size in zip(own, sizes, strict=True):
+                if size:
+                    characters, walk = tried(text, size, similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(walk), size)), pa.array(characters), pa.array(walk)], ["size", "characters", "walk"])
+
+    return texts.select("text").repartition(parts, "text").mapInArrow(run, "size long, characters boolean, walk long").groupBy("size", "characters", "walk").count()
+
+
+def plans(texts: DataFrame, similarity: float, recall: float, parts: int) -> dict[int, Plan]:
+    """The plan of each class of items, tried on all of them: the fewest walks that find `recall` of the copies with
+    words, and of those with characters, edited at the limit. Where none do, all walks that find any."""
+    counts: dict[int, tuple[dict[int, int], dict[int, int]]] = {}
+    for size, characters, walk, n in trials(texts, similarity, parts).collect():
+        counts.setdefault(size, ({}, {}))[characters][walk] = n
+    out = {}
+    for size, kinds in sorted(counts.items()):
+        for walks in range(1, max(2, 2 + max(w for kind in kinds for w in kind))):
+            out[size] = Plan(walks, *(sum(n for w, n in kind.items() if 0 <= w < walks) / sum(kind.values()) for kind in kinds))
+            if min(out[size][1:]) >= recall:
+                break
+        else:
+            logging.getLogger(__name__).warning("items of %d words or more: %.2f of copies with words and %.2f with characters edited at the limit are found", size, *out[size][1:])
     return out
 
 
@@ -315,21 +342,33 @@ class Index:
         words, starts = words_of(texts)
         self.start = np.concatenate([np.zeros(0, np.int64), *starts])
         self.first = np.cumsum([0, *map(len, words)])
-        codes_of: list[np.ndarray] = []
-        self.least = np.array([plan[size_class(len(x))].share if len(x) and len(t) >= SHORT else 0.0 for x, t in zip(words, self.normal, strict=True)])
-        self.shift, self.where = [], []
-        for _, codes, offsets in normalised(texts):
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                codes_of.append(codes[a : b - 1])
-                own = runs(codes_of[-1])[: max(1, b - a - RUN)]
-                bits = max(10, math.ceil(math.log2(8 * max(1, len(own)))))
-                where = np.full(1 << bits, -1 << 30, np.int32)
-                where[own >> np.uint32(32 - bits)] = np.arange(len(own))
-                self.shift.append(np.uint32(32 - bits))
-                self.where.append(where)
-        self.whole = np.ones(len(texts))
+        codes_of = [codes[a : b - 1] for _, codes, offsets in normalised(texts) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        self.size = np.array([len(x) for x in codes_of], np.int64)
+        # runs of a part that can hold the item, and how many of them are the item's own at least
+        self.span = np.maximum(1, self.size - RUN + 1 + 2 * self.edits)
+        self.least = self.size - RUN + 1 - RUN * self.edits
+        self.margin = int((self.span + self.size).max(initial=0)) + RUN
+        self.cell = np.array([max(0, math.ceil(math.log2(n / CELLS))) for n in self.span.tolist()], np.int64)
+        bits = [max(10, math.ceil(math.log2(16 * max(1, n)))) for n in self.size.tolist()]
+        self.shift = np.array([32 - b for b in bits], np.int64)
+        self.base = np.cumsum([0, *(1 << b for b in bits)])
+        # of each run, the cells in which edits can leave it
+        self.cells = np.zeros(int(self.base[-1]), np.uint32)
+        pieces = -(-self.size // PIECE)
+        self.piece = np.cumsum(np.r_[0, pieces])
+        # where the pieces begin in their items, their sizes, and the bits of their characters
+        self.begin, self.length = np.zeros((2, int(self.piece[-1])), np.int64)
+        self.columns = np.zeros(int(self.piece[-1]) * LETTERS, np.uint64)
         for i, x in enumerate(codes_of):
-            self.whole[i] = max(1 / COMPARED, float(self.shares(i, np.zeros(1, np.int64), runs(x))[0]) if len(x) else 1.0)
+            own = runs(x)[: max(0, len(x) - RUN + 1)]
+            p = np.arange(len(own))
+            low, high = (q.astype(np.uint64) for q in (p >> self.cell[i], p + 2 * self.edits[i] >> self.cell[i]))
+            np.bitwise_or.at(self.cells, self.base[i] + (own >> np.uint32(self.shift[i])), ((np.uint64(2) << high) - (np.uint64(1) << low)).astype(np.uint32))
+            edge = np.arange(pieces[i] + 1) * len(x) // max(1, pieces[i])
+            which = slice(self.piece[i], self.piece[i + 1])
+            self.begin[which], self.length[which] = edge[:-1], np.diff(edge)
+            at = np.repeat(np.arange(pieces[i]), np.diff(edge))
+            np.bitwise_or.at(self.columns, (self.piece[i] + at) * LETTERS + (x & np.uint32(LETTERS - 1)), np.uint64(1) << (np.arange(len(x)) - edge[at]).astype(np.uint64))
         classes: dict[int, list[int]] = {}
         for i, x in enumerate(words):
             if len(x):
@@ -340,18 +379,88 @@ class Index:
             own = sorted(i for size, own in classes.items() if k < plan[size].walks for i in own)
             self.characters.append(Characters(first + k, [codes_of[i] for i in own], own))
 
-    def shares(self, item: int, begin: np.ndarray, run: np.ndarray) -> np.ndarray:
-        """Which share of the runs of item-sized parts beginning at these characters are the item's own, at about the
-        same place, by the share that the item has itself: where it repeats its runs, only one place of each is known."""
-        n = max(1, len(self.normal[item]) - RUN + 1)
-        places = np.arange(0, n, max(1, n // COMPARED), dtype=np.int32)
-        apart = self.where[item].take(run.take(begin[:, None] + places, mode="clip") >> self.shift[item])
-        apart -= places
-        return (np.abs(apart, out=apart) <= int(self.edits[item]) // 2 + RUN).mean(axis=1) / self.whole[item]
-
-    def hits(self, words: AnyWords, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, item, character at which the item begins if no edit came before, share of equal runs) of the parts of
-        texts that have an item's key and enough of its runs."""
+    def near(self, item: np.ndarray, begin: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """Whether parts of texts hold as many runs of these items, at places where edits can leave them, as the edits
+        must leave; the items begin at these characters if no edit came before. Every edit spoils RUN runs at most."""
+        out, a = np.zeros(len(item), bool), 0
+        while a < len(item):
+            own = item[a : a + max(1, SLAB // int(self.span[item[a]]))]
+            own = own[: max(1, SLAB // int(self.span[own].max()))]
+            part = slice(a, a + len(own))
+            # equal ones follow each other
+            new = np.r_[True, own[1:] != own[:-1]]
+            items, which = own[new], np.cumsum(new) - 1
+            width = int(self.span[items].max())
+            cell = np.arange(width) >> self.cell[items][:, None]
+            # none past the item's part
+            bit = (cell < CELLS) * (np.uint32(1) << np.minimum(cell, CELLS - 1).astype(np.uint32))
+            at = np.lib.stride_tricks.sliding_window_view(run, width)[begin[part] - self.edits[own] + self.margin]
+            at >>= self.shift[own][:, None]
+            at += self.base[own][:, None]
+            held = self.cells.take(at, mode="clip")
+            held &= bit.take(which, axis=0)
+            out[part] = np.bitwise_count(np.packbits(held != 0, axis=1)).sum(axis=1, dtype=np.int64) >= self.least[own]
+            a += len(own)
+        return out
+
+    def padded(self, codes: np.ndarray) -> np.ndarray:
+        """The runs of texts, with so many before and after that an item may begin or end outside."""
+        return np.pad(runs(codes).astype(np.int64), self.margin)
+
+    def within(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Whether the least distances of these items' pieces add up to the items' edits at most, each piece anywhere
+        where edits can leave it; the items begin at characters low to high if no edit came before. The columns of
+        edit_distance_within for many pieces at once. Characters of equal lowest bits count as equal."""
+        n = np.diff(self.piece)[item]
+        # some pieces are too far off already, mostly
+        good = np.flatnonzero(self.distances(item, low, high, codes, (n + 1) // 2) <= self.edits[item])
+        out = np.zeros(len(item), bool)
+        out[good] = self.distances(item[good], low[good], high[good], codes, n[good]) <= self.edits[item[good]]
+        return out
+
+    def distances(self, item: np.ndarray, low: np.ndarray, high: np.ndarray, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The sums of the least distances of the first so many pieces of items."""
+        lane = np.repeat(np.arange(len(item)), n)
+        piece = np.arange(len(lane)) - np.repeat(np.cumsum(n) - n - self.piece[item], n)
+        begin = (low - self.edits[item])[lane] + self.begin[piece]
+        steps = self.length[piece] + (high - low + 2 * self.edits[item])[lane]
+        letters, best = (codes & np.uint32(LETTERS - 1)).astype(np.uint8), np.zeros(len(lane), np.int64)
+        order, one = np.argsort(steps, kind="stable"), np.uint64(1)
+        for p in range(0, len(order), LANES):
+            own = order[p : p + LANES]
+            at, column, last = begin[own], piece[own] * LETTERS, (self.length[piece[own]] - 1).astype(np.uint64)
+            up, down = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
+            score = self.length[piece[own]]
+            least = score.copy()
+            done = 0
+            for cut in range(0, len(own), LANES >> 4):
+                # some go on past their ends, where they can only come nearer
+                while done < steps[own[cut : cut + (LANES >> 4)][-1]]:
+                    x = self.columns.take(letters.take(at, mode="clip") + column)
+                    at += 1
+                    x |= down
+                    d0 = x & up
+                    d0 += up
+                    d0 ^= up
+                    d0 |= x
+                    plus = down | ~(d0 | up)
+                    minus = up & d0
+                    score += (plus >> last & one).view(np.int64)
+                    score -= (minus >> last & one).view(np.int64)
+                    np.minimum(least, score, out=least)
+                    plus <<= one
+                    minus <<= one
+                    down = plus & d0
+                    d0 |= plus
+                    up = minus | ~d0
+                    done += 1
+                best[own[cut : cut + (LANES >> 4)]] = least[: LANES >> 4]
+                at, column, last, up, down, score, least = (y[LANES >> 4 :] for y in (at, column, last, up, down, score, least))
+        return np.bincount(lane, best, len(item))
+
+    def hits(self, words: AnyWords, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, character at which the item begins if no edit came before) of the parts of texts that have an
+        item's key and enough of its runs."""
         n, texts = len(words.hash), len(words.bounds) - 1
         # a 0 after every text
         line = np.zeros(n + texts + 1, np.uint32)
@@ -359,41 +468,41 @@ class Index:
         line[place] = symbols(words)
         text_of = np.zeros(len(line), np.int64)
         text_of[place] = words.text
-        run = runs(codes)
+        run = self.padded(codes)
         for a in range(0, n if self.tables else 0, PART):
             seen = [h for t in self.tables for h in t.candidates(line, place[a : a + PART : t.walk.stride])]
             item, at, own = (np.concatenate(x).astype(np.int64) for x in zip(*seen, strict=True))
             text = text_of[at]
-            yield from self.alike(text, item, words.start[at - text] - self.start[self.first[item] + own], run)
+            yield self.alike(text, item, words.start[at - text] - self.start[self.first[item] + own], run)
         for a in range(0, len(codes) if self.characters else 0, 4 * PART):
             seen = [walk.candidates(codes[a : a + 4 * PART + 2 * KEY], 4 * PART) for walk in self.characters]
             item, at, own = (np.concatenate(x) for x in zip(*seen, strict=True))
-            yield from self.alike(np.searchsorted(offsets, at + a, "right") - 1, item, at + a - own, run)
+            yield self.alike(np.searchsorted(offsets, at + a, "right") - 1, item, at + a - own, run)
 
-    def alike(self, text: np.ndarray, item: np.ndarray, begin: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def alike(self, text: np.ndarray, item: np.ndarray, begin: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What `hits` gives, of these candidates, each once."""
         _, one = np.unique((item << 34) + (begin + (1 << 33)), return_index=True)
         text, item, begin = text[one], item[one], begin[one]
-        edge = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True]) if len(item) else np.zeros(1, int)
-        for low, high in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            i = int(item[low])
-            for p in range(low, high, PART >> 3):
-                part = slice(p, min(high, p + (PART >> 3)))
-                share = self.shares(i, begin[part], run)
-                good = np.flatnonzero(share >= self.least[i])
-                if len(good):
-                    yield text[part][good], item[part][good], begin[part][good], share[good]
+        good = self.near(item, begin, run)
+        return text[good], item[good], begin[good]
 
     def candidates(self, words: AnyWords, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, first and last character at which the item begins if no edit came before)."""
-        seen = [h[:3] for h in self.hits(words, codes, offsets)]
+        """(text, item, first and last character at which the item begins if no edit came before) of the parts of texts
+        that hold a passage, or that are left to be verified one by one."""
+        seen = [h for h in self.hits(words, codes, offsets) if len(h[0])]
         if not seen:
             return
         text, item, at = np.unique(np.stack([np.concatenate(x) for x in zip(*seen, strict=True)], axis=1), axis=0).T
         new = np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > 2 * self.edits[item[1:]])]
+        # a long row of them is cut, so that none is much longer than the item
+        start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        row = (at - at[start]) // (2 * self.edits[item] + 1)
+        new[1:] |= row[1:] != row[:-1]
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(at)] - 1
-        yield from zip(text[first].tolist(), item[first].tolist(), at[first].tolist(), at[last].tolist(), strict=True)
+        text, item, low, high = text[first], item[first], at[first], at[last]
+        good = self.within(item, low, high, codes)
+        yield from zip(*(x[good].tolist() for x in (text, item, low, high)), strict=True)
 
 
 def _shared(grams: set[int], text: str) -> int:
@@ -452,8 +561,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     (1 - similarity) of the item's characters at most; the best passage found of each pair.
 
     `recall` is the share of such passages to be found whose edits are scattered at random over (1 - similarity) of
-    their words or of their characters; with fewer edits it is higher. Classes of items that miss it on trial are
-    logged as warnings, with the shares that they reach. Case and runs of white space don't count. Items
+    their words or of their characters; with fewer edits it is higher. All items are on trial; classes of them that miss
+    it are logged as warnings, with the shares that they reach. Case and runs of white space don't count. Items
     that are null or without a word match nothing, and so do null and empty texts. Items of equal text are looked for
     once and reported each by its own id; rows with a null id keep it; repeated documents are taken row by row. Other
     columns are dropped, whatever their names; an empty table on either side gives an empty one."""
@@ -461,12 +570,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     texts = items.select("text").distinct()
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
+    plan = plans(texts, similarity, recall, max(docs.sparkSession.sparkContext.defaultParallelism, 8 * blocks))
     out = None
     for k in range(blocks):
         # a block's size is bounded by block_chars, give or take the spread of a hash
         of_block = F.pmod(F.xxhash64("text"), F.lit(blocks)) == k
-        rows = [r[0] for r in texts.where(of_block).orderBy("text").collect()]
-        found = _passages(docs, rows, similarity, plans(rows, similarity, recall))
+        rows = [r[0] for r in texts.where(of_block).orderBy(F.length("text"), "text").collect()]
+        found = _passages(docs, rows, similarity, plan)
         named = docs.sparkSession.createDataFrame(list(enumerate(rows)), "number long, text string").join(items.where(of_block), "text").select("number", F.col("item_id").alias("own_id"))
         found = found.join(F.broadcast(named), found["item_id"] == F.col("number")).select("doc_id", F.col("own_id").alias("item_id"), "word", "distance", "similarity")
         out = found if out is None else out.unionByName(found)
