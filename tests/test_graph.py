@@ -171,3 +171,14 @@ def document(*spans):
     """(span, parent, attributes) of one trace as a line."""
     attrs = lambda a: [{"key": k, "value": {"stringValue": v}} for k, v in a.items()]
     return json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": [{"traceId": "T", "spanId": s, "parentSpanId": p, "startTimeUnixNano": "5", "attributes": attrs(a)} for s, p, a in spans]}]}]})
+
+
+def test_times_at_the_end_of_a_second(spark):
+    """Times within the last nanoseconds of a second stay in it, also before 1970 and at the ends of the range."""
+    told = {1705744081999999883: "2024-01-20T09:48:01.999999883Z", 1705744081999999999: "2024-01-20T09:48:01.999999999Z", 1705744082000000000: "2024-01-20T09:48:02Z", -1: "1969-12-31T23:59:59.999999999Z", -(10**9): "1969-12-31T23:59:59Z", -(2**63): "1677-09-21T00:12:43.145224192Z", 2**63 - 1: "2262-04-11T23:47:16.854775807Z"}
+    rows = spark.createDataFrame([(ns,) for ns in told], "ns long").withColumn("text", bom.rfc3339(F.col("ns"))).collect()
+    assert {r.ns: r.text for r in rows} == told
+    ns = 1705744081999999883
+    line = json.dumps({"observations": [{"timestamp": told[ns], "attributes": {}}]})
+    docs = spark.createDataFrame([("g", 0, line, 7)], "graph_id string, doc long, text string, ingest_ns long")
+    assert telemetry.read_compact(docs).first().ts_ns == ns
